@@ -1,8 +1,10 @@
 """Queries of this subpackage and their SQL."""
 
-from propflow.llm import exact_dedup, url_filter
+from propflow.llm import exact_dedup, mixing, simhash, url_filter
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
+    "op4_mixing": mixing.op4_mixing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
