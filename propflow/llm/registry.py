@@ -1,11 +1,13 @@
 """Queries of this subpackage and their SQL."""
 
-from propflow.llm import exact_dedup, mixing, simhash, url_filter
+from propflow.llm import exact_dedup, mixing, simhash, token_counts, token_store, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_mixing": mixing.op4_mixing,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_token_store": token_store.op7_token_store,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
