@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propflow.llm.shared import partitions, staged, table, text_of
+from propflow.llm.shared import keep_rows, partitions, staged, table, text_hash_of, text_of
 
 MEMTABLE_ROWS = 65_536
 #: Bits of a run's filter for each of its entries, and probes of it.
@@ -219,7 +219,7 @@ def _hit_filter(hits: DataFrame) -> np.ndarray:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
-    """(id, keep_id, group_size, kept, text_sha256) for each row of ``docs``.
+    """(id, keep_id, group_size, kept, text_sha256, text_hash) for each row of ``docs``.
 
     ``keep``: ``smallest`` or ``largest``, the identifier that stays.
     """
@@ -238,7 +238,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Texts are carried along for rows that may be hits only; the join settles which are.
     asked, _ = staged(
-        rows.withColumn("digest", digest).withColumn("maybe", maybe("digest")).select("id", "digest", F.when(F.col("maybe"), F.col("text")).alias("text")),
+        rows.withColumn("digest", digest).withColumn("maybe", maybe("digest")).select(
+            "id", "digest", text_hash_of(rows, "text").alias("text_hash"), F.when(F.col("maybe"), F.col("text")).alias("text")
+        ),
         "asked",
     )
     stays = asked.where("text IS NOT NULL").select("digest", F.col("id").alias("keep_id"), F.col("text").alias("keep_text"))
@@ -261,11 +263,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("id").eqNullSafe(keep_id).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        F.col("text_hash"),
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
+    """One row, with all its columns, of each group of equal texts."""
+    verdicts, _ = staged(exact_dedup(docs, id_col, text_col, keep), "verdicts")
+    return keep_rows(docs, verdicts.select(F.col(id_col).alias("id"), "text_hash", F.col("text_sha256").alias("group"), "kept"), id_col, text_col)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+    return exact_dedup(table(spark, sf_dir, "documents"), keep="largest").drop("text_hash")
 
 
 SQL = """

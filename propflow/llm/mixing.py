@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from propflow.llm.shared import staged, table, text_of
+from propflow.llm.shared import staged, table, text_hash_of, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, MOST = 1.5, 2.0
@@ -106,13 +106,13 @@ def _pieces(sized: DataFrame, sources: DataFrame) -> DataFrame:
     shuffled = F.shiftrightunsigned(F.xxhash64(F.lit(17), "id"), 33)
     placed = (
         sized.join(sources, sized.source.eqNullSafe(sources.source))
-        .select("sid", "id", "size", "source_size", "target", "block", "groups", shuffled.alias("at"))
+        .select("sid", "id", "size", "text_hash", "source_size", "target", "block", "groups", shuffled.alias("at"))
         .withColumn("grp", F.expr("shiftrightunsigned(at * groups, 31)"))
     )
     sums = placed.groupBy("sid", "grp").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("sid").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("sid", "grp", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("sid", "grp").orderBy("at", "id", "size")
+    inside = Window.partitionBy("sid", "grp").orderBy("at", "id", "size", "text_hash")
     rows = placed.withColumns(
         {
             "nth": F.row_number().over(inside),
@@ -177,25 +177,36 @@ def _source_table(spark: SparkSession, plan: list[dict]) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(id, size, source_size, target, taken) for each row of ``docs``."""
+    """(id, size, source_size, target, taken, text_hash) for each row of ``docs``."""
     spark = docs.sparkSession
     sized, _ = staged(
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_of(text_col)).alias("size")),
+        docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text_of(text_col)).alias("size"), text_hash_of(docs, text_col).alias("text_hash")),
         "sizes",
     )
     plan = _plan(spark, sized, weights, share, most)
     if not plan:
-        return spark.createDataFrame([], f"{id_col} long, size long, source_size long, target double, taken long")
+        return spark.createDataFrame([], f"{id_col} long, size long, source_size long, target double, taken long, text_hash long")
     pieces = _pieces(sized, _source_table(spark, plan))
     slots = schedule(spark, plan)
     read = F.greatest(F.lit(0), F.least("to", "take") - F.col("from"))
     return (
         pieces.join(slots, ["sid", "block_no"], "left")
-        .groupBy("sid", "grp", "nth", "id", "size", "source_size", "target")
+        .groupBy("sid", "grp", "nth", "id", "size", "source_size", "target", "text_hash")
         .agg(F.sum(F.coalesce(read, F.lit(0))).cast("long").alias("taken"))
-        .select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
+        .select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "text_hash")
     )
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """Whole rows as often as the mix takes them: words taken over size, rounded."""
+    taken = mix(docs, id_col, text_col, source_col, weights, share, most)
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    counts, _ = staged(
+        taken.where("size > 0").groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max(times).alias("_times")).where("_times > 0"), "times"
+    )
+    met = docs.join(counts, docs[id_col].cast("long").eqNullSafe(counts["_id"]) & (text_hash_of(docs, text_col) == counts["_hash"]))
+    return met.withColumn("_nth", F.explode(F.sequence(F.lit(1), "_times"))).select(*[docs[c] for c in docs.columns])
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents")).drop("text_hash")

@@ -1,10 +1,11 @@
 """Queries of this subpackage and their SQL."""
 
-from propflow.llm import exact_dedup, mixing, simhash, token_counts, token_store, trie_bpe, url_filter
+from propflow.llm import exact_dedup, mixing, quality, simhash, token_counts, token_store, trie_bpe, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_bpe": trie_bpe.op2_bpe,
+    "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_url_filter": url_filter.op6_url_filter,

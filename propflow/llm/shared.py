@@ -60,3 +60,29 @@ def partitions(spark: SparkSession) -> int:
 def text_of(column: str = "text") -> Column:
     """A text column with null read as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def text_hash_of(df: DataFrame, column: str) -> Column:
+    """Tells rows of one identifier but different texts apart."""
+    return F.xxhash64(F.lit(5), F.coalesce(df[column].cast("string"), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs``, with all columns, that a verdict table keeps.
+
+    ``verdicts`` has id, text_hash, group (what one row stays of) and kept, one
+    row for each of ``docs``.  Where several rows of a group are alike in
+    identifier, and so all kept, one of them stays.
+    """
+
+    def on(rows: DataFrame, keys: DataFrame) -> Column:
+        return rows[id_col].cast("long").eqNullSafe(keys["_id"]) & (text_hash_of(rows, text_col) == keys["_hash"])
+
+    dropped = verdicts.where(~F.col("kept")).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    tied = verdicts.where("kept").groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("_id"), F.collect_set("text_hash").alias("hashes")).where("n > 1")
+    left = docs.join(dropped, on(docs, dropped), "left_anti")
+    tied, _ = staged(tied.select("_id", "group", F.explode("hashes").alias("_hash")).distinct(), "tied")
+    if tied.isEmpty():
+        return left
+    again = left.join(tied, on(left, tied)).dropDuplicates(["group"]).select(*[left[c] for c in docs.columns])
+    return left.join(tied, on(left, tied), "left_anti").unionByName(again)

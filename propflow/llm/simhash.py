@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propflow.llm.components import components
-from propflow.llm.shared import staged, table, text_of
+from propflow.llm.shared import keep_rows, staged, table, text_hash_of, text_of
 
 #: Fixed values of XXH64.
 _P1, _P2, _P3, _P4, _P5 = (
@@ -150,15 +150,16 @@ def _text_blocks(column: pa.Array, most: int = BLOCK_BYTES):
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint of each row as a signed 64-bit number."""
+    """(id, fp, text_hash): the fingerprint of each row as a signed 64-bit number."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [fingerprints(data, offsets, words) for data, offsets in _text_blocks(batch.column(1))]
+            parts = [fingerprints(data, offsets, words) for data, offsets in _text_blocks(batch.column(2))]
             if parts:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts).view(np.int64))], ["id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts).view(np.int64)), batch.column(1)], ["id", "fp", "text_hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInArrow(scan, "id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash_of(docs, text_col).alias("text_hash"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(scan, "id long, fp long, text_hash long")
 
 
 def _ball(radius: int) -> list[int]:
@@ -190,7 +191,7 @@ def links(prints: DataFrame, distance: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
-    """(id, fingerprint, component_id) for each row of ``docs``."""
+    """(id, fingerprint, component_id, text_hash) for each row of ``docs``."""
     rows, _ = staged(simhash(docs, id_col, text_col, words), "fingerprints")
     # Copies share a fingerprint: from here on each value counts once.
     prints, _ = staged(rows.groupBy("fp").agg(F.min("id").alias("least")), "prints")
@@ -200,9 +201,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     final, _ = staged(grouped.join(smallest, "root").select(F.col("fp").alias("of"), "component_id"), "classes")
     return rows.join(final, F.col("fp") == F.col("of")).select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash"
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row, with all its columns, of each component: that of the smallest identifier."""
+    verdicts, _ = staged(near_duplicates(docs, id_col, text_col).withColumnRenamed(id_col, "id"), "verdicts")
+    kept = F.col("id").eqNullSafe(F.col("component_id"))
+    # a component without identifiers is known by its fingerprints alone
+    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
+    return keep_rows(docs, verdicts.select("id", "text_hash", group.alias("group"), kept.alias("kept")), id_col, text_col)
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")

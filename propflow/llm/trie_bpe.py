@@ -38,7 +38,9 @@ CACHE_CHUNKS, CACHE_PAIRS = 200_000, 1_000_000
 BLOCK_CHARS = 1 << 20
 _NEVER = 1 << 40
 #: Characters that Python's split() and the tokenizer's pattern may not agree on.
-_RARE = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_RARE = re.compile(
+    "[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])) + "]"
+)
 
 
 class TrieBPE:
@@ -255,6 +257,12 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
+def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, ids) for each row."""
+    rows = encode(docs, tokenizer, id_col, text_col)
+    return rows.select(id_col, F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
