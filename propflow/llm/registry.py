@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from propflow.llm import exact_dedup, mixing, quality, simhash, token_counts, token_store, trie_bpe, url_filter
+from propflow.llm import exact_dedup, line_dedup, mixing, order_minhash, quality, simhash, token_counts, token_store, trie_bpe, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,10 +10,13 @@ QUERIES = {
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_token_store": token_store.op7_token_store,
+    "op8_order_minhash": order_minhash.op8_order_minhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
     "op6_url_filter": url_filter.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op10_line_dedup": line_dedup.SQL,
 }
