@@ -9,6 +9,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def text_json(value: Column) -> Column:
@@ -46,7 +47,7 @@ def canonical(value) -> str:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_sha256(documents: pd.Series) -> pd.Series:
     """Digest of the canonical form of JSON texts; null where one is not JSON or not finite."""
 

@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The patterns of identifiers (for whole texts).
 PROJECT_ID = r"[a-z0-9]+(?:-[a-z0-9]+)*"
@@ -128,12 +129,12 @@ def secret_paths_of(document: str | None, allowed: tuple[str, ...] = ()) -> list
     return found
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def secret_paths(documents: pd.Series) -> pd.Series:
     return documents.map(secret_paths_of)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def profile_secret_paths(documents: pd.Series) -> pd.Series:
     """As above, where the profile's own ``secret_reference`` is allowed."""
     return documents.map(lambda d: secret_paths_of(d, ("$['secret_reference']",)))

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def collapsed(text: Column, most: int) -> Column:
@@ -77,13 +78,13 @@ def slug_of(name: str | None, most: int = 64) -> str | None:
     return re.sub("[^a-z0-9]+", "-", ascii_text).strip("-")[:most].rstrip("-") or None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def slug(names: pd.Series) -> pd.Series:
     """A file-safe name of a-z, 0-9 and single hyphens; null where nothing is left."""
     return names.map(slug_of, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def collision_key(names: pd.Series) -> pd.Series:
     """Names equal after NFC and case folding have equal keys."""
     return names.map(lambda x: unicodedata.normalize("NFC", x).casefold(), na_action="ignore")

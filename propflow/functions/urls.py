@@ -14,6 +14,7 @@ from urllib.parse import urljoin, urlsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MOST_CHARS = 4096
 #: Suffixes that are never public.
@@ -85,12 +86,12 @@ def problem_of(url: str | None, https_only: bool = False) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def problem(urls: pd.Series, https_only: pd.Series) -> pd.Series:
     return pd.Series([problem_of(u, bool(h)) for u, h in zip(urls, https_only)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve(base: pd.Series, reference: pd.Series) -> pd.Series:
     """Addresses of references relative to a base; null for other schemes, or without base."""
     return pd.Series([resolved(b, r) for b, r in zip(base, reference)], dtype=object)

@@ -19,8 +19,8 @@ CSV_COLUMNS = (
     "ratio", "generation_status", "qc_status", "expected_filename", "prompt",
 )
 FOLDERS = (
-    "input", "input/original-images", "input/listing", "scenes", "scenes/imported", "scenes/approved", "generation-package",
-    "generation-package/curated-images", "generation-package/upload-derivatives", "provider", "reports", "reports/qc", "output",
+    "source-images", "thumbnails", "contact-sheets", "rejected", "prompts", "generation-package", "scenes",
+    "scenes/imported", "scenes/approved", "scenes/rejected", "final", "reports", "provider",
 )
 
 
