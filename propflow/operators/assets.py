@@ -82,8 +82,9 @@ def near_pairs(assets: DataFrame, bits: int, distance: int, key: str = "asset_id
     edges = [bits * k // (distance + 1) for k in range(distance + 2)]
 
     def band(h: Column, k: int) -> Column:
-        low = edges[k]
-        return F.shiftrightunsigned(hex_long(h), low).bitwiseAND(F.lit((1 << (edges[k + 1] - low)) - 1).cast("long"))
+        low, width = edges[k], edges[k + 1] - edges[k]
+        shifted = F.shiftrightunsigned(hex_long(h), low)
+        return shifted if width > 63 else shifted.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
     banded = hashes.select("h", F.posexplode(F.array(*[band(F.col("h"), k) for k in range(distance + 1)])).alias("band", "value"))
     left, right = banded.withColumnRenamed("h", "a"), banded.withColumnRenamed("h", "b")

@@ -73,8 +73,8 @@ def publish_all(frames: dict[str, DataFrame], form: str = "parquet") -> None:
 
 def write_document(spark: SparkSession, path: str, document: dict) -> None:
     """One JSON document: sorted keys, indented, raw Unicode, finite numbers only."""
-    text = json.dumps(document, ensure_ascii=False, sort_keys=True, indent=2, allow_nan=False) + "\n"
-    publish(spark.createDataFrame([(text,)], "value string").coalesce(1), path, "text", lineSep="")
+    text = json.dumps(document, ensure_ascii=False, sort_keys=True, indent=2, allow_nan=False)
+    publish(spark.createDataFrame([(text,)], "value string").coalesce(1), path, "text")
 
 
 def append_new(df: DataFrame, path: str, key: str, content: str) -> None:
