@@ -1,7 +1,7 @@
 """Every registered query against its SQL, run by DuckDB on the same tables."""
 
 import pytest
-from conftest import same_rows
+from compare import same_rows
 
 from propflow.plans import registry
 
