@@ -130,7 +130,8 @@ def _pieces(sized: DataFrame, sources: DataFrame) -> DataFrame:
 
 def schedule(spark: SparkSession, plan: list[dict]) -> DataFrame:
     """(k, sid, rank, block_no, pass, take): what each slot of the mix reads, in order of k."""
-    need = [-(-p["quota"] // p["block"]) for p in plan]
+    # a pass's last block is short, so passes count by their blocks and only the rest by words
+    need = [p["quota"] // max(1, p["source_size"]) * p["blocks"] + -(-(p["quota"] % max(1, p["source_size"])) // p["block"]) for p in plan]
     slots = sum(need)
     edges = np.array([POINTS * n // max(1, slots) for n in itertools.accumulate(need)], np.int64)
 
@@ -151,9 +152,8 @@ def schedule(spark: SparkSession, plan: list[dict]) -> DataFrame:
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("sid", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = drawn.join(bases, ["sid", "chunk"]).select("k", "sid", (F.col("base") + F.col("nth")).alias("rank"))
-    sources = _source_table(spark, plan)
     got = counts.groupBy("sid").agg(F.sum("n").alias("got"))
-    wanted = sources.withColumn("need", F.expr("(quota + block - 1) div block"))
+    wanted = _source_table(spark, [p | {"need": n} for p, n in zip(plan, need)], _SOURCES + ", need long")
     short = (
         wanted.join(got, "sid", "left")
         .withColumn("got", F.coalesce("got", F.lit(0)))
@@ -171,8 +171,8 @@ def schedule(spark: SparkSession, plan: list[dict]) -> DataFrame:
     )
 
 
-def _source_table(spark: SparkSession, plan: list[dict]) -> DataFrame:
-    out = spark.createDataFrame([tuple(p.values()) for p in plan], _SOURCES)
+def _source_table(spark: SparkSession, plan: list[dict], schema: str = _SOURCES) -> DataFrame:
+    out = spark.createDataFrame([tuple(p.values()) for p in plan], schema)
     return F.broadcast(out) if len(plan) <= BROADCAST_SOURCES else out
 
 
