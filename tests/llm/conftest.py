@@ -17,7 +17,7 @@ def odd(spark):
     rows = [
         (1, None, "en", None), (2, "", "en", "a"), (3, " \t\n ", None, "a"), (4, "one", "en", "b"), (5, "one", "en", None), (6, long, "fr", "a"), (7, long, "fr", "b"), (8, long + " end", "fr", "b"),
         (9, "same row", "en", "c"), (9, "same row", "en", "c"), (10, "one id", "en", "a"), (10, "two texts", "en", "a"), (None, "no id", "en", "a"), (None, "no id", "en", "a"), (None, None, None, None),
-        (11, shared, "en", "a"), (12, line(5) + "\n" + shared + "\n" + line(5), "en", "a"), (13, shared + "\n" + shared, "en", "b"), (-5, "negative", "en", "Z"), (14, "a\0b c <|endoftext|> d", "en", "b"), (15, "tab\tand  two\r\nlines", "de", "ż"),
+        (11, shared, "en", "a"), (12, line(5) + "\n" + shared + "\n" + line(5), "en", "a"), (13, shared + "\n" + shared, "en", "b"), (-5, "an identifier below zero", "en", "Z"), (14, "a\0b c <|endoftext|> d", "en", "b"), (15, "tab\tand  two\r\nlines, then some more", "de", "ż"),
     ] + [(100 + i, line(rnd.randrange(1, 80)), "en", rnd.choice("abc")) for i in range(40)]
     schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING)
     return spark.createDataFrame([(*r, *["x"] * len(CLASHING)) for r in rows], schema).repartition(3).cache()
