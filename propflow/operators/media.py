@@ -12,7 +12,8 @@ import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOOLS = ("ffmpeg", "ffprobe")
 MOST_OUTPUT, MOST_ERRORS = 8 << 20, 1 << 20
@@ -57,3 +58,42 @@ def run_plan(plan: DataFrame, seconds: float = 120) -> DataFrame:
             yield frame.assign(exit_code=pd.array([d[0] for d in done], "Int32"), output=[d[1] for d in done], problem=[d[2] for d in done])
 
     return plan.mapInPandas(run, schema)
+
+
+def _arguments(*parts) -> Column:
+    return F.array(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+
+
+def decode_check(source: Column) -> Column:
+    """Arguments that decode the first frame and keep nothing."""
+    return _arguments("ffmpeg", "-v", "error", "-xerror", "-i", source, "-frames:v", "1", "-f", "null", "-")
+
+
+def thumbnail(source: Column, target: Column, width: int = 320, height: int = 240) -> Column:
+    """Arguments for an image fitted into a box and padded."""
+    fit = f"scale={width}:{height}:force_original_aspect_ratio=decrease,pad={width}:{height}:(ow-iw)/2:(oh-ih)/2:color=white"
+    return _arguments("ffmpeg", "-n", "-v", "error", "-i", source, "-frames:v", "1", "-vf", fit, target)
+
+
+def upload_derivative(source: Column, target: Column, most: int = 2048) -> Column:
+    """Arguments for a copy without metadata, not wider than ``most``."""
+    return _arguments("ffmpeg", "-n", "-v", "error", "-i", source, "-map_metadata", "-1", "-frames:v", "1", "-vf", f"scale='min({most},iw)':-2", "-q:v", "2", target)
+
+
+def sample_frames(clips: DataFrame, source: str, duration: str, folder: str) -> DataFrame:
+    """One row a sample frame of each clip, with its arguments."""
+    from propflow.functions.text import sample_times
+
+    rows = clips.withColumn("times", sample_times(F.col(duration))).select("*", F.posexplode("times").alias("nth", "seconds")).drop("times")
+    target = F.format_string("%s/sample-%d.jpg", F.col(folder), F.col("nth"))
+    return rows.withColumn("arguments", _arguments("ffmpeg", "-n", "-v", "error", "-ss", F.format_string("%.3f", "seconds"), "-i", F.col(source), "-frames:v", "1", target))
+
+
+def normalise(source: Column, target: Column, picture: Column, fps: int = 30) -> Column:
+    """Arguments for a silent clip of the output profile; ``picture`` is its filter."""
+    return _arguments("ffmpeg", "-n", "-v", "error", "-i", source, "-an", "-vf", picture, "-r", str(fps), "-c:v", "libx264", "-pix_fmt", "yuv420p", target)
+
+
+def concatenate(listing: Column, target: Column) -> Column:
+    """Arguments that join clips of one profile by a list, without encoding them again."""
+    return _arguments("ffmpeg", "-n", "-v", "error", "-f", "concat", "-safe", "1", "-i", listing, "-c", "copy", target)
