@@ -80,7 +80,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).isNull().alias("none"),
     )
     runs, _ = staged(repeated_runs(rows, least_words), "runs")
-    spans = runs.withColumnsRenamed({"id": "_id", "tie": "_tie"})
+    # runs grow with the corpus: planned as shuffled at every size, so that small inputs foretell large ones
+    spans = runs.withColumnsRenamed({"id": "_id", "tie": "_tie"}).hint("merge")
     met = rows.join(spans, (F.col("id") == F.col("_id")) & (F.col("tie") == F.col("_tie")), "left")
     lines = F.split("text", "\n", -1)
     removed = F.coalesce(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))), F.array().cast("array<int>"))
