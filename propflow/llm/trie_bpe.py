@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,28 @@ _NEVER = 1 << 40
 _RARE = re.compile(
     "[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])) + "]"
 )
+#: Marks that end words; letters from here on, and one whose lower case is two, are left to the library.
+_MARKS, _LATIN_END = (".", ",", ";", ":", "!", "?"), chr(0x250)
+
+
+def _byte_letters() -> dict[int, int]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in own else next(others) for b in range(256)}
+
+
+def coder_of(json_text: str) -> TrieBPE:
+    """The coder of a tokenizer file, one a process: tasks that share a worker share its caches."""
+    import tokenizers
+
+    # functions travel by value, so a global of this module would not outlive a task
+    kept = tokenizers.__dict__.setdefault("_propflow_coders", {})
+    key = hash(json_text)
+    if key not in kept:
+        kept.clear()
+        kept[key] = TrieBPE(json_text)
+    return kept[key]
 
 
 class TrieBPE:
@@ -69,6 +92,7 @@ class TrieBPE:
         names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.dtype = np.dtype("<u4")
+        self.letters = _byte_letters()
         self._follows: dict[tuple[int, int], bool] = {}
         self._ends: dict[int, list[tuple[int, int]]] = {}
         self._begins: dict[int, list[tuple[int, int]]] = {}
@@ -120,42 +144,55 @@ class TrieBPE:
             self._whole[token] = found
         return found
 
-    def _last(self, text: str, end: int, suffix: str, lasts: list[int]) -> int:
-        """The last token of ``text[:end]``; ``lasts[k]`` is that of the prefix of k symbols."""
-        vocab = self.vocab
-        for start in range(max(0, end - self.longest), end):
-            token = vocab.get(text[start:end] + suffix)
-            if token is not None and self.whole(token) and (start == 0 or self.follows(lasts[start], token)):
-                return token
-        raise ValueError(f"{text[:end]!r} has a symbol that the vocabulary lacks")
-
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of distinct words (of the vocabulary's symbols) by one walk over their trie."""
         out = {}
+        vocab, names, pairs = self.vocab, self.names, self._follows
+        follows, whole, known_whole = self.follows, self.whole, self._whole
+        cut, longest, suffix = len(self.suffix), self.longest, self.suffix
         lasts, before = [0] * (max(map(len, words), default=0) + 1), ""
         depth = 0  # nodes of the current path whose state is known
-        cut = len(self.suffix)
-        names = self.names
         for word in sorted(words):
-            inner = len(word) - 1
-            shared, most = 0, min(depth, inner)
+            n = len(word)
+            shared, most = 0, min(depth, n - 1)
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            for end in range(shared + 1, inner + 1):
-                lasts[end] = self._last(word, end, "", lasts)
-            depth, before = inner, word
-            token = self._last(word, inner + 1, self.suffix, lasts)
+            depth, before = n - 1, word
+            # the nodes below the shared ones, and last the leaf, whose symbol has the end-of-word marker
+            for end in range(shared + 1, n + 1):
+                for start in range(end - longest if end > longest else 0, end):
+                    token = vocab.get(word[start:end] if end < n else word[start:] + suffix)
+                    if token is None or not (known_whole.get(token) or whole(token)):
+                        continue
+                    if start:
+                        fits = pairs.get((lasts[start], token))
+                        if fits is None:
+                            fits = follows(lasts[start], token)
+                        if not fits:
+                            continue
+                    break
+                else:
+                    raise ValueError(f"{word[:end]!r} has a symbol that the vocabulary lacks")
+                if end < n:
+                    lasts[end] = token
             ids = [token]
-            at = inner + 1 - (len(names[token]) - cut)
+            at = n + cut - len(names[token])
             while at:
                 token = lasts[at]
                 ids.append(token)
                 at -= len(names[token])
-            out[word] = np.array(ids[::-1], self.dtype).tobytes()
+            ids.reverse()
+            out[word] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     def _pieces(self, text: str) -> list:
         """Words, and ids of special tokens, of a text."""
+        low = text.lower()
+        # Latin letters, perhaps with a mark after them, are normal as they are and one word
+        body = low[:-1] if low[-1:] in _MARKS and low[-2:-1].isalpha() else low
+        if body.isalpha() and max(body) < _LATIN_END:
+            word = body.encode().decode("latin-1").translate(self.letters)
+            return [word] if body is low else [word, low[-1]]
         out = []
         for part in self.split_added.split(text) if self.split_added else [text]:
             if part in self.added:
@@ -183,14 +220,15 @@ class TrieBPE:
                 self.chunks.clear()
             if len(self.words) > CACHE_CHUNKS:
                 self.words.clear()
-            known = self.chunks
-            new = {c: None for chunks, _ in block if chunks for c in chunks if c not in known}
-            for c in new:
-                new[c] = self._pieces(c)
-            wanted = {p for pieces in [*new.values(), *(p for _, p in block if p)] for p in pieces if isinstance(p, str)}
-            self.words |= self.encode_words(wanted - self.words.keys())
+            known, words = self.chunks, self.words
+            distinct: set[str] = set()
+            for chunks, _ in block:
+                distinct.update(chunks or ())
+            new = {c: self._pieces(c) for c in distinct if c not in known}
+            wanted = {p for pieces in [*new.values(), *(p for _, p in block if p)] for p in pieces if p not in words and isinstance(p, str)}
+            words |= self.encode_words(wanted)
             for c, pieces in new.items():
-                known[c] = self._joined(pieces)
+                known[c] = words[pieces[0]] if len(pieces) == 1 and isinstance(pieces[0], str) else self._joined(pieces)
             for chunks, pieces in block:
                 yield b"".join(map(known.__getitem__, chunks)) if pieces is None else self._joined(pieces)
 
@@ -212,7 +250,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     file = _coder(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TrieBPE(file.value)
+        coder = coder_of(file.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
@@ -227,7 +265,7 @@ def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFr
     file = _coder(encoded.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TrieBPE(file.value)
+        coder = coder_of(file.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
@@ -242,7 +280,7 @@ def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     file = _coder(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = TrieBPE(file.value)
+        coder = coder_of(file.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
