@@ -37,7 +37,7 @@ _P1, _P2, _P3, _P4, _P5 = (
 )
 SEED = np.uint64(42)
 #: Text bytes and shingles that a task works on at a time.
-BLOCK_BYTES, BLOCK_SHINGLES = 4 << 20, 1 << 18
+BLOCK_BYTES, BLOCK_SHINGLES = 1 << 20, 1 << 16
 
 
 def _rotl(x: np.ndarray, n: int) -> np.ndarray:
