@@ -209,13 +209,13 @@ def _hit_filter(hits: DataFrame) -> np.ndarray:
     place = [F.conv(F.substring(F.hex("digest"), 1 + 8 * k, 8), 16, 10).cast("long") % size for k in range(3)]
     words = (
         hits.select(F.explode(F.array(*place)).alias("bit"))
-        .groupBy(F.expr("bit div 8").alias("byte"))
-        .agg(F.bit_or(F.expr("shiftleft(1, cast(bit % 8 as int))")).alias("flags"))
+        .groupBy(F.expr("bit div 64").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("flags"))
         .toPandas()
     )
-    out = np.zeros(size // 8, np.uint8)
-    out[words["byte"].to_numpy(np.int64)] = words["flags"].to_numpy(np.uint8)
-    return out
+    out = np.zeros(size // 64, "<i8")
+    out[words["word"].to_numpy(np.int64)] = words["flags"].to_numpy(np.int64)
+    return out.view(np.uint8)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
