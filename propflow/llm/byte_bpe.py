@@ -10,14 +10,40 @@ whole, so the ids are the library's in every case.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Chunks in the cache; it is emptied when it holds more.
-CACHE_CHUNKS = 250_000
+#: Chunks of a generation of the cache; a full generation becomes the old one, and the old one goes.
+CACHE_CHUNKS = 400_000
 #: Characters whose chunks are looked up together.
 BLOCK_CHARS = 1 << 20
+#: Marks that are split off words; letters from here on are left to the library.
+_MARKS, _LATIN_END = ".,;:!?", chr(0x250)
+
+
+def _byte_letters() -> dict[int, int]:
+    """The printable letter that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes of Latin-1 stand for themselves, the others for letters from 256 on.
+    """
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: b if b in own else next(others) for b in range(256)}
+
+
+def encoder(json_text: str) -> ByteEncoder:
+    """The encoder of a tokenizer file, one a process: tasks that share a worker share its cache."""
+    import tokenizers
+
+    # functions travel by value, so a global of this module would not outlive a task
+    kept = tokenizers.__dict__.setdefault("_propflow_encoders", {})
+    key = hash(json_text)
+    if key not in kept:
+        kept.clear()
+        kept[key] = ByteEncoder(json_text)
+    return kept[key]
 
 
 class ByteEncoder:
@@ -33,18 +59,45 @@ class ByteEncoder:
         self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.letters = _byte_letters()
         line_end = self.ids("\n")
         self.line_end = line_end[0] if len(line_end) == 1 else None
+        self.line_end_bytes = line_end.tobytes()
         # the property that chunks rest on, put to the test
-        self.by_chunk = self.line_end is not None and np.array_equal(self.ids("\na b.\nc"), np.concatenate([self.ids(x) for x in ("\na", " b.", "\nc")]))
+        self.by_chunk = self.line_end is not None and np.array_equal(self.ids("\na b.\nc"), np.concatenate([self.ids(x) for x in ("\n", "a", " b", ".", "\n", "c")]))
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def _learn(self, chunks: list[str]) -> None:
         """Put the ids of chunks, each ``\\n`` and a word or a word after a blank, into the cache."""
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
+        cache, tokenize = self.cache, self.library.model.tokenize
+        marks = {m: self.ids(m).tobytes() for m in _MARKS}
+        letters, blank, code = self.letters, chr(self.letters[32]), "H" if self.dtype.itemsize == 2 else "I"
+        rest, late = [], []
+        for c in chunks:
+            # a mark after a letter is split off, so the word before it is looked up alone
+            marked = c[-1] in marks and c[-2:-1].isalpha() and c[-2] < _LATIN_END
+            word = c[:-1] if marked else c
+            if word not in cache:
+                starts = word[0] == "\n"
+                bare = word[1:] if starts else word
+                if bare.isalpha() and (bare.isascii() or max(bare) < _LATIN_END):
+                    # letters alone are one piece: it goes straight to the library's model
+                    mapped = bare if bare.isascii() else bare.encode().decode("latin-1").translate(letters)
+                    ids = array(code, [t.id for t in tokenize(mapped if starts else blank + mapped)]).tobytes()
+                    cache[word] = self.line_end_bytes + ids if starts else ids
+                else:
+                    rest.append(word)
+            if marked:
+                late.append((c, word, c[-1]))
+        self._learn_text(list(dict.fromkeys(rest)))
+        for c, word, mark in late:
+            cache[c] = cache[word] + marks[mark]
+
+    def _learn_text(self, chunks: list[str]) -> None:
+        """The same through the library's whole chain, many chunks in one text."""
         for a in range(0, len(chunks), 2000):
             part = chunks[a : a + 2000]
             ids = self.ids("".join([c if c[0] == "\n" else "\n " + c for c in part]))
@@ -70,11 +123,19 @@ class ByteEncoder:
                 size += len(text) + 1
                 a += 1
             cache = self.cache
-            missing = {c for _, chunks in block if chunks for c in chunks if c not in cache}
-            if missing:
-                if len(cache) > CACHE_CHUNKS:
-                    missing = {c for _, chunks in block if chunks for c in chunks}
-                self._learn(list(missing))
+            if len(cache) > CACHE_CHUNKS:
+                self.old, self.cache = cache, {}
+                cache = self.cache
+            distinct: set[str] = set()
+            for _, chunks in block:
+                distinct.update(chunks or ())
+            new = [c for c in distinct if c not in cache]
+            old = self.old
+            if old:
+                known = [c for c in new if c in old]
+                cache.update(zip(known, map(old.__getitem__, known)))
+                new = [c for c in new if c not in old]
+            self._learn(new)
             for text, chunks in block:
                 if chunks:
                     yield b"".join(map(cache.__getitem__, chunks))[self.dtype.itemsize :]

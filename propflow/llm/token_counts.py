@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from propflow.llm.byte_bpe import ByteEncoder
-from propflow.llm.shared import table, text_of
+from propflow.llm.byte_bpe import encoder as encoder_of
+from propflow.llm.shared import staged, table, text_of
 
 #: Lengths of a block of the suffix sums.
 BLOCK = 512
@@ -33,7 +33,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
         file = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteEncoder(file.value)
+        encoder = encoder_of(file.value)
         width = encoder.dtype.itemsize
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
@@ -53,6 +53,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     does, the truncated total is M's less (M - L) * docs_from of M.
     """
     counts = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs")).select("n_tokens", "docs", F.expr(f"n_tokens div {BLOCK}").alias("block"), (F.col("docs") * F.col("n_tokens")).alias("tokens"))
+    # used twice below, and much smaller than what it is made from
+    counts, _ = staged(counts, "lengths")
     sums = counts.groupBy("block").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
     # one row for each block of lengths: the longest text bounds them
     none = F.lit(0).cast("long")
