@@ -24,6 +24,7 @@ empty table gives an empty store.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propflow.llm.byte_bpe import ByteEncoder
+from propflow.llm.byte_bpe import encoder as encoder_of
 from propflow.llm.shared import partitions, shared_root, staged, table, text_of
 
 END_ID = 0
@@ -46,19 +47,24 @@ SEEN = 200_000
 _FACTORS = np.random.default_rng(20240229).integers(1, 1 << 62, WINDOW, dtype=np.uint64) | np.uint64(1)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id array."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
+def places(ids: np.ndarray) -> np.ndarray:
+    """Ends that the rolling hash proposes.
+
+    The hash sees WINDOW ids and no cut is nearer than LEAST to the last, so that
+    documents one after the other in an array do not touch each other's cuts.
+    """
     x = ids.astype(np.uint64) + np.uint64(1)
     x = (x * np.uint64(0x9E3779B97F4A7C15)) ^ (x << np.uint64(17))
-    h = np.zeros(n, np.uint64)
-    for j in range(WINDOW):
-        h[j:] += x[: n - j] * _FACTORS[j]
-    places = np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + 1
+    h = np.zeros(len(ids), np.uint64)
+    for j in range(min(WINDOW, len(ids))):
+        h[j:] += x[: len(ids) - j] * _FACTORS[j]
+    return np.flatnonzero((h >> np.uint64(64 - CUT_BITS)) == 0) + 1
+
+
+def cuts(n: int, proposed: list[int]) -> list[int]:
+    """Ends of the chunks of a document of n ids from the proposed ones."""
     out, last = [], 0
-    for p in places.tolist():
+    for p in proposed:
         while p - last > MOST:
             last += MOST
             out.append(last)
@@ -93,22 +99,27 @@ def _cut_up(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         file = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteEncoder(file.value)
+        encoder = encoder_of(file.value)
         end = np.array([end_id], encoder.dtype).tobytes()
+        sha256, width = hashlib.sha256, encoder.dtype.itemsize
         seen: set[bytes] = set()
         rows: list[tuple] = []
         held = 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
-                for doc_id, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    raw += end
-                    ids = np.frombuffer(raw, encoder.dtype)
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                raws = [raw + end for raw in encoder.encode(part.column(1).to_pylist())]
+                ends = list(itertools.accumulate(len(raw) // width for raw in raws))
+                found = places(np.frombuffer(b"".join(raws), encoder.dtype))
+                bounds = np.searchsorted(found, [0, *ends], "right").tolist()
+                start = 0
+                for k, (doc_id, raw, stop) in enumerate(zip(part.column(0).to_pylist(), raws, ends)):
+                    n = stop - start
                     digests, last = [], 0
-                    for at in cuts(ids):
-                        data = raw[last * encoder.dtype.itemsize : at * encoder.dtype.itemsize]
+                    for at in cuts(n, (found[bounds[k] : bounds[k + 1]] - start).tolist()) if n > LEAST else (n,):
+                        data = raw[last * width : at * width]
                         last = at
-                        digest = hashlib.sha256(data).digest()
+                        digest = sha256(data).digest()
                         digests.append(digest)
                         if digest not in seen:
                             if len(seen) >= SEEN:
@@ -116,8 +127,10 @@ def _cut_up(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                             seen.add(digest)
                             rows.append((0, int.from_bytes(digest[:7]), digest, None, None, None, data))
                             held += len(data)
-                    rows.append((1, int.from_bytes(hashlib.sha256(digests[0] + repr(doc_id).encode()).digest()[:7]), None, doc_id, len(ids), b"".join(digests), None))
+                    # copies share their chunks, so a recipe is dealt by its document too
+                    rows.append((1, int.from_bytes(sha256(digests[0] + repr(doc_id).encode()).digest()[:7]), None, doc_id, n, b"".join(digests), None))
                     held += 32 * len(digests)
+                    start = stop
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW_PARTS.types)], schema=_ARROW_PARTS)
                     rows, held = [], 0
@@ -205,17 +218,29 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def crc_combine(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """CRC-32 of joined strings from those of both, and the second's length in bytes."""
-    power = np.full(len(first), 0x80000000, np.uint32)  # 1
+def _powers(lengths: np.ndarray) -> np.ndarray:
+    """x ** (8 * length) for each length in bytes."""
+    power = np.full(len(lengths), 0x80000000, np.uint32)  # 1
     step = np.full(1, 0x00800000, np.uint32)  # x ** 8
-    left = length.astype(np.int64).copy()
+    left = lengths.astype(np.int64).copy()
     while left.any():
         odd = np.flatnonzero(left & 1)
         power[odd] = _times(power[odd], np.broadcast_to(step, len(odd)))
         step = _times(step, step)
         left >>= 1
-    return _times(first, power) ^ second
+    return power
+
+
+def crc_joined(crcs: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """CRC-32 of joined strings: runs of ``counts`` parts each, from the parts' CRCs and lengths in bytes.
+
+    A part's CRC counts times x to the power of the bits after it, so all parts are shifted at once.
+    """
+    ends = np.cumsum(counts)
+    total = np.cumsum(lengths.astype(np.int64))
+    after = np.repeat(total[ends - 1], counts) - total
+    shifted = _times(crcs.astype(np.uint32), _powers(after))
+    return np.bitwise_xor.reduceat(shifted, ends - counts)
 
 
 def read_checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
@@ -262,10 +287,8 @@ def read_checksums(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             for root, digests, n, total in zip(batch.column("root").to_pylist(), batch.column("digests").to_pylist(), ns, batch.column("n_tokens").to_pylist()):
                 if None in n or sum(n) != total or merkle(digests) != root:
                     raise ValueError("a recipe does not agree with its chunks")
-            crc = np.array([c[0] for c in crcs], np.uint32)
-            for k in range(1, max(map(len, ns))):
-                on = np.array([i for i, n in enumerate(ns) if len(n) > k])
-                crc[on] = crc_combine(crc[on], np.array([crcs[i][k] for i in on], np.uint32), np.array([4 * ns[i][k] for i in on]))
+            counts = np.array([len(n) for n in ns])
+            crc = crc_joined(np.concatenate(crcs), 4 * np.concatenate(ns).astype(np.int64), counts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return met.mapInArrow(joined, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -94,11 +94,25 @@ def test_counts(odd, none, odd_rows):
     assert token_counts.length_histogram(token_counts.encoded_lengths(none, BYTE)).count() == 0
 
 
+def ends_of(stream):
+    return token_store.cuts(len(stream), token_store.places(stream).tolist())
+
+
+def test_neighbours_do_not_move_cuts():
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 50_000, n).astype("<u2") for n in (1, 70, 5000, 64, 65, 20_000, 3)]
+    joined, start = token_store.places(np.concatenate(docs)), 0
+    for d in docs:
+        mine = joined[(joined > start) & (joined <= start + len(d))] - start
+        assert token_store.cuts(len(d), mine.tolist()) == ends_of(d)
+        start += len(d)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 60_000), max_size=300), st.integers(1, 60))
 def test_cuts(ids, copies):
     stream = np.array(ids * copies, "<u2")
-    ends = token_store.cuts(stream)
+    ends = ends_of(stream)
     sizes = np.diff([0, *ends])
     assert sum(sizes) == len(stream) and (sizes <= token_store.MOST).all() and (sizes[:-1] >= min(token_store.LEAST, len(stream))).all()
 
@@ -109,7 +123,7 @@ def test_equal_passages_give_equal_chunks():
     a, b = (np.concatenate([rng.integers(0, 50_000, n), shared]).astype("<u2") for n in (777, 3333))
 
     def chunks(s):
-        ends = token_store.cuts(s)
+        ends = ends_of(s)
         return {s[x:y].tobytes() for x, y in zip([0, *ends], ends)}
 
     assert len(chunks(a) & chunks(b)) > 0.8 * len(chunks(shared.astype("<u2")))
