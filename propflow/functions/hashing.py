@@ -75,20 +75,40 @@ def dhash_bits(pixels: Column, size: int) -> Column:
 
 
 def dhash(pixels: Column, size: int = 8) -> Column:
-    """A hash of size * size bits (64 at most) as hex digits, the first bit the highest."""
+    """A hash of size * size bits (size 4 to 32) as hex digits, the first bit the highest."""
+    if not 4 <= size <= 32:
+        raise ValueError("a hash has 4 to 32 rows")
+    digits = math.ceil(size * size / 4)
     bits = dhash_bits(pixels, size)
-    number = F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b.cast("long")))
-    return F.lower(F.lpad(F.hex(number), math.ceil(size * size / 4), "0"))
+    if digits * 4 > size * size:
+        bits = F.concat(F.array_repeat(F.lit(0), digits * 4 - size * size), bits)
+    # a number of 64 bits holds 16 digits, so longer hashes are made of several
+    starts = F.array(*[F.lit(4 * at) for at in range(0, digits, 15)])
+
+    def piece(at: Column) -> Column:
+        some = F.slice(bits, at + 1, F.lit(60))
+        number = F.aggregate(some, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b.cast("long")))
+        return F.lpad(F.hex(number), F.floor(F.size(some) / 4).cast("int"), F.lit("0"))
+
+    return F.lower(F.array_join(F.transform(starts, piece), ""))
 
 
 def hex_long(digits: Column) -> Column:
-    """64 bits of hex digits as a signed number."""
-    return F.conv(digits, 16, -10).cast("long")
+    """64 bits of at most 16 hex digits as a signed number; more digits stop the query."""
+    return F.when(F.length(digits) > 16, F.raise_error(F.lit("more than 64 bits")).cast("long")).otherwise(F.conv(digits, 16, -10).cast("long"))
 
 
 def hamming(a: Column, b: Column) -> Column:
-    """Bits in which two hex hashes of equal length (16 digits at most) differ; null for unequal lengths."""
-    return F.when(F.length(a) == F.length(b), F.bit_count(hex_long(a).bitwiseXOR(hex_long(b))))
+    """Bits in which two hex hashes of equal length differ; null for unequal lengths."""
+
+    def differing(at: Column) -> Column:
+        part = (F.conv(F.substring(x, at, F.lit(15)), 16, 10).cast("long") for x in (a, b))
+        left, right = part
+        return F.bit_count(left.bitwiseXOR(right))
+
+    longer = F.aggregate(F.sequence(F.lit(1), F.length(a), F.lit(15)), F.lit(0), lambda acc, at: acc + differing(at))
+    short = F.bit_count(F.conv(a, 16, -10).cast("long").bitwiseXOR(F.conv(b, 16, -10).cast("long")))
+    return F.when(F.length(a) == F.length(b), F.when(F.length(a) <= 16, short).otherwise(longer))
 
 
 def json_equal(a, b) -> bool:

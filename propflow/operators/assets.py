@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from propflow.functions.hashing import hamming, hex_long
-
 
 def provenance(kind: Column, path: Column, member: Column | None = None, url: Column | None = None, preferred: Column | None = None) -> Column:
     """Where a copy of an asset came from, as one struct."""
@@ -70,32 +69,86 @@ def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def near_pairs(assets: DataFrame, bits: int, distance: int, key: str = "asset_id", dhash: str = "dhash") -> DataFrame:
-    """Pairs of assets whose hashes differ in at most ``distance`` bits.
+#: Most combinations of bands that one hash is sent under.
+MOST_COMBINATIONS = 128
+
+
+def band_plan(hashes: int, bits: int, distance: int) -> tuple[int, int]:
+    """(bands, shared): how many bands to cut hashes into, and how many of them meet at a time.
 
-    Of distance + 1 bands of bits one at least is equal in any such pair, so
-    hashes meet in equi-joins on bands and are then compared.  Hashes are
-    compared once each, however many assets share one (flat images all do), and
-    a pair is met in its first equal band only.
+    Of ``distance + shared`` bands, ``shared`` at least are equal in any pair that
+    counts.  More bands at a time are more rows to send and fewer wrong meetings;
+    the pair that costs least for so many hashes is taken.
     """
-    hashes = assets.select(F.col(dhash).alias("h")).distinct()
-    edges = [bits * k // (distance + 1) for k in range(distance + 2)]
+
+    def cost(shared: int) -> float:
+        bands = distance + shared
+        ways = math.comb(bands, shared)
+        return hashes * ways + hashes * hashes / 2 * ways * 2.0 ** (-bits * shared / bands)
+
+    able = [k for k in range(2, bits - distance + 1) if math.comb(distance + k, k) <= MOST_COMBINATIONS]
+    best = min(able or [1], key=cost)
+    # wider rows and more of them have to be worth it
+    shared = best if cost(best) < cost(1) / 4 else 1
+    return distance + shared, shared
+
+
+def near_hashes(hashes: DataFrame, bits: int, distance: int, dhash: str = "dhash") -> DataFrame:
+    """(a, b, distance): pairs of distinct hex hashes, a before b, that differ in at most ``distance`` bits.
+
+    Hashes meet in an equi-join on combinations of bands of bits, chosen for
+    their number, and are then compared.  A pair is met in the first combination
+    of its equal bands only.
+    """
+    if distance >= bits:
+        raise ValueError("a distance of all bits leaves no band to meet in")
+    distinct = hashes.select(F.col(dhash).alias("h")).where("h IS NOT NULL").distinct()
+    bands, shared = band_plan(distinct.count(), bits, distance)
+    digits = math.ceil(bits / 4)
+    edges = [digits * 4 - bits + bits * k // bands for k in range(bands + 1)]  # places from the first bit on
 
     def band(h: Column, k: int) -> Column:
-        low, width = edges[k], edges[k + 1] - edges[k]
-        shifted = F.shiftrightunsigned(hex_long(h), low)
-        return shifted if width > 63 else shifted.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-
-    banded = hashes.select("h", F.posexplode(F.array(*[band(F.col("h"), k) for k in range(distance + 1)])).alias("band", "value"))
-    left, right = banded.withColumnRenamed("h", "a"), banded.withColumnRenamed("h", "b")
-    met = left.join(right, ["band", "value"]).where("a <= b")
-    earlier = F.lit(False)
-    for k in range(distance):
-        earlier = earlier | ((F.col("band") > k) & (band(F.col("a"), k) == band(F.col("b"), k)))
-    close = met.where(~earlier).select("a", "b", hamming(F.col("a"), F.col("b")).alias("distance")).where(F.col("distance") <= distance)
+        # of the digits that cover the band, the bits within it: 15 digits at most, more in hex
+        first, last = edges[k] // 4, (edges[k + 1] - 1) // 4
+        text = F.substring(h, first + 1, last - first + 1)
+        if last - first + 1 > 15:
+            return F.xxhash64(text)
+        number = F.shiftright(F.conv(text, 16, 10).cast("long"), 4 * (last + 1) - edges[k + 1])
+        return number.bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1).cast("long"))
+
+    ways = list(itertools.combinations(range(bands), shared))
+    with_bands = distinct.select("h", F.array(*[band(F.col("h"), k) for k in range(bands)]).alias("bands"))
+    chosen = F.array(*[F.array(*[F.lit(k) for k in way]) for way in ways])
+    keys = F.transform(chosen, lambda way, n: F.xxhash64(n, F.transform(way, lambda k: F.get("bands", k))))
+    # the hash as numbers, made once: a meeting costs an XOR and a count of bits
+    parts = range(0, digits, 15)
+    numbers = [F.conv(F.substring("h", at + 1, 15), 16, 10).cast("long").alias(f"_{at}") for at in parts]
+    sent = with_bands.select("h", *numbers, F.explode(keys).alias("value"))
+    left = sent.select("value", F.col("h").alias("a"), *[F.col(f"_{at}").alias(f"x{at}") for at in parts])
+    right = sent.select("value", F.col("h").alias("b"), *[F.col(f"_{at}").alias(f"y{at}") for at in parts])
+    apart = sum((F.bit_count(F.col(f"x{at}").bitwiseXOR(F.col(f"y{at}"))) for at in parts), F.lit(0))
+    met = left.join(right, "value").where("a < b").where(apart <= distance).select("a", "b", "value", apart.alias("distance"))
+    close = met.withColumns({"x": F.array(*[band(F.col("a"), k) for k in range(bands)]), "y": F.array(*[band(F.col("b"), k) for k in range(bands)])})
+    # met in the first of the combinations in which all bands are equal
+    equal = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.when(F.get("x", k) == F.get("y", k), k)))
+    first = F.slice(equal, 1, shared)
+    at = F.array_position(chosen, first).cast("int") - 1
+    return close.where(F.xxhash64(at, F.transform(first, lambda k: F.get("x", k))) == F.col("value")).select("a", "b", "distance")
+
+
+def near_pairs(assets: DataFrame, bits: int, distance: int, key: str = "asset_id", dhash: str = "dhash") -> DataFrame:
+    """Pairs of assets whose hashes differ in at most ``distance`` bits.
+
+    Hashes are compared once each, however many assets share one (flat images
+    all do).  Assets of one hash are pairs, too; where they are very many, take
+    ``near_hashes`` and join assets to its hashes instead.
+    """
+    close = near_hashes(assets, bits, distance, dhash)
     one = assets.select(F.col(key).alias("x"), F.col(dhash).alias("a"))
     two = assets.select(F.col(key).alias("y"), F.col(dhash).alias("b"))
-    pairs = close.join(one, "a").join(two, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    unlike = close.join(one, "a").join(two, "b").select("x", "y", "distance")
+    alike = one.join(two, F.col("a") == F.col("b")).where("x < y").select("x", "y", F.lit(0).alias("distance"))
+    pairs = unlike.unionByName(alike)
     return pairs.select(F.least("x", "y").alias(f"left_{key}"), F.greatest("x", "y").alias(f"right_{key}"), "distance", F.lit("candidate_for_manual_review").alias("status"))
 
 

@@ -19,8 +19,8 @@ def active_scene(requests: DataFrame, scenes: DataFrame, tombstones: DataFrame,
 
 
 def expected_filename(scenes: DataFrame, entries: DataFrame, keys: list[str]) -> DataFrame:
-    """Scenes with the file name their package expects, or ``<scene_id>.mp4``."""
-    named = entries.where("expected_filename <> ''").groupBy(*keys).agg(F.first("expected_filename").alias("expected_filename"))
+    """Scenes with the file name their package expects (of several the least), or ``<scene_id>.mp4``."""
+    named = entries.where("expected_filename <> ''").groupBy(*keys).agg(F.min("expected_filename").alias("expected_filename"))
     return scenes.join(named, keys, "left").withColumn("expected_filename", F.coalesce("expected_filename", F.concat("scene_id", F.lit(".mp4"))))
 
 
@@ -53,6 +53,17 @@ def stored_name(revision: Column, sha256: Column, name: Column) -> Column:
     return F.when(suffix.isin(*SUFFIXES), revision_name(revision, sha256, suffix))
 
 
+def refusal(size_bytes: Column, name: Column, expected: Column, active: Column) -> Column:
+    """Why a file is not imported as a scene's clip; null if it is."""
+    return (
+        F.when(~active, "scene_not_active")
+        .when(size_bytes.isNull() | (size_bytes < 1), "empty")
+        .when(size_bytes > LARGEST, "too_large")
+        .when(stored_name(F.lit(1), F.lit("0" * 64), name).isNull(), "suffix")
+        .when(F.element_at(F.split(name, "/"), -1) != expected, "unexpected_name")
+    )
+
+
 def find_revision(clips: DataFrame, requests: DataFrame, keys: list[str]) -> DataFrame:
     """The very revision a request names, never the latest in its place."""
     return requests.join(clips, [*keys, "revision"])

@@ -7,8 +7,11 @@ back with ``problem`` = ``no_tool``.
 from __future__ import annotations
 
 import os
+import selectors
 import shutil
+import signal
 import subprocess
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,20 +33,38 @@ def preflight(spark: SparkSession, mode: str = "full_production") -> DataFrame:
 
 
 def bounded(arguments: list[str], seconds: float) -> tuple[int | None, bytes, str | None]:
-    """Exit code, output, and problem of a process in a group of its own with a bare environment."""
+    """Exit code, output, and problem of a process in a group of its own with a bare environment; one that runs or prints too long is killed."""
     if shutil.which(arguments[0]) is None:
         return None, b"", "no_tool"
     keep = {k: v for k, v in os.environ.items() if k in ("PATH", "HOME", "LANG", "TMPDIR")}
     process = subprocess.Popen(arguments, stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.PIPE, env=keep, start_new_session=True)
-    try:
-        out, err = process.communicate(timeout=seconds)
-    except subprocess.TimeoutExpired:
-        os.killpg(process.pid, 9)
-        process.communicate()
-        return None, b"", "timeout"
-    if len(out) > MOST_OUTPUT or len(err) > MOST_ERRORS:
-        return process.returncode, b"", "too_much_output"
-    return process.returncode, out, None if process.returncode == 0 else "failed"
+    until, kept, problem = time.monotonic() + seconds, bytearray(), None
+    room = {process.stdout: MOST_OUTPUT, process.stderr: MOST_ERRORS}
+    with selectors.DefaultSelector() as ready, process:
+        for pipe in room:
+            ready.register(pipe, selectors.EVENT_READ)
+        while ready.get_map() and problem is None:
+            events = ready.select(max(0.0, until - time.monotonic()))
+            if not events:
+                problem = "timeout"
+            for event, _ in events:
+                data = os.read(event.fd, 1 << 16)
+                room[event.fileobj] -= len(data)
+                if not data:
+                    ready.unregister(event.fileobj)
+                elif room[event.fileobj] < 0:
+                    problem = "too_much_output"
+                elif event.fileobj is process.stdout:
+                    kept += data
+        if problem is None:
+            try:
+                process.wait(max(0.0, until - time.monotonic()))
+            except subprocess.TimeoutExpired:
+                problem = "timeout"
+        if problem:
+            os.killpg(process.pid, signal.SIGKILL)
+            return None, b"", problem
+    return process.returncode, bytes(kept), None if process.returncode == 0 else "failed"
 
 
 def run_plan(plan: DataFrame, seconds: float = 120) -> DataFrame:

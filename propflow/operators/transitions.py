@@ -60,16 +60,27 @@ def plan(selected: DataFrame, previous: DataFrame, tombstones: DataFrame, second
     }
 
 
-def import_clips(existing: DataFrame, files: DataFrame, scenes: DataFrame, tombstones: DataFrame) -> DataFrame:
-    """Clip records of imported files; the same bytes again give the record that is there.
+def import_clips(existing: DataFrame, files: DataFrame, scenes: DataFrame, tombstones: DataFrame, entries: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Clip records of imported files, and files that are refused, with the reason.
+
+    The same bytes again give the record that is there.  ``entries``: project_id,
+    scene_id, expected_filename of the scenes' package, where there is one.
 
     ``files``: project_id, scene_id, name, sha256, size_bytes, probe (struct), n
     (order).  A record that was invalidated stays so, even if its bytes come again.
     """
     keys = ["project_id", "scene_id"]
-    active = clips.active_scene(files, scenes.select(*keys, "dependency_hash", F.col("duration_seconds").alias("_expected"), F.col("aspect_ratio").alias("_ratio")), tombstones, keys)
+    about = scenes.select(*keys, "dependency_hash", F.col("duration_seconds").alias("_expected"), F.col("aspect_ratio").alias("_ratio"))
+    if entries is None:
+        named = about.withColumn("expected_filename", F.lit(None).cast("string"))
+    else:
+        named = clips.expected_filename(about, entries, keys)
+    gone = tombstones.select(*keys).distinct().withColumn("_gone", F.lit(True))
+    met = files.join(named.withColumn("_there", F.lit(True)), keys, "left").join(gone, keys, "left")
+    active = F.coalesce("_there", F.lit(False)) & F.col("_gone").isNull()
+    met = met.withColumn("reason", clips.refusal(F.col("size_bytes"), F.col("name"), F.col("expected_filename"), active))
     # files that are no clips take no number
-    usable = active.where(F.col("size_bytes").between(1, clips.LARGEST) & clips.stored_name(F.lit(1), F.col("sha256"), F.col("name")).isNotNull())
+    usable = met.where("reason IS NULL").drop("_there", "_gone", "expected_filename", "reason")
     numbered = clips.revisions(existing.select(*keys, "sha256", "revision"), usable, keys, ["n"]).where("NOT replayed")
     facts = numbered.withColumns(clips.probe_summary(F.col("probe")))
     issues = clips.technical_issues(F.col("video_stream_count"), F.col("duration_seconds"), F.col("_expected"), F.col("width"), F.col("height"), F.col("_ratio"), F.col("sample_aspect_ratio"))
@@ -84,7 +95,7 @@ def import_clips(existing: DataFrame, files: DataFrame, scenes: DataFrame, tombs
         }
     )
     columns = [*keys, "clip_id", "revision", "path", "sha256", "technical_status", "technical_issues", "qc_status", "input_dependency_hash", "input_dependency_valid"]
-    return existing.select(*columns).unionByName(made.select(*columns))
+    return {"clips": existing.select(*columns).unionByName(made.select(*columns)), "refused": met.where("reason IS NOT NULL").select(*keys, "name", "sha256", "reason")}
 
 
 def record_reviews(reviews: DataFrame, existing: DataFrame, files: DataFrame) -> dict[str, DataFrame]:

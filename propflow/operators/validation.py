@@ -140,6 +140,8 @@ def validate(documents: DataFrame, column: str, schema: dict) -> DataFrame:
                 return first_fault(json.loads(text, object_pairs_hook=_no_repeats), schema)
             except (TypeError, ValueError):
                 return "$: not a document"
+            except RecursionError:
+                return "$: too deep"
 
         return texts.map(one)
 

@@ -35,7 +35,7 @@ def asset_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asset_upsert_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    first, second = (exact_assets(_candidates(docs.where(c))).withColumn("doc_id", F.col("first.position")).drop("first") for c in ("source < 'src2'", "source >= 'src2'"))
+    first, second = (exact_assets(_candidates(docs.where(c))).withColumn("doc_id", F.col("first.position")).drop("first") for c in ("source < 'src2'", "source >= 'src2' OR source IS NULL"))
     return upsert(first, second).select("sha256", "doc_id", F.col("exact_duplicate_count").cast("long").alias("exact_duplicate_count"), "preferred")
 
 
@@ -44,6 +44,14 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(hashed, 49, 12).select("left_asset_id", "right_asset_id", F.col("distance").cast("long").alias("distance"))
 
 
+def near_duplicate_pairs_64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of 64 bits, one for the sign of each number, at the usual distance of 6."""
+    bits = F.transform(F.slice("embedding", 1, 64), lambda x: F.when(x > 0, "1").otherwise("0"))
+    half = [F.lpad(F.conv(F.array_join(F.slice(bits, at, 32), ""), 2, 16), 8, "0") for at in (1, 33)]
+    hashed = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asset_id"), F.lower(F.concat(*half)).alias("dhash"))
+    return near_pairs(hashed, 64, 6).select("left_asset_id", "right_asset_id", F.col("distance").cast("long").alias("distance"))
+
+
 def contact_sheet_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = contact_sheet(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", ["doc_id"])
     return cells.select("source", "doc_id", *[F.col(c).cast("long").alias(c) for c in ("index", "row", "column", "x", "y")], "too_large")
@@ -75,9 +83,9 @@ def snapshot_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").cast("long").alias("size_bytes"), F.sha2("html", 256).alias("sha256"), readable(body).alias("problem"))
 
 
-def _listing_rows(found: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+def _listing_rows(found: DataFrame, key: str) -> DataFrame:
     fields = ("title", "location", "price", "area", "rooms", "floor", "property_type", "description")
-    return listings(found, pages, key).select(
+    return listings(found).select(
         F.col("page").cast("long").alias(key),
         *[F.col(f"{f}.value").alias(f) for f in fields],
         *[F.col(f"{f}.value_type").alias(f"{f}_type") for f in ("price", "rooms")],
@@ -90,7 +98,7 @@ def _listing_rows(found: DataFrame, pages: DataFrame, key: str) -> DataFrame:
 
 def listing_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return _listing_rows(candidates(pages, "page_id", "html", "url"), pages, "page_id")
+    return _listing_rows(candidates(pages, "page_id", "html", "url"), "page_id")
 
 
 def jsonld_pages(parts: DataFrame) -> DataFrame:
@@ -117,7 +125,7 @@ def jsonld_pages(parts: DataFrame) -> DataFrame:
 
 def listing_roundtrip_jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = jsonld_pages(table(spark, sf_dir, "part"))
-    return _listing_rows(candidates(pages, "p_partkey", "html"), pages, "p_partkey")
+    return _listing_rows(candidates(pages, "p_partkey", "html"), "p_partkey")
 
 
 def listing_roundtrip_og(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +137,7 @@ def listing_roundtrip_og(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<meta property="og:image" content="https://img.site-c.com/a.jpg"><meta property="og:image:url" content="https://img.site-c.com/a.jpg"></head></html>'),
     )
     pages = met.select("s_suppkey", html.alias("html"))
-    return _listing_rows(candidates(pages, "s_suppkey", "html"), pages, "s_suppkey")
+    return _listing_rows(candidates(pages, "s_suppkey", "html"), "s_suppkey")
 
 
 def srcset_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,7 +224,7 @@ def _listing_sql(key: str, source: str, **fields: str) -> str:
 
 
 QUERIES = {f.__name__: f for f in (
-    asset_exact_dedup, asset_upsert_two_batches, near_duplicate_pairs, contact_sheet_grid, contact_sheet_digest, directory_fingerprint, url_policy, url_policy_full, url_domain,
+    asset_exact_dedup, asset_upsert_two_batches, near_duplicate_pairs, near_duplicate_pairs_64, contact_sheet_grid, contact_sheet_digest, directory_fingerprint, url_policy, url_policy_full, url_domain,
     snapshot_stats, listing_from_pages, listing_roundtrip_jsonld, listing_roundtrip_og, srcset_explode, id_coverage, path_consistency, overlay_merge, collision_keys, rational_parse, archive_names, text_rules,
 )}
 
@@ -234,6 +242,11 @@ SQL = {
         p AS (SELECT x.vec_id AS left_asset_id, y.vec_id AS right_asset_id, list_sum(list_transform(range(1, 50), lambda i: abs(x.b[i] - y.b[i])))::BIGINT AS distance
               FROM h x JOIN h y ON x.vec_id < y.vec_id)
         SELECT * FROM p WHERE distance <= 12""",
+    "near_duplicate_pairs_64": """
+        WITH h AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END) AS b FROM embeddings),
+        p AS (SELECT x.vec_id AS left_asset_id, y.vec_id AS right_asset_id, list_sum(list_transform(range(1, 65), lambda i: abs(x.b[i] - y.b[i])))::BIGINT AS distance
+              FROM h x JOIN h y ON x.vec_id < y.vec_id)
+        SELECT * FROM p WHERE distance <= 6""",
     "contact_sheet_grid": """
         WITH n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS index, count(*) OVER (PARTITION BY source) AS n FROM documents),
         g AS (SELECT *, ceil(sqrt(n))::BIGINT AS c FROM n)

@@ -35,7 +35,7 @@ def _long(*names: str):
 
 def _scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as scenes, with a digest of what they show."""
-    turns = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL")
+    turns = table(spark, sf_dir, "conversations")
     return turns.select(
         F.col("conv_id").alias("project_id"),
         F.concat(F.lit("t"), F.col("turn").cast("string")).alias("scene_id"),

@@ -8,6 +8,8 @@ the same pass.  Python reads only the archive format itself.
 from __future__ import annotations
 
 import io
+import itertools
+import os
 import stat
 import zipfile
 from collections.abc import Iterator
@@ -23,6 +25,8 @@ from propflow.functions.text import collision_key
 #: Suffixes of images and of archives within archives.
 IMAGES = (".jpg", ".jpeg", ".png")
 NESTED = (".zip", ".7z", ".rar", ".tar", ".gz", ".tgz")
+#: Members of an archive that are held at a time.
+BATCH_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -76,12 +80,15 @@ def zip_entries(archives: DataFrame, key: str, content: str, with_content: bool
         except (OSError, zipfile.BadZipFile):
             yield (name, -1, None, False, "regular", False, 0, 0, False, True, None)
             return
-        for ix, info in enumerate(archive.infolist()):
+        members = archive.infolist()
+        # an archive over its limits is refused by its directory alone: nothing of it is inflated
+        open_ = len(members) <= limits.entries and sum(m.file_size for m in members) <= limits.total_bytes
+        for ix, info in enumerate(members):
             kind = stat.S_IFMT(info.external_attr >> 16 & 0xFFFF)
             mode = {stat.S_IFLNK: "symlink", stat.S_IFDIR: "directory", stat.S_IFREG: "regular", 0: "regular"}.get(kind, "special")
             folder = info.is_dir() or mode == "directory"
             body, nested, damaged = None, False, False
-            small = 0 < info.file_size <= min(limits.file_bytes, limits.ratio * max(1, info.compress_size))
+            small = open_ and 0 < info.file_size <= min(limits.file_bytes, limits.ratio * max(1, info.compress_size))
             if not folder and not info.flag_bits & 1 and small:
                 try:
                     with archive.open(info) as f:
@@ -96,7 +103,13 @@ def zip_entries(archives: DataFrame, key: str, content: str, with_content: bool
         names = [c.split()[0] for c in ENTRIES.split(", ")]
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = list(one(name, data))
+                rows, held = [], 0
+                for row in one(name, data):
+                    rows.append(row)
+                    held += len(row[-1] or b"") + 200
+                    if held > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                        rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
@@ -179,6 +192,38 @@ def folder_problems(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     ).drop("same", "total", "images")
 
 
+def folder_entries(folders: DataFrame, batch: str, path: str, limits: Limits = Limits()) -> DataFrame:
+    """(batch, relative_path, kind, size) of all that lies under folders of a file system that tasks share.
+
+    kind: file, symlink, special or directory (only those too deep to be gone
+    into).  Links are named and never followed.  Of a folder over the limit of
+    entries no more are listed than tell that it is.
+    """
+
+    def walk(top: str, inner: str, depth: int):
+        for entry in sorted(os.scandir(os.path.join(top, inner)), key=lambda e: e.name):
+            name = f"{inner}/{entry.name}" if inner else entry.name
+            if entry.is_symlink():
+                yield name, "symlink", 0
+            elif entry.is_dir(follow_symlinks=False):
+                if depth <= limits.depth:
+                    yield from walk(top, name, depth + 1)
+                else:
+                    yield name, "directory", 0
+            else:
+                regular = entry.is_file(follow_symlinks=False)
+                yield name, "file" if regular else "special", entry.stat(follow_symlinks=False).st_size if regular else 0
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for key, top in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                found = list(itertools.islice(walk(top, "", 0), limits.entries + 1))
+                names, kinds, sizes = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(kinds, pa.string()), pa.array(sizes, pa.int64())], ["batch", "relative_path", "kind", "size"])
+
+    return folders.select(F.col(batch).cast("string"), F.col(path).cast("string")).mapInArrow(run, "batch string, relative_path string, kind string, size long")
+
+
 def scan_folder(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
     """(path, modificationTime, length, content) of the images under a folder, not over the limit of a file."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

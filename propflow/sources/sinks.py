@@ -78,9 +78,16 @@ def write_document(spark: SparkSession, path: str, document: dict) -> None:
 
 
 def append_new(df: DataFrame, path: str, key: str, content: str) -> None:
-    """Append rows whose key is not there; the same content again is nothing, other content a Conflict."""
+    """Append rows whose key is not there; the same content again is nothing, other content a Conflict.
+
+    One writer at a time: two that append to one path at once need a lock of their own.
+    """
     spark = df.sparkSession
     place, fs = _file_system(spark, path)
+    unlike = df.groupBy(key).agg(F.count_distinct(F.struct(F.col(content).isNull(), F.coalesce(F.col(content).cast("string"), F.lit("")))).alias("n")).where("n > 1")
+    if not unlike.isEmpty():
+        raise Conflict(f"{path}: a batch has two contents under one key")
+    df = df.dropDuplicates([key])
     if fs.exists(place(path)):
         old = spark.read.parquet(path).select(key, F.col(content).alias("_there"))
         if not df.join(old, key).where(~F.col(content).eqNullSafe(F.col("_there"))).isEmpty():

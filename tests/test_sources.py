@@ -12,7 +12,7 @@ from propflow.sources import archives, html, images, manifests, sinks
 def listing(spark, page, url=None):
     pages = spark.createDataFrame([("p", bytearray(page.encode() if isinstance(page, str) else page), url)], "page string, html binary, url string")
     found = html.candidates(pages, "page", "html", "url")
-    return html.listings(found, pages, "page").first()
+    return html.listings(found).first()
 
 
 def test_json_ld_wins_over_open_graph(spark):
@@ -50,6 +50,23 @@ def test_bad_blocks_are_warnings(spark, block):
     assert row.title.value == "og" and len(row.warnings) == 1 and row.status == "partial"
 
 
+def test_deep_blocks_are_warnings(spark):
+    row = listing(spark, '<meta property="og:title" content="og"><script type="application/ld+json">' + "[" * 100_000 + "]" * 100_000 + "</script>")
+    assert row.title.value == "og" and len(row.warnings) == 1 and row.status == "partial"
+
+
+def test_tags_that_mean_nothing(spark):
+    row = listing(spark, '<svg><image href="https://a.pl/1.jpg"/></svg><sets srcset="https://a.pl/2.jpg"><reader><handle_data><IMG SRC="https://a.pl/3.jpg">')
+    assert [x.url for x in row.images] == ["https://a.pl/3.jpg"]
+
+
+def test_listings_read_pages_once(spark):
+    pages = spark.createDataFrame([("p", "<title>x</title>"), ("q", None)], "page string, html string")
+    made = html.listings(html.candidates(pages, "page", "html"))
+    assert made._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r.page: r.status for r in made.collect()} == {"p": "partial", "q": "refused"}
+
+
 def test_not_finite_is_null(spark):
     assert listing(spark, '<script type="application/ld+json">{"price": 1e400, "name": true}</script>').present == 0
 

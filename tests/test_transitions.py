@@ -39,9 +39,14 @@ def test_plans_clips_reviews_and_renders(spark):
     files = spark.createDataFrame([("p", s, f"{s}.mp4", f"h{n}", 5, probe, n) for n, s in enumerate(sorted(kept.values()))] + [("p", kept["i1"], "x.exe", "hx", 5, probe, 8)], "project_id string, scene_id string, name string, sha256 string, size_bytes long, probe string, n int")
     files = files.withColumn("probe", F.from_json("probe", FFPROBE))
     empty = spark.createDataFrame([], "project_id string, scene_id string, clip_id string, revision int, path string, sha256 string, technical_status string, technical_issues array<string>, qc_status string, input_dependency_hash string, input_dependency_valid boolean")
-    clips = transitions.import_clips(empty, files, scenes, gone).cache()
+    done = transitions.import_clips(empty, files, scenes, gone)
+    assert [(r.name, r.reason) for r in done["refused"].collect()] == [("x.exe", "suffix")]
+    clips = done["clips"].cache()
     assert {(r.technical_status, r.revision, r.input_dependency_valid) for r in clips.collect()} == {("passed", 1, True)} and clips.count() == 2
-    assert transitions.import_clips(clips, files, scenes, gone).count() == 2
+    assert transitions.import_clips(clips, files, scenes, gone)["clips"].count() == 2
+    expected = spark.createDataFrame([("p", kept["i1"], "other.mp4")], "project_id string, scene_id string, expected_filename string")
+    refused = transitions.import_clips(empty, files, scenes, scenes.where(F.col("scene_id") == kept["i2"]).select("project_id", "image_id", "scene_id"), expected)["refused"]
+    assert {(r.scene_id, r.reason) for r in refused.collect()} == {(kept["i1"], "unexpected_name"), (kept["i1"], "suffix"), (kept["i2"], "scene_not_active")}
 
     there = clips.select("project_id", "path", "sha256")
     reviews = clips.select("project_id", "scene_id", "revision", F.lit("approved").alias("status"), F.array(F.lit(" ")).alias("issues"), F.lit(True).alias("compared"), F.lit("seen").alias("evidence"), F.lit(1).alias("n"))
