@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +55,19 @@ def discard(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+def once_a_process(kind: str, key: str, make):
+    """``make(key)``, kept for the later tasks of a worker process; of each kind the last one is kept.
+
+    Functions travel to workers by value, so a global of a module that they name
+    would not outlive a task: what is kept is held by a module of its own.
+    """
+    kept = sys.modules.setdefault("_propflow_kept", types.ModuleType("_propflow_kept")).__dict__
+    found = kept.get(kind)
+    if found is None or found[0] != key:
+        found = kept[kind] = (key, make(key))
+    return found[1]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
