@@ -15,8 +15,10 @@ Cases: a null text counts as empty.  A text of fewer words than a k-mer has one
 k-mer, all its words; one without words has the empty fingerprint, which is
 alike (1.0) to another empty one and to no other.  Null identifiers come last.
 Rows alike in identifier are ordered by a hash of their texts.  A table of one
-row is its own next document.  Positions beyond 2 ** 24 words count as one
-place.  Other columns are not read.  An empty table gives an empty result.
+row is its own next document.  Equal hashes of a bin are taken in text order.  A
+very long text is worked on whole, in one task; positions have 30 bits, more than
+a string of 2 ** 31 bytes has words.  Other columns are not read, whatever their
+names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from propflow.llm.shared import partitions, table, text_of
 
 WORDS = 5
 #: Bins are the top BIN_BITS of a hash.
-BIN_BITS, PLACE_BITS = 5, 24
+BIN_BITS, PLACE_BITS = 5, 30
 TUPLE = 2
 _VALUE = 63 - PLACE_BITS
 _BIN = 63 - BIN_BITS
@@ -43,7 +45,7 @@ def _let(value: Column, use) -> Column:
 
 def _packed(h: Column, place: Column) -> Column:
     """Bin, hash and place of a k-mer in one number, which sorts by them."""
-    return F.shiftleft(F.shiftrightunsigned(h, 64 - _VALUE), PLACE_BITS).bitwiseOR(F.least(place, F.lit((1 << PLACE_BITS) - 1)).cast("long"))
+    return F.shiftleft(F.shiftrightunsigned(h, 64 - _VALUE), PLACE_BITS).bitwiseOR(place.cast("long"))
 
 
 def _numbered(hashes: Column) -> Column:

@@ -1,3 +1,6 @@
+import random
+import struct
+import pandas as pd
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -193,17 +196,70 @@ def test_lines(spark, odd, none, odd_rows):
 
 
 def sketch_model(text, k=order_minhash.WORDS):
-    """Numbered k-mers of a text, the set that the fingerprint selects from."""
+    """The fingerprint by its definition, k-mer by k-mer."""
     words = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    xx = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
     seen = Counter()
-    out = []
+    bins = defaultdict(list)
     for i in range(max(1, len(words) - k + 1)) if words else []:
-        mer = tuple(words[i : i + k])
-        out.append((mer, seen[mer]))
-        seen[mer] += 1
+        h = 42
+        for w in words[i : i + k]:
+            h = xx(w.encode(), h)
+        nth = seen[h]
+        seen[h] += 1
+        if nth:
+            h = xx(struct.pack("<i", nth), xx(struct.pack("<Q", h)))
+        value = h >> (64 - order_minhash._VALUE)
+        bins[value >> (order_minhash._VALUE - order_minhash.BIN_BITS)].append((value, i))
+    out = []
+    for number in sorted(bins):
+        chosen = sorted(sorted(bins[number])[: order_minhash.TUPLE], key=lambda x: x[1])
+        h = 42
+        for value, _ in chosen:
+            h = xx(struct.pack("<q", value), h)
+        out.append(number << 32 | h >> 32)
     return out
 
 
+def likeness_model(a, b):
+    either = {x >> 32 for x in a} | {x >> 32 for x in b}
+    return len({*a} & {*b}) / len(either) if either else 1.0
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("moved,least", [(False, 0.9), (True, 0.6)])
+def test_likeness_falls_with_edit_distance(moved, least):
+    """Rank correlation with the distance in words: of texts with scattered edits, and with some texts turned round as well.
+
+    A scattered edit spoils five k-mers and a moved block few, so likeness ranks
+    the two kinds apart, and the correlation over both is weaker.
+    """
+    rnd = random.Random(11)
+    pairs = []
+    for n in range(150):
+        words = [f"w{rnd.randrange(500)}" for _ in range(200)]
+        other = list(words)
+        for _ in range(n // 5):
+            at = rnd.randrange(len(other))
+            other[at : at + 1] = rnd.choice([[], [f"v{n}"], [other[at], f"v{n}"]])
+        if moved and n % 3 == 0:
+            cut = rnd.randrange(1, 60)
+            other = other[cut:] + other[:cut]
+        pairs.append((edit_distance(words, other), likeness_model(sketch_model(" ".join(words)), sketch_model(" ".join(other)))))
+    distance, like = (pd.Series(x).rank() for x in zip(*pairs))
+    print(distance.corr(like))
+    assert distance.corr(like) < -least
+
+
 def test_order_minhash(spark, odd, none, odd_rows):
     got = order_minhash.fingerprint_edits(odd).collect()
     assert len(got) == len(odd_rows) and order_minhash.fingerprint_edits(none).count() == 0
@@ -215,7 +271,14 @@ def test_order_minhash(spark, odd, none, odd_rows):
         cut = len(t) // 3
         want[i, len(t), hashlib.sha256((t[: len(t) - cut] + after[:cut]).encode()).hexdigest()] += 1
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
-    assert all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
+    model = {t: sketch_model(t) for t in {x[3] for x in order}}
+    likes = Counter()
+    for k, (_, _, _, t, i) in enumerate(order):
+        after = order[(k + 1) % len(order)][3]
+        cut = len(t) // 3
+        edited = sketch_model(t[: len(t) - cut] + after[:cut])
+        likes[i, "".join(f"{x:010x}" for x in model[t]), "".join(f"{x:010x}" for x in edited), likeness_model(model[t], edited), likeness_model(model[t], model[after])] += 1
+    assert Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got) == likes
     by_length = defaultdict(set)
     for r in got:
         by_length[r.n_chars].add(r.fingerprint)
@@ -243,4 +306,4 @@ def test_order_minhash_sees_order_and_counts(spark):
     # against the definition: of each bin the two smallest numbered k-mers, in text order
     for k in ("a", "repeated"):
         assert len(rows[k]) == len({x >> 32 for x in rows[k]}) <= 32
-    assert len(sketch_model(" ".join(repeated))) == 396 and max(n for _, n in sketch_model(" ".join(repeated))) == 3
+    assert {k: sorted(rows[k]) for k in rows} == {k: sketch_model(" ".join(v)) for k, v in texts.items()}
