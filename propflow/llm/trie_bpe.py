@@ -8,14 +8,16 @@ and a depth-first walk propagates the last-token state from each node to its
 children: a prefix that many words share is encoded once.  The end-of-word
 marker makes a word's last symbol a symbol of its own, the leaf.
 
-White space parts words and is dropped, so a text's ids are those of the chunks
-between white space, and those of words are kept while the cache holds them.
-Normalisation and word splitting of a chunk not met before, and of whole texts
-with rare white space, are the library's own.
+Texts of Latin letters are split into words by the tokenizer file's pattern, as
+Python has it; all others are normalised and split by the library.  Ids of words
+are kept while the cache holds them, so only words not met before are walked.
 
 Cases: a null text counts as empty and has no ids; strings of special tokens in
 a text give their ids, as the library does.  Null identifiers and repeated rows
-are encoded like any other.  Other columns are not read.
+are encoded like any other.  A very long text of Latin letters is worked on in
+parts cut between words, any other goes to the library whole; either way its ids
+are one value.  An empty table gives an empty result.  Other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,74 +33,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from propflow.llm.shared import table, text_of
+from propflow.llm.latin import LETTERS, NUMBERS, OTHER, SPACES, byte_letters, parts
+from propflow.llm.shared import once_a_process, table, text_of
 
-#: Entries of each cache; it is emptied when it holds more.
-CACHE_CHUNKS, CACHE_PAIRS = 200_000, 1_000_000
-#: Characters whose words go into one trie.
+#: Words of a generation of the cache; a full generation becomes the old one, and the old one goes.
+CACHE_WORDS = 300_000
+#: A longer word is not kept for later blocks.
+LONGEST_KEPT = 64
+#: Entries of what is known of pairs of tokens, and of steps of the walk; each is emptied when it holds more.
+CACHE_PAIRS = 500_000
+#: Characters whose words go into one trie, and of which a longer text is worked on at a time.
 BLOCK_CHARS = 1 << 20
 _NEVER = 1 << 40
-#: Characters that Python's split() and the tokenizer's pattern may not agree on.
-_RARE = re.compile(
-    "[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])) + "]"
-)
-#: Marks that end words; letters from here on, and one whose lower case is two, are left to the library.
-_MARKS, _LATIN_END = (".", ",", ";", ":", "!", "?"), chr(0x250)
-
-
-def _byte_letters() -> dict[int, int]:
-    """The printable letter that stands for each byte in a byte-level vocabulary."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return {b: b if b in own else next(others) for b in range(256)}
+#: The parts of a tokenizer file whose words are found by a pattern here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: The same for Latin texts.  Letters come first, for no other part begins with one.
+_WORDS = re.compile(rf"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
 def coder_of(json_text: str) -> TrieBPE:
     """The coder of a tokenizer file, one a process: tasks that share a worker share its caches."""
-    import tokenizers
-
-    # functions travel by value, so a global of this module would not outlive a task
-    kept = tokenizers.__dict__.setdefault("_propflow_coders", {})
-    key = hash(json_text)
-    if key not in kept:
-        kept.clear()
-        kept[key] = TrieBPE(json_text)
-    return kept[key]
+    return once_a_process("coder", json_text, TrieBPE)
 
 
 class TrieBPE:
-    """A word-level BPE vocabulary with an end-of-word suffix (or none)."""
+    """A word-level BPE vocabulary with an end-of-word suffix (or none).
+
+    A file whose model does more than merge pairs is refused.  A file whose
+    normaliser or pre-tokenizer are others than those named above has its texts
+    normalised and split whole by the library; one with special tokens that
+    take in their surroundings is encoded by the library alone.
+    """
 
     def __init__(self, json_text: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(json_text)
-        model = json.loads(json_text)["model"]
+        self.library.no_padding()
+        self.library.no_truncation()
+        file = json.loads(json_text)
+        model = file["model"]
+        if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            raise ValueError("this operator encodes by BPE merges alone: no dropout, unknown token, prefix, byte fallback or ignored merges")
+        self.by_pattern = file.get("normalizer") == NORMALIZER and file.get("pre_tokenizer") == PRE_TOKENIZER
+        added = file.get("added_tokens") or []
+        self.by_words = file.get("post_processor") is None and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        self.rank: dict[tuple[int, int], int] = {}
+        self.rank: dict[int, dict[int, int]] = {}
         self.halves: dict[int, tuple[int, int, int]] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             a, b, whole = self.vocab[left], self.vocab[right], self.vocab[left + right]
-            self.rank[a, b] = rank
+            self.rank.setdefault(a, {})[b] = rank
             self.halves.setdefault(whole, (a, b, rank))
         # without this a walk over times of merges would not be BPE
         if any(self.halves.get(x, (0, 0, -1))[2] >= rank for a, b, rank in self.halves.values() for x in (a, b)):
             raise ValueError("a merge comes before one that makes its parts")
-        self.longest = max(len(t) for t in self.vocab)
         self.added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.dtype = np.dtype("<u4")
-        self.letters = _byte_letters()
-        self._follows: dict[tuple[int, int], bool] = {}
+        self.letters = byte_letters()
+        # what a token may go on from: the texts that are the beginning of a longer one
+        bodies = (t.removesuffix(self.suffix) if self.suffix else t for t in self.vocab)
+        self.begun = {body[:k] for body in bodies for k in range(1, len(body))}
+        self._follows: dict[int, bool] = {}
         self._ends: dict[int, list[tuple[int, int]]] = {}
         self._begins: dict[int, list[tuple[int, int]]] = {}
         self._whole: dict[int, bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self._steps: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+        self._leaves: dict[str, list[tuple[int, int]]] = {}
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _edge(self, token: int, side: int, known: dict) -> list[tuple[int, int]]:
         """The parts that have stood at one edge of a token, each with the rank that ended it."""
@@ -114,23 +130,20 @@ class TrieBPE:
 
     def _crosses(self, a: int, b: int, limit: int) -> bool:
         """Whether a merge over the border of ``a`` and ``b`` comes before both are whole, and before ``limit``."""
-        for x, x_until in self._edge(a, 1, self._ends):
-            for y, y_until in self._edge(b, 0, self._begins):
-                rank = self.rank.get((x, y))
-                # of equal ranks the left one is merged first
-                if rank is not None and rank < x_until and rank <= y_until and rank < limit:
-                    return True
+        begins = self._begins.get(b) or self._edge(b, 0, self._begins)
+        for x, x_until in self._ends.get(a) or self._edge(a, 1, self._ends):
+            ranks = self.rank.get(x)
+            if ranks:
+                for y, y_until in begins:
+                    rank = ranks.get(y)
+                    # of equal ranks the left one is merged first
+                    if rank is not None and rank < x_until and rank <= y_until and rank < limit:
+                        return True
         return False
 
     def follows(self, a: int, b: int) -> bool:
         """Whether ``a`` then ``b`` is how their joined text is encoded."""
-        key = (a, b)
-        found = self._follows.get(key)
-        if found is None:
-            if len(self._follows) > CACHE_PAIRS:
-                self._follows.clear()
-            found = self._follows[key] = not self._crosses(a, b, _NEVER)
-        return found
+        return not self._crosses(a, b, _NEVER)
 
     def whole(self, token: int) -> bool:
         """Whether the token's text is encoded as the token."""
@@ -144,13 +157,38 @@ class TrieBPE:
             self._whole[token] = found
         return found
 
+    def _ending(self, text: str, suffix: str) -> list[tuple[int, int]]:
+        """Sizes and ids of the tokens that end ``text``, the longest first."""
+        found = ((len(text) - k, self.vocab.get(text[k:] + suffix)) for k in range(len(text)))
+        return [(size, token) for size, token in found if token is not None and self.whole(token)]
+
+    def _step(self, path: str) -> tuple[str, list[tuple[int, int]]]:
+        """How the walk goes on from a node: what a token may have begun there, and the tokens that end there.
+
+        ``path`` is what a token may have begun at the node's parent, and the node's symbol.
+        """
+        if len(self._steps) > CACHE_PAIRS:
+            self._steps.clear()
+        begun = next((path[k:] for k in range(len(path)) if path[k:] in self.begun), "")
+        step = self._steps[path] = (begun, self._ending(path, ""))
+        return step
+
+    def _leaf(self, path: str) -> list[tuple[int, int]]:
+        if len(self._leaves) > CACHE_PAIRS:
+            self._leaves.clear()
+        found = self._leaves[path] = self._ending(path, self.suffix)
+        return found
+
     def encode_words(self, words: set[str]) -> dict[str, bytes]:
         """Ids of distinct words (of the vocabulary's symbols) by one walk over their trie."""
         out = {}
-        vocab, names, pairs = self.vocab, self.names, self._follows
-        follows, whole, known_whole = self.follows, self.whole, self._whole
-        cut, longest, suffix = len(self.suffix), self.longest, self.suffix
-        lasts, before = [0] * (max(map(len, words), default=0) + 1), ""
+        pairs, steps, leaves = self._follows, self._steps, self._leaves
+        if len(pairs) > CACHE_PAIRS:
+            pairs.clear()
+        start_id = len(self.names)  # stands before each word's first token
+        deepest = max(map(len, words), default=0) + 1
+        # of each node of the current path: its last token and that token's size, and what may have begun there
+        lasts, sizes, begun, before = [start_id] * deepest, [0] * deepest, [""] * deepest, ""
         depth = 0  # nodes of the current path whose state is known
         for word in sorted(words):
             n = len(word)
@@ -160,77 +198,102 @@ class TrieBPE:
             depth, before = n - 1, word
             # the nodes below the shared ones, and last the leaf, whose symbol has the end-of-word marker
             for end in range(shared + 1, n + 1):
-                for start in range(end - longest if end > longest else 0, end):
-                    token = vocab.get(word[start:end] if end < n else word[start:] + suffix)
-                    if token is None or not (known_whole.get(token) or whole(token)):
-                        continue
-                    if start:
-                        fits = pairs.get((lasts[start], token))
-                        if fits is None:
-                            fits = follows(lasts[start], token)
-                        if not fits:
-                            continue
-                    break
+                path = begun[end - 1] + word[end - 1]
+                if end < n:
+                    begun[end], ending = steps.get(path) or self._step(path)
+                else:
+                    ending = leaves.get(path) or self._leaf(path)
+                for size, token in ending:
+                    key = lasts[end - size] << 24 | token
+                    fits = pairs.get(key)
+                    if fits is None:
+                        fits = pairs[key] = size == end or self.follows(lasts[end - size], token)
+                    if fits:
+                        break
                 else:
-                    raise ValueError(f"{word[:end]!r} has a symbol that the vocabulary lacks")
+                    break
                 if end < n:
-                    lasts[end] = token
-            ids = [token]
-            at = n + cut - len(names[token])
-            while at:
-                token = lasts[at]
-                ids.append(token)
-                at -= len(names[token])
-            ids.reverse()
-            out[word] = struct.pack(f"<{len(ids)}I", *ids)
+                    lasts[end], sizes[end] = token, size
+            else:
+                ids, at = [token], n - size
+                while at:
+                    ids.append(lasts[at])
+                    at -= sizes[at]
+                ids.reverse()
+                out[word] = array("I", ids).tobytes()
+                continue
+            # a symbol that the vocabulary lacks: what then stands for it is the library's to say
+            depth = end - 1
+            out[word] = array("I", [t.id for t in self.library.model.tokenize(word)]).tobytes()
         return out
 
-    def _pieces(self, text: str) -> list:
-        """Words, and ids of special tokens, of a text."""
-        low = text.lower()
-        # Latin letters, perhaps with a mark after them, are normal as they are and one word
-        body = low[:-1] if low[-1:] in _MARKS and low[-2:-1].isalpha() else low
-        if body.isalpha() and max(body) < _LATIN_END:
-            word = body.encode().decode("latin-1").translate(self.letters)
-            return [word] if body is low else [word, low[-1]]
+    def _words(self, text: str) -> list:
+        """Words of a text as keys of the cache, and ids of special tokens.
+
+        A word in the vocabulary's symbols is marked by a zero before it, one of Latin letters is not.
+        """
+        if self.by_pattern and not OTHER.search(text) and not any(t in text for t in self.added):
+            return _WORDS.findall(text.lower())
         out = []
         for part in self.split_added.split(text) if self.split_added else [text]:
             if part in self.added:
                 out.append(self.added[part])
             elif part:
                 normal = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
-                out += [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+                out += ["\0" + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)] if self.library.pre_tokenizer else ["\0" + normal]
         return out
 
-    def _joined(self, pieces: list) -> bytes:
-        return b"".join([self.words[p] if isinstance(p, str) else np.array([p], self.dtype).tobytes() for p in pieces])
+    def _symbols(self, word: str) -> str:
+        """The word in the vocabulary's symbols, of which each byte has one."""
+        if word[0] == "\0" and len(word) > 1:
+            return word[1:]
+        if word.isascii() and word.isprintable():
+            return word
+        return word.encode().decode("latin-1").translate(self.letters)
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not known; all but very long ones are known from then on."""
+        if len(self.known) > CACHE_WORDS:
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        met = {w: old[w] for w in words if w in old}
+        symbols = {w: self._symbols(w) for w in words if w not in met}
+        ids = self.encode_words(set(symbols.values()))
+        met |= {w: ids[s] for w, s in symbols.items()}
+        known |= {w: x for w, x in met.items() if len(w) <= LONGEST_KEPT}
+        return met
+
+    def _block(self, texts: list[str]) -> Iterator[bytes]:
+        get = self.known.get
+        split = [self._words(text) for text in texts]
+        found = [list(map(get, words)) for words in split]
+        new = {w for words, got in zip(split, found) if None in got for w, g in zip(words, got) if g is None and isinstance(w, str)}
+        met = self._learn(new) if new else {}
+        for words, got in zip(split, found):
+            if None in got:
+                got = [g if g is not None else met[w] if isinstance(w, str) else array("I", [w]).tobytes() for w, g in zip(words, got)]
+            yield b"".join(got)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text, little-endian and of 32 bits."""
-        a = 0
-        while a < len(texts):
-            block: list[tuple[list[str] | None, list | None]] = []
-            size = 0
-            while a < len(texts) and size < BLOCK_CHARS:
-                text = texts[a] or ""
-                size += len(text) + 1
-                block.append((None, self._pieces(text)) if _RARE.search(text) else (text.split(), None))
-                a += 1
-            if len(self.chunks) > CACHE_CHUNKS:
-                self.chunks.clear()
-            if len(self.words) > CACHE_CHUNKS:
-                self.words.clear()
-            known, words = self.chunks, self.words
-            distinct: set[str] = set()
-            for chunks, _ in block:
-                distinct.update(chunks or ())
-            new = {c: self._pieces(c) for c in distinct if c not in known}
-            wanted = {p for pieces in [*new.values(), *(p for _, p in block if p)] for p in pieces if p not in words and isinstance(p, str)}
-            words |= self.encode_words(wanted)
-            for c, pieces in new.items():
-                known[c] = words[pieces[0]] if len(pieces) == 1 and isinstance(pieces[0], str) else self._joined(pieces)
-            for chunks, pieces in block:
-                yield b"".join(map(known.__getitem__, chunks)) if pieces is None else self._joined(pieces)
+        if not self.by_words:
+            for text in texts:
+                yield array("I", self.library.encode(text or "", add_special_tokens=False).ids).tobytes()
+            return
+        block: list[str] = []
+        size = 0
+        for text in texts:
+            if self.by_pattern and text and len(text) > BLOCK_CHARS:
+                yield from self._block(block)
+                block, size = [], 0
+                yield b"".join([raw for part in parts(text, BLOCK_CHARS) for raw in self._block([part])])
+                continue
+            block.append(text or "")
+            size += len(block[-1])
+            if size > BLOCK_CHARS:
+                yield from self._block(block)
+                block, size = [], 0
+        yield from self._block(block)
 
     def decode(self, ids: np.ndarray) -> str:
         """Token texts joined by blanks: what the library does where a file names no decoder."""
