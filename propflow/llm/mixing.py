@@ -204,7 +204,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     counts, _ = staged(
         taken.where("size > 0").groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.max(times).alias("_times")).where("_times > 0"), "times"
     )
-    met = docs.join(counts, docs[id_col].cast("long").eqNullSafe(counts["_id"]) & (text_hash_of(docs, text_col) == counts["_hash"]))
+    # distinct keys are hashed and rows stream past them, so texts are never sorted
+    met = docs.join(counts.hint("shuffle_hash"), docs[id_col].cast("long").eqNullSafe(counts["_id"]) & (text_hash_of(docs, text_col) == counts["_hash"]))
     return met.withColumn("_nth", F.explode(F.sequence(F.lit(1), "_times"))).select(*[docs[c] for c in docs.columns])
 
 

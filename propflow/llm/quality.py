@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -254,15 +255,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows, with all their columns, whose score reaches the threshold."""
-    at = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1024):
-                part = batch.slice(a, 1024)
-                yield part.filter(pa.array(model.score(_matrix(part.column(at).to_pylist())) >= threshold))
+    @F.pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        parts = [model.score(_matrix(texts.iloc[a : a + 1024].tolist())) >= threshold for a in range(0, len(texts), 1024)]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0, bool))
 
-    return docs.mapInArrow(run, docs.schema)
+    # only texts go to Python, and a verdict comes back: the rows stay where they are
+    return docs.where(good(text_of(text_col)))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

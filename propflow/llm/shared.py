@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
@@ -10,6 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROW_GROUP_BYTES = 16 << 20
 _local_root: str | None = None
 
 
@@ -42,7 +45,8 @@ def staged(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # a writer holds a row group in memory, and tables here carry whole texts
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -55,6 +59,13 @@ def discard(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
+def give_back() -> None:
+    """Return freed memory of a worker process to the system, for workers outlive their tasks."""
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def once_a_process(kind: str, key: str, make):
     """``make(key)``, kept for the later tasks of a worker process; of each kind the last one is kept.
 
@@ -88,6 +99,9 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str)
     ``verdicts`` has id, text_hash, group (what one row stays of) and kept, one
     row for each of ``docs``.  Where several rows of a group are alike in
     identifier, and so all kept, one of them stays.
+
+    Rows are hashed to keys that are distinct, never sorted: their texts pass
+    through the join one by one.
     """
 
     def on(rows: DataFrame, keys: DataFrame) -> Column:
@@ -95,7 +109,7 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str, text_col: str)
 
     dropped = verdicts.where(~F.col("kept")).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     tied = verdicts.where("kept").groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.first("id").alias("_id"), F.collect_set("text_hash").alias("hashes")).where("n > 1")
-    left = docs.join(dropped, on(docs, dropped), "left_anti")
+    left = docs.join(dropped.hint("shuffle_hash"), on(docs, dropped), "left_anti")
     tied, _ = staged(tied.select("_id", "group", F.explode("hashes").alias("_hash")).distinct(), "tied")
     if tied.isEmpty():
         return left

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propflow.llm.components import components
-from propflow.llm.shared import keep_rows, staged, table, text_hash_of, text_of
+from propflow.llm.shared import give_back, keep_rows, staged, table, text_hash_of, text_of
 
 #: Fixed values of XXH64.
 _P1, _P2, _P3, _P4, _P5 = (
@@ -37,7 +37,7 @@ _P1, _P2, _P3, _P4, _P5 = (
 )
 SEED = np.uint64(42)
 #: Text bytes and shingles that a task works on at a time.
-BLOCK_BYTES, BLOCK_SHINGLES = 1 << 20, 1 << 16
+BLOCK_BYTES, BLOCK_SHINGLES = 1 << 19, 1 << 15
 
 
 def _rotl(x: np.ndarray, n: int) -> np.ndarray:
@@ -157,6 +157,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
             parts = [fingerprints(data, offsets, words) for data, offsets in _text_blocks(batch.column(2))]
             if parts:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(parts).view(np.int64)), batch.column(1)], ["id", "fp", "text_hash"])
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash_of(docs, text_col).alias("text_hash"), text_of(text_col).alias("text"))
     return rows.mapInArrow(scan, "id long, fp long, text_hash long")

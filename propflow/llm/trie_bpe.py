@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propflow.llm.latin import LETTERS, NUMBERS, OTHER, SPACES, byte_letters, parts
-from propflow.llm.shared import once_a_process, table, text_of
+from propflow.llm.shared import give_back, table, text_of
 
 #: Words of a generation of the cache; a full generation becomes the old one, and the old one goes.
 CACHE_WORDS = 300_000
@@ -59,11 +59,6 @@ PRE_TOKENIZER = {
 _WORDS = re.compile(rf"[{LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 
 
-def coder_of(json_text: str) -> TrieBPE:
-    """The coder of a tokenizer file, one a process: tasks that share a worker share its caches."""
-    return once_a_process("coder", json_text, TrieBPE)
-
-
 class TrieBPE:
     """A word-level BPE vocabulary with an end-of-word suffix (or none).
 
@@ -308,54 +303,53 @@ def _coder(spark: SparkSession, tokenizer: str):
     return spark.sparkContext.broadcast(text)
 
 
+def _with_coder(file, batches: Iterator[pa.RecordBatch], coded) -> Iterator[pa.RecordBatch]:
+    """``coded(coder, rows)`` for some rows at a time; the coder and its caches go with the task, so idle workers hold none."""
+    coder = TrieBPE(file.value)
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            yield coded(coder, batch.slice(a, 256))
+    del coder
+    give_back()
+
+
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary) for each row: little-endian ids of 32 bits."""
     file = _coder(docs.sparkSession, tokenizer)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(file.value)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(coder.encode(part.column(1).to_pylist())), pa.binary())], ["id", "ids"])
+    def coded(coder: TrieBPE, rows: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(list(coder.encode(rows.column(1).to_pylist())), pa.binary())], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, ids binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lambda batches: _with_coder(file, batches, coded), "id long, ids binary").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFrame:
     """(id, text) from (id, ids binary)."""
     file = _coder(encoded.sparkSession, tokenizer)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(file.value)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                texts = [coder.decode(np.frombuffer(x or b"", coder.dtype)) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts)], ["id", "text"])
+    def coded(coder: TrieBPE, rows: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [coder.decode(np.frombuffer(x or b"", coder.dtype)) for x in rows.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long").alias("id"), "ids").mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    rows = encoded.select(F.col(id_col).cast("long").alias("id"), "ids")
+    return rows.mapInArrow(lambda batches: _with_coder(file, batches, coded), "id long, text string").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encoding and decoding in one pass, without the ids leaving it."""
     file = _coder(docs.sparkSession, tokenizer)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = coder_of(file.value)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                n, ids, text = [], [], []
-                for raw in coder.encode(part.column(1).to_pylist()):
-                    n.append(len(raw) // 4)
-                    ids.append(hashlib.sha256(raw).hexdigest())
-                    text.append(hashlib.sha256(coder.decode(np.frombuffer(raw, coder.dtype)).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(text)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def coded(coder: TrieBPE, rows: pa.RecordBatch) -> pa.RecordBatch:
+        n, ids, text = [], [], []
+        for raw in coder.encode(rows.column(1).to_pylist()):
+            n.append(len(raw) // 4)
+            ids.append(hashlib.sha256(raw).hexdigest())
+            text.append(hashlib.sha256(coder.decode(np.frombuffer(raw, coder.dtype)).encode()).hexdigest())
+        return pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lambda batches: _with_coder(file, batches, coded), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def encoded(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
