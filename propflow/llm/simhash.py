@@ -206,9 +206,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 2) -> DataFrame:
     """One row, with all its columns, of each component: that of the smallest identifier."""
-    verdicts, _ = staged(near_duplicates(docs, id_col, text_col).withColumnRenamed(id_col, "id"), "verdicts")
+    verdicts, _ = staged(near_duplicates(docs, id_col, text_col, words, distance).withColumnRenamed(id_col, "id"), "verdicts")
     kept = F.col("id").eqNullSafe(F.col("component_id"))
     # a component without identifiers is known by its fingerprints alone
     group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))

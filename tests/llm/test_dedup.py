@@ -121,9 +121,12 @@ def test_simhash(odd, none, odd_rows):
     want = brute_components(set(prints.values()), [(i, prints[t]) for i, t, _ in odd_rows])
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter((i, f"{prints[t]:016x}", want[prints[t]]) for i, t, _ in odd_rows)
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.keep_one(odd)
+    kept = simhash.keep_one(odd, words=3)
     assert kept.columns == odd.columns and kept.count() == len(set(want.values()) | {None} & {want[prints[None]]})
     assert simhash.keep_one(none).count() == 0
+    five = simhash.near_duplicates(odd, words=5).collect()
+    groups = {r.fingerprint if r.component_id is None else r.component_id for r in five}
+    assert simhash.keep_one(odd).count() == len(groups)
 
 
 @pytest.mark.parametrize("distance", [1, 2, 3])
