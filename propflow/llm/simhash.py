@@ -8,6 +8,12 @@ and equal values meet in a shuffle.  Within a value's bucket the fingerprints,
 at most 65 distinct ones, are chained in order rather than paired; each link is
 verified and deduplicated, and links give components.
 
+Texts that share four fifths of their shingles differ in about ten bits of 64,
+and no ball of that radius can be emitted.  ``similar`` therefore takes a wide
+fingerprint of ``TABLES`` words of 32 bits, emits the ball of radius 1 of each
+word, chains buckets, and verifies links by the distance of the whole wide
+fingerprints.
+
 Cases: a null text counts as empty.  A text of fewer words than a shingle has
 one shingle, the whole sequence; one without words has fingerprint zero and is
 linked like any other.  A null identifier is never a component's smallest unless
@@ -36,6 +42,11 @@ _P1, _P2, _P3, _P4, _P5 = (
     np.uint64(0x27D4EB2F165667C5),
 )
 SEED = np.uint64(42)
+#: 32-bit words of a wide fingerprint.  Each is a table of its own in which alike texts may meet.
+TABLES = 12
+#: Bits of a wide fingerprint in which alike texts may differ: a similarity of 0.8 turns 0.1515
+#: of all bits (58) on average, with a deviation of 7.
+WIDE_DISTANCE = 60
 #: Text bytes and shingles that a task works on at a time.
 BLOCK_BYTES, BLOCK_SHINGLES = 1 << 19, 1 << 15
 
@@ -101,10 +112,23 @@ def xxh64(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: np.uint6
     return out
 
 
-def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = 3) -> np.ndarray:
-    """SimHash of the texts ``data[offsets[i]:offsets[i + 1]]``, UTF-8 bytes."""
+def lane(h: np.ndarray, k: int) -> np.ndarray:
+    """The ``k``-th hash derived from each hash: the hash itself, then mixes of it."""
+    if not k:
+        return h
+    with np.errstate(over="ignore"):
+        h = (h + np.uint64(k) * _P3) * _P1
+        h = (h ^ (h >> np.uint64(29))) * _P2
+        return h ^ (h >> np.uint64(32))
+
+
+def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = 3, lanes: int = 1) -> np.ndarray:
+    """SimHash of the texts ``data[offsets[i]:offsets[i + 1]]``, UTF-8 bytes.
+
+    With several lanes, a row of as many 64-bit fingerprints for each text.
+    """
     n = len(offsets) - 1
-    result = np.zeros(n, np.uint64)
+    result = np.zeros(n, np.uint64) if lanes == 1 else np.zeros((n, lanes), np.uint64)
     solid = ~((data == 0x20) | ((data >= 0x09) & (data <= 0x0D)))
     place = np.flatnonzero(solid)
     if not len(place):
@@ -127,15 +151,17 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: int = 3) -> np.nd
     of = np.repeat(np.arange(n), shingles)
     head = np.arange(len(of)) - np.repeat(np.cumsum(shingles) - shingles, shingles) + lead[of]
     tail = head + np.minimum(counts[of], words) - 1
-    votes = np.zeros((n, 64), np.int64)
+    votes = np.zeros((lanes, n, 64), np.int64)
     for a in range(0, len(of), BLOCK_SHINGLES):
         part = slice(a, a + BLOCK_SHINGLES)
         h = xxh64(clean, starts[head[part]], ends[tail[part]])
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         cut = np.flatnonzero(np.r_[True, np.diff(of[part]) > 0])
-        votes[of[part][cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
-    over = votes * 2 > shingles[:, None]
-    return np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
+        for k in range(lanes):
+            bits = np.unpackbits(lane(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes[k, of[part][cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
+    over = votes * 2 > shingles[None, :, None]
+    prints = np.packbits(over, axis=2, bitorder="little").view("<u8")[:, :, 0]
+    return prints[0] if lanes == 1 else np.ascontiguousarray(prints.T)
 
 
 def _text_blocks(column: pa.Array, most: int = BLOCK_BYTES):
@@ -206,13 +232,67 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 2) -> DataFrame:
-    """One row, with all its columns, of each component: that of the smallest identifier."""
-    verdicts, _ = staged(near_duplicates(docs, id_col, text_col, words, distance).withColumnRenamed(id_col, "id"), "verdicts")
+def wide_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """(id, fp, text_hash): the wide fingerprint of each row, as an array of signed 64-bit numbers."""
+    lanes = TABLES // 2
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [fingerprints(data, offsets, words, lanes) for data, offsets in _text_blocks(batch.column(2))]
+            if parts:
+                flat = np.concatenate(parts).view(np.int64).ravel()
+                fp = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, lanes, dtype=np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0), fp, batch.column(1)], ["id", "fp", "text_hash"])
+        give_back()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_hash_of(docs, text_col).alias("text_hash"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(scan, "id long, fp array<long>, text_hash long")
+
+
+def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """(u, v): links between nodes whose wide fingerprints are within ``distance``.
+
+    ``prints`` has node and fp; nodes ascend with their fingerprints.  A bucket
+    holds the words within a bit of its variant.  Each member is compared with
+    the two before it, so work is linear in the bucket.
+    """
+    from pyspark.sql import Window
+
+    words = F.array(*[F.shiftrightunsigned(F.col("fp")[t // 2], 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF)) for t in range(TABLES)])
+    masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << k for k in range(32))]])
+    tables = prints.select("node", F.posexplode(words).alias("t", "word"))
+    variants = tables.select("node", "t", "word", F.explode(masks).alias("mask"))
+    variants = variants.select(F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("word").bitwiseXOR(F.col("mask"))).alias("variant"), "node")
+    bucket = Window.partitionBy("variant").orderBy("node")
+    near = variants.select(F.col("node").alias("u"), F.array_compact(F.array(F.lag("node", 1).over(bucket), F.lag("node", 2).over(bucket))).alias("before"))
+    met = near.select("u", F.explode("before").alias("v")).distinct()
+    left, right = (prints.select(F.col("node").alias(n), F.col("fp").alias(f)) for n, f in (("u", "a"), ("v", "b")))
+    apart = sum((F.bit_count(F.col("a")[k].bitwiseXOR(F.col("b")[k])) for k in range(TABLES // 2)), F.lit(0))
+    return met.join(left, "u").join(right, "v").where(apart <= distance).select("u", "v")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """(id, component, component_id, text_hash) for each row: classes of alike texts.
+
+    ``component`` numbers the class, ``component_id`` is its smallest identifier.
+    """
+    rows, _ = staged(wide_simhash(docs, id_col, text_col, words), "fingerprints")
+    prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
+    # sorted, so that alike fingerprints are often neighbours in a bucket; numbers hold once written
+    prints, _ = staged(prints.sort("fp").withColumn("node", F.monotonically_increasing_id()), "prints")
+    root = components(wide_links(prints, distance))
+    grouped = prints.join(root, prints.node == root.u, "left").select("fp", "least", F.coalesce("v", "node").alias("root"))
+    grouped, _ = staged(grouped, "grouped")
+    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    final, _ = staged(grouped.join(smallest, "root").select(F.col("fp").alias("of"), F.col("root").alias("component"), "component_id"), "classes")
+    return rows.join(final, F.col("fp") == F.col("of")).select(F.col("id").alias(id_col), "component", "component_id", "text_hash")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """One row, with all its columns, of each class of ``similar``: that of the smallest identifier."""
+    verdicts, _ = staged(similar(docs, id_col, text_col, words, distance).withColumnRenamed(id_col, "id"), "verdicts")
     kept = F.col("id").eqNullSafe(F.col("component_id"))
-    # a component without identifiers is known by its fingerprints alone
-    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
-    return keep_rows(docs, verdicts.select("id", "text_hash", group.alias("group"), kept.alias("kept")), id_col, text_col)
+    return keep_rows(docs, verdicts.select("id", "text_hash", F.col("component").cast("string").alias("group"), kept.alias("kept")), id_col, text_col)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

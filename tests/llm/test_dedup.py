@@ -121,12 +121,81 @@ def test_simhash(odd, none, odd_rows):
     want = brute_components(set(prints.values()), [(i, prints[t]) for i, t, _ in odd_rows])
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter((i, f"{prints[t]:016x}", want[prints[t]]) for i, t, _ in odd_rows)
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.keep_one(odd, words=3)
-    assert kept.columns == odd.columns and kept.count() == len(set(want.values()) | {None} & {want[prints[None]]})
-    assert simhash.keep_one(none).count() == 0
-    five = simhash.near_duplicates(odd, words=5).collect()
-    groups = {r.fingerprint if r.component_id is None else r.component_id for r in five}
-    assert simhash.keep_one(odd).count() == len(groups)
+
+
+def test_similar_of_odd_rows(odd, none, odd_rows):
+    """Every row has a class with its smallest identifier; one row of each class stays."""
+    got = simhash.similar(odd).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in odd_rows)
+    classes = defaultdict(list)
+    for r in got:
+        classes[r.component].append(r)
+    for rows in classes.values():
+        known = [r.doc_id for r in rows if r.doc_id is not None]
+        assert {r.component_id for r in rows} == {min(known, default=None)}
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and kept.count() == len(classes)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(rows[0].component_id for rows in classes.values())
+    assert simhash.similar(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def wide_fingerprint(text, words=5):
+    """Bits set in over half the derived hashes, lane after lane, from the definition."""
+    full = (1 << 64) - 1
+    p1, p2, p3 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+    found = re.findall(r"[^\x20\x09-\x0D]+", text)
+    shingles = [" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))] if found else []
+    out = 0
+    for k in range(simhash.TABLES // 2):
+        votes = [0] * 64
+        for s in shingles:
+            h = xxhash.xxh64_intdigest(s, seed=42)
+            if k:
+                h = (h + k * p3) * p1 & full
+                h = (h ^ h >> 29) * p2 & full
+                h ^= h >> 32
+            for b in range(64):
+                votes[b] += h >> b & 1
+        out |= sum(1 << b for b in range(64) if votes[b] * 2 > len(shingles)) << 64 * k
+    return out
+
+
+def test_similar_against_exact_similarity(spark):
+    """Links of the stage against all pairs: 0.9 of those alike by 0.8 share a class, and no class is held by longer links."""
+    rnd = random.Random(3)
+    texts = []
+    for n in range(40):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.randrange(60, 160))]
+        for c in range(rnd.choice([1, 2, 3, 12])):
+            copy = list(base)
+            for _ in range(rnd.randrange(3) if c else 0):
+                copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(5000)}"
+            texts.append(" ".join(copy))
+    # copies of one text, in number far beyond the others
+    texts += [texts[0]] * 300
+    got = {r.doc_id: r.component for r in simhash.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    distinct = {t: i for i, t in reversed(list(enumerate(texts)))}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t, i in distinct.items()}
+    prints = {i: wide_fingerprint(t) for t, i in distinct.items()}
+    alike = same = 0
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    alike += 1
+                    same += got[a] == got[b]
+                if (prints[a] ^ prints[b]).bit_count() <= simhash.WIDE_DISTANCE:
+                    root[find(a)] = find(b)
+    assert alike > 100 and same >= 0.9 * alike
+    assert all(find(a) == find(b) for a in sets for b in sets if got[a] == got[b])
+    assert len({got[i] for i, t in enumerate(texts) if t == texts[0]}) == 1
 
 
 @pytest.mark.parametrize("distance", [1, 2, 3])
