@@ -108,8 +108,8 @@ class TrieBPE:
         self._whole: dict[int, bool] = {}
         self._steps: dict[str, tuple[str, list[tuple[int, int]]]] = {}
         self._leaves: dict[str, list[tuple[int, int]]] = {}
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str | tuple[str], bytes] = {}
+        self.old: dict[str | tuple[str], bytes] = {}
 
     def _edge(self, token: int, side: int, known: dict) -> list[tuple[int, int]]:
         """The parts that have stood at one edge of a token, each with the rank that ended it."""
@@ -225,7 +225,7 @@ class TrieBPE:
     def _words(self, text: str) -> list:
         """Words of a text as keys of the cache, and ids of special tokens.
 
-        A word in the vocabulary's symbols is marked by a zero before it, one of Latin letters is not.
+        A word in the vocabulary's symbols is a tuple of one, which no word found by the pattern can be.
         """
         if self.by_pattern and not OTHER.search(text) and not any(t in text for t in self.added):
             return _WORDS.findall(text.lower())
@@ -235,18 +235,18 @@ class TrieBPE:
                 out.append(self.added[part])
             elif part:
                 normal = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
-                out += ["\0" + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)] if self.library.pre_tokenizer else ["\0" + normal]
+                out += [(w,) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)] if self.library.pre_tokenizer else [(normal,)]
         return out
 
-    def _symbols(self, word: str) -> str:
+    def _symbols(self, word: str | tuple[str]) -> str:
         """The word in the vocabulary's symbols, of which each byte has one."""
-        if word[0] == "\0" and len(word) > 1:
-            return word[1:]
+        if isinstance(word, tuple):
+            return word[0]
         if word.isascii() and word.isprintable():
             return word
         return word.encode().decode("latin-1").translate(self.letters)
 
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
+    def _learn(self, words: set) -> dict:
         """Ids of words that are not known; all but very long ones are known from then on."""
         if len(self.known) > CACHE_WORDS:
             self.old, self.known = self.known, {}
@@ -255,18 +255,18 @@ class TrieBPE:
         symbols = {w: self._symbols(w) for w in words if w not in met}
         ids = self.encode_words(set(symbols.values()))
         met |= {w: ids[s] for w, s in symbols.items()}
-        known |= {w: x for w, x in met.items() if len(w) <= LONGEST_KEPT}
+        known |= {w: x for w, x in met.items() if len(w[0] if isinstance(w, tuple) else w) <= LONGEST_KEPT}
         return met
 
     def _block(self, texts: list[str]) -> Iterator[bytes]:
         get = self.known.get
         split = [self._words(text) for text in texts]
         found = [list(map(get, words)) for words in split]
-        new = {w for words, got in zip(split, found) if None in got for w, g in zip(words, got) if g is None and isinstance(w, str)}
+        new = {w for words, got in zip(split, found) if None in got for w, g in zip(words, got) if g is None and not isinstance(w, int)}
         met = self._learn(new) if new else {}
         for words, got in zip(split, found):
             if None in got:
-                got = [g if g is not None else met[w] if isinstance(w, str) else array("I", [w]).tobytes() for w, g in zip(words, got)]
+                got = [g if g is not None else array("I", [w]).tobytes() if isinstance(w, int) else met[w] for w, g in zip(words, got)]
             yield b"".join(got)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:

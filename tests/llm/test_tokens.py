@@ -14,7 +14,7 @@ from propflow.llm import byte_bpe, token_counts, token_store, trie_bpe
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 HARD = [
     "", " ", "\n\n", " a", "a ", "a\n b\tc\r\nd", "it's DON'T we'll 'S ''s", "x<|endoftext|>y <|startoftext|>\n", "日本 語\nбв ΣΑΣ İstanbul é ñ", "a\x1cb c\x85d\xa0e\u3000f", "a" * 300, "!?!?.,,,", "12,000.50%",
-    "ab\x00cd", "haha" * 50, "😀👍🏽 ok", "ß ẞ ﬁ ½ ①", "word, word. word; Word! (word)", "ªº ʰ ǅ", "'tis 's're''ll'v x've'd 'S", "a \n\n b\xa0 c \x85\x85 d\xa0", "x\xa0", "'", "'r", "\xa0're", "²³ a1²",
+    "\x00:", "\x00\x00", "\x00!! ok", "日\x00: x", "ab\x00cd", "haha" * 50, "😀👍🏽 ok", "ß ẞ ﬁ ½ ①", "word, word. word; Word! (word)", "ªº ʰ ǅ", "'tis 's're''ll'v x've'd 'S", "a \n\n b\xa0 c \x85\x85 d\xa0", "x\xa0", "'", "'r", "\xa0're", "²³ a1²",
 ]
 texts = st.text(st.sampled_from(list("abcdetheingou éèÉİß'’.,!09 \n\t|<>#")) | st.characters(exclude_categories=["Cs"]), max_size=60)
 
