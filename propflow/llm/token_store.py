@@ -227,7 +227,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
         rows_before += count
     base = spark.createDataFrame(bases, "part int, base long, rows_before long")
     place = [(F.col("rows_before") + F.col("before")).alias("nth"), "doc_id", (F.col("base") + F.col("inner")).alias("start")]
-    ranged.join(F.broadcast(base), "part").select(*place, "n_tokens", "digests", "root").write.parquet(f"{path}/recipes")
+    # ranged again, since a scan packs files by size: the files then ascend in name order, and the rows within each
+    ordered = ranged.join(F.broadcast(base), "part").select(*place, "n_tokens", "digests", "root")
+    ordered.repartitionByRange(n, "nth").sortWithinPartitions("nth").write.parquet(f"{path}/recipes")
     width = ByteEncoder(open(tokenizer, encoding="utf-8").read()).dtype.itemsize
     about = spark.createDataFrame([(0, width, 0, 0, "bytes of an id")], "level int, node long, docs long, n_tokens long, root string")
     _tree(spark.read.parquet(f"{path}/recipes")).unionByName(about).write.parquet(f"{path}/manifest")

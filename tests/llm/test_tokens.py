@@ -1,12 +1,14 @@
 import hashlib
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from propflow.llm import byte_bpe, token_counts, token_store, trie_bpe
@@ -185,11 +187,33 @@ def test_store(spark, odd, none, odd_rows, tmp_path):
     assert token_store.read_checksums(spark, str(tmp_path / "none")).count() == 0
 
 
+def in_files(path):
+    """Identifiers and places of recipes as they stand in the files, taken in name order."""
+    import pyarrow.parquet as pq
+
+    tables = [pq.read_table(f) for f in sorted(Path(path, "recipes").glob("part-*"))]
+    return [(n, d) for t in tables for n, d in zip(t["nth"].to_pylist(), t["doc_id"].to_pylist())]
+
+
+def test_files_ascend(spark, sf_dir, tmp_path, monkeypatch):
+    """Files in name order hold the documents in ascending order, whatever sizes their scans have."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy(F.rand(3)).repartition(7)
+    sizes = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        token_store.write_store(docs, str(tmp_path / "store"), BYTE)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", sizes[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", sizes[1])
+    got = in_files(tmp_path / "store")
+    assert [n for n, _ in got] == list(range(docs.count()))
+    assert [d for _, d in got] == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
 def test_store_finds_damage(spark, odd, tmp_path):
     path = str(tmp_path / "store")
     token_store.write_store(odd.limit(5), path, BYTE)
-    from pyspark.sql import functions as F
-
     parts = spark.read.parquet(f"{path}/parts")
     parts.withColumn("data", F.when(F.col("data").isNotNull(), F.concat("data", F.lit(b"\1\0")))).write.partitionBy("kind").parquet(str(tmp_path / "bad" / "parts"))
     for name in ("recipes", "manifest"):
