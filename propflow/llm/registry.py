@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from propflow.llm import exact_dedup, line_dedup, mixing, order_minhash, quality, simhash, token_counts, token_store, trie_bpe, url_filter
+from propflow.llm import collocations, exact_dedup, importance, language_id, line_dedup, mixing, order_minhash, quality, simhash, token_counts, token_store, trie_bpe, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -13,10 +13,15 @@ QUERIES = {
     "op8_order_minhash": order_minhash.op8_order_minhash,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_importance": importance.op12_importance,
+    "op13_language_id": language_id.op13_language_id,
 }
 
 SQL = {
     "op6_url_filter": url_filter.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op11_collocations": collocations.SQL,
+    "op12_importance": importance.SQL,
 }

@@ -50,6 +50,26 @@ def staged(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def numbered(df: DataFrame, order: list, name: str) -> tuple[DataFrame, int]:
+    """``df`` with a column that numbers its rows from 0 in the order given, and the number of rows.
+
+    Rows are dealt by range and sorted there; only the sizes of ranges, as many as
+    partitions, meet in one place.
+    """
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    rows, _ = staged(ranged.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    # the number of a row holds its partition above 33 bits, and its place there below
+    place, part = F.col(name).bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright(F.col(name), 33)
+    sizes = sorted(map(tuple, rows.groupBy(part.alias("part")).count().collect()))
+    before, at = [], 0
+    for k, n in sizes:
+        before.append((k, at))
+        at += n
+    lead = spark.createDataFrame(before, "_part long, _before long")
+    return rows.join(F.broadcast(lead), part == F.col("_part")).select(*df.columns, (F.col("_before") + place).alias(name)), at
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Remove staged tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
