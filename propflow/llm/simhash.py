@@ -10,9 +10,10 @@ verified and deduplicated, and links give components.
 
 Texts that share four fifths of their shingles differ in about ten bits of 64,
 and no ball of that radius can be emitted.  ``similar`` therefore takes a wide
-fingerprint of ``TABLES`` words of 32 bits, emits the ball of radius 1 of each
-word, chains buckets, and verifies links by the distance of the whole wide
-fingerprints.
+fingerprint of ``TABLES`` words of 32 bits and emits the ball of radius 1 of each
+word, so two texts collide if a word of theirs differs in two bits or fewer.  Every
+colliding pair is either in one component already, by links of equal words that
+were verified before, or is verified by the distance of the whole wide fingerprints.
 
 Cases: a null text counts as empty.  A text of fewer words than a shingle has
 one shingle, the whole sequence; one without words has fingerprint zero and is
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propflow.llm.components import components
@@ -45,8 +46,8 @@ SEED = np.uint64(42)
 #: 32-bit words of a wide fingerprint.  Each is a table of its own in which alike texts may meet.
 TABLES = 12
 #: Bits of a wide fingerprint in which alike texts may differ: a similarity of 0.8 turns 0.1515
-#: of all bits (58) on average, with a deviation of 7.
-WIDE_DISTANCE = 60
+#: of all bits (58) on average, with a deviation of 7, so this keeps five sixths of the pairs that are just alike.
+WIDE_DISTANCE = 66
 #: Text bytes and shingles that a task works on at a time.
 BLOCK_BYTES, BLOCK_SHINGLES = 1 << 19, 1 << 15
 
@@ -249,26 +250,72 @@ def wide_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(scan, "id long, fp array<long>, text_hash long")
 
 
-def wide_links(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """(u, v): links between nodes whose wide fingerprints are within ``distance``.
+def _words_of(fp: Column) -> Column:
+    return F.array(*[F.shiftrightunsigned(fp[t // 2], 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF)) for t in range(TABLES)])
 
-    ``prints`` has node and fp; nodes ascend with their fingerprints.  A bucket
-    holds the words within a bit of its variant.  Each member is compared with
-    the two before it, so work is linear in the bucket.
-    """
-    from pyspark.sql import Window
 
-    words = F.array(*[F.shiftrightunsigned(F.col("fp")[t // 2], 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF)) for t in range(TABLES)])
-    masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << k for k in range(32))]])
-    tables = prints.select("node", F.posexplode(words).alias("t", "word"))
-    variants = tables.select("node", "t", "word", F.explode(masks).alias("mask"))
-    variants = variants.select(F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("word").bitwiseXOR(F.col("mask"))).alias("variant"), "node")
-    bucket = Window.partitionBy("variant").orderBy("node")
-    near = variants.select(F.col("node").alias("u"), F.array_compact(F.array(F.lag("node", 1).over(bucket), F.lag("node", 2).over(bucket))).alias("before"))
-    met = near.select("u", F.explode("before").alias("v")).distinct()
+def _near(pairs: DataFrame, prints: DataFrame, distance: int) -> DataFrame:
+    """The pairs (u, v) of nodes whose whole fingerprints are within ``distance``."""
     left, right = (prints.select(F.col("node").alias(n), F.col("fp").alias(f)) for n, f in (("u", "a"), ("v", "b")))
     apart = sum((F.bit_count(F.col("a")[k].bitwiseXOR(F.col("b")[k])) for k in range(TABLES // 2)), F.lit(0))
-    return met.join(left, "u").join(right, "v").where(apart <= distance).select("u", "v")
+    return pairs.join(left, "u").join(right, "v").where(apart <= distance).select("u", "v")
+
+
+def equal_word_links(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """(u, v): verified links of nodes to the first node that has an equal word.
+
+    They connect most of a large group at the cost of TABLES rows a node.
+    """
+    tables = prints.select("node", F.posexplode(_words_of(F.col("fp"))).alias("t", "word"))
+    first = tables.groupBy("t", "word").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = tables.join(first, ["t", "word"]).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    return _near(met, prints, distance)
+
+
+def colliding_links(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """(u, v): verified links of all colliding nodes that are not in one component yet.
+
+    ``prints`` has node, fp and comp.  A bucket holds the words within a bit of its
+    variant.  Of buckets with several components, the nodes outside the bucket's
+    largest meet all its nodes of other components; whatever else a bucket holds is
+    of one component, however much it is.  A pair meets once for each word in
+    which it collides.
+    """
+    from pyspark.sql import Window
+
+    masks = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(m).cast("long").alias("bits")) for k, m in enumerate([0, *(1 << k for k in range(32))])])
+    tables = prints.select("node", "comp", F.posexplode(_words_of(F.col("fp"))).alias("t", "word"))
+    variants = tables.select("node", "comp", "t", "word", F.explode(masks).alias("mask")).select(
+        F.shiftleft(F.col("t").cast("long"), 32).bitwiseOR(F.col("word").bitwiseXOR(F.col("mask.bits"))).alias("variant"),
+        F.shiftleft("node", 6).bitwiseOR(F.col("mask.k")).alias("tag"),  # a node, and which of its variants this is
+        "comp",
+    )
+    bucket = Window.partitionBy("variant")
+    mixed = variants.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).where("low < high").drop("low", "high")
+    mixed, _ = staged(mixed, "mixed")
+    sizes = mixed.groupBy("variant", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("variant").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
+    few = mixed.join(main, "variant").where("comp <> main").select("variant", "main", F.col("tag").alias("x"), F.col("comp").alias("x_comp"))
+    node, mask = (lambda c: F.shiftright(c, 6)), (lambda c: F.col(c).bitwiseAND(F.lit(63)))
+    met = few.join(mixed, "variant").where(
+        (F.col("x_comp") != F.col("comp"))
+        # two outside the largest meet in one order, and any pair in one of the buckets that its word shares
+        & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("tag")))
+        & ((mask("x") == 0) | ((mask("tag") != 0) & (mask("x") < mask("tag"))))
+    )
+    return _near(met.select(node("x").alias("u"), node("tag").alias("v")).distinct(), prints, distance)
+
+
+def wide_components(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+    """``prints`` (node, fp, and more) with ``comp``, a node of the component: all links of colliding nodes count."""
+
+    def marked(links: DataFrame) -> DataFrame:
+        root = components(links).withColumnsRenamed({"u": "_u", "v": "_v"})
+        return prints.join(root, prints.node == root["_u"], "left").select(*prints.columns, F.coalesce("_v", "node").alias("comp"))
+
+    first, _ = staged(equal_word_links(prints, distance), "equal")
+    early, _ = staged(marked(first), "early")
+    return marked(first.unionByName(colliding_links(early, distance)))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
@@ -278,11 +325,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     """
     rows, _ = staged(wide_simhash(docs, id_col, text_col, words), "fingerprints")
     prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    # sorted, so that alike fingerprints are often neighbours in a bucket; numbers hold once written
-    prints, _ = staged(prints.sort("fp").withColumn("node", F.monotonically_increasing_id()), "prints")
-    root = components(wide_links(prints, distance))
-    grouped = prints.join(root, prints.node == root.u, "left").select("fp", "least", F.coalesce("v", "node").alias("root"))
-    grouped, _ = staged(grouped, "grouped")
+    prints, _ = staged(prints.withColumn("node", F.monotonically_increasing_id()), "prints")  # numbers hold once written
+    grouped, _ = staged(wide_components(prints, distance).select("fp", "least", F.col("comp").alias("root")), "grouped")
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     final, _ = staged(grouped.join(smallest, "root").select(F.col("fp").alias("of"), F.col("root").alias("component"), "component_id"), "classes")
     return rows.join(final, F.col("fp") == F.col("of")).select(F.col("id").alias(id_col), "component", "component_id", "text_hash")

@@ -198,6 +198,49 @@ def test_similar_against_exact_similarity(spark):
     assert len({got[i] for i, t in enumerate(texts) if t == texts[0]}) == 1
 
 
+def test_every_colliding_pair_counts(spark):
+    """Components are those of all pairs that share a word up to two bits and are near: with a hot group, a chain and strays."""
+    rng = np.random.default_rng(17)
+    lanes = simhash.TABLES // 2
+
+    def turned(x, n):
+        bits = np.unpackbits(x.view(np.uint8))
+        bits[rng.choice(len(bits), n, replace=False)] ^= 1
+        return np.packbits(bits).view(np.uint64)
+
+    base = rng.integers(0, 2**63, (30, lanes), dtype=np.uint64) * np.uint64(2)
+    prints = [*base] + [turned(base[0], int(n)) for n in rng.integers(1, 90, 150)]  # a group of two thirds of all
+    for b in base[1:12]:
+        prints += [turned(b, int(n)) for n in rng.integers(30, 80, 3)]
+    link = base[20]
+    for _ in range(12):  # each is near the one before only
+        link = turned(link, 50)
+        prints.append(link)
+    # a stray that shares one word with the group and is far from it, and one near it that shares none exactly
+    stray = rng.integers(0, 2**63, lanes, dtype=np.uint64)
+    stray[0] = base[0][0]
+    near = base[0].copy()
+    near.view(np.uint32)[:] ^= np.uint32(1 << 9)
+    prints = np.unique(np.stack([*prints, stray, near]), axis=0)
+    words = prints.view(np.uint32).reshape(len(prints), -1)
+    least = {i: i for i in range(len(prints))}
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for a in range(len(prints)):
+        apart = np.bitwise_count(words[a] ^ words[a + 1 :])
+        for b in np.flatnonzero((apart.min(1) <= 2) & (apart.sum(1) <= simhash.WIDE_DISTANCE)) if len(apart) else ():
+            x, y = sorted((find(a), find(a + 1 + int(b))))
+            least[y] = x
+    frame = spark.createDataFrame([(i, p.view(np.int64).tolist()) for i, p in enumerate(prints)], "node long, fp array<long>").repartition(3)
+    got = {r.node: r.comp for r in simhash.wide_components(frame).collect()}
+    assert len(got) == len(prints)
+    assert len({find(i) for i in got}) == len(set(got.values())) == len({(find(i), c) for i, c in got.items()})
+
+
 @pytest.mark.parametrize("distance", [1, 2, 3])
 def test_links_connect_all_within_distance(spark, distance):
     rng = np.random.default_rng(distance)
