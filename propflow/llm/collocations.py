@@ -15,9 +15,11 @@ range of words, to their full length, before the next range, so a task holds the
 bitmaps of one range at a time.
 
 What is rare in the whole corpus can't be part of a frequent phrase.  Three rounds
-use that: counts of words, of pairs of frequent words, and of longer phrases all
-of whose pairs are frequent.  After each round a shard is told, by a join, which of
-its own words or pairs are frequent; nothing is broadcast or collected.
+use that: popcounts of words, of pairs of frequent words, and of longer phrases all
+of whose pairs are frequent.  In each round a shard sends its popcounts packed, one
+piece for each part of the keys (as many as shuffle partitions); a part adds up what
+all shards sent it, and tells each shard which of its own words or pairs are frequent.
+Nothing is broadcast or collected, and a key, however frequent, comes once a shard.
 
 Cases: a null text has no words, a null language is ``und``.  Repeated rows and
 null identifiers count like any other row.  A very long text is cut into shards
@@ -28,6 +30,7 @@ columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from propflow.llm.shared import discard, give_back, numbered, staged, table, text_of
+from propflow.llm.shared import discard, give_back, partitions, staged, table, text_of
 
 #: Capitals A-Z to small letters; marks and line ends that close a piece to a full stop.
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
@@ -79,7 +82,7 @@ def _pieces(text: bytes, most: int = PART_BYTES) -> Iterator[list[bytes]]:
 
 
 def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = SHARD_WORDS) -> DataFrame:
-    """(shard, lang, words, ids): distinct words of a shard by their numbers from 1, and the numbers at its positions."""
+    """(shard, lang, words, ids, n): distinct words of a shard by their numbers from 1, the numbers at its positions, and how many have one."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, _Shard] = {}
@@ -88,7 +91,8 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most
             done = open_.pop(lang)
             words = list(done.number)[1:]
             ids = np.concatenate(done.parts).astype("<i4").tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([words], pa.list_(pa.binary())), pa.array([ids], pa.binary())], ["lang", "words", "ids"])
+            n = int(np.count_nonzero(np.frombuffer(ids, "<i4")))
+            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([b" ".join(words)], pa.binary()), pa.array([ids], pa.binary()), pa.array([n], pa.int64())], ["lang", "words", "ids", "n"])
 
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
@@ -103,39 +107,148 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most
         give_back()
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
-    made = rows.mapInArrow(gather, "lang string, words array<binary>, ids binary")
+    made = rows.mapInArrow(gather, "lang string, words binary, ids binary, n long")
     return made.withColumn("shard", F.monotonically_increasing_id())
 
 
-def _word_counts(parts: DataFrame) -> DataFrame:
-    """(shard, lang, at, word, n): popcounts of the words of each shard; ``at`` is a word's number there."""
+def _packed(keys: np.ndarray) -> bytes:
+    """Ascending numbers as differences, their bytes by place: what is alike stands together, and shuffles small."""
+    return np.diff(keys, prepend=keys.dtype.type(0)).view(np.uint8).reshape(len(keys), -1).T.tobytes()
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(kind).ravel(), dtype=kind)
+
+
+def _dealt(part: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Parts and their rows, of rows sorted by part."""
+    first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+    for a, b in zip(first, [*first[1:], len(part)]):
+        yield int(part[a]), slice(a, b)
+
+
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def _as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
+
+_WORDS = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("at", pa.binary()), ("n", pa.binary())])
+_KEYS = pa.schema([("part", pa.int64()), ("shard", pa.int64()), ("size", pa.int64()), ("keys", pa.binary()), ("n", pa.binary())])
+#: What a part gives: kind 0 tells a shard which of its keys are frequent, and their ids; kind 1 is a frequent word or key.
+_FOUND = pa.schema([("kind", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("lang", pa.string()), ("word", pa.string()), ("id", pa.int64()), ("size", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("f", pa.int64())])
+_DDL = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"`{f.name}` {_DDL[f.type]}" for f in schema)
+
+
+def _ids(part: int, count: int, parts: int) -> np.ndarray:
+    """Numbers of a part's own; they are below 2 ** 31, so that two fit one key."""
+    if count and part + parts * (count - 1) >= 1 << 31:
+        raise ValueError("more than 2 ** 31 frequent words or pairs")
+    return part + parts * np.arange(count, dtype=np.int64)
+
+
+def _word_counts(shards: DataFrame, parts: int) -> DataFrame:
+    """Popcounts of words, packed by shard and part; ``at`` has the words' numbers in their shard."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, lang, words, ids in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, lang, joined, ids in zip(*(c.to_pylist() for c in batch.columns)):
+                words = joined.split(b" ") if joined else []
                 n = np.bincount(np.frombuffer(ids, "<i4"), minlength=len(words) + 1)[1:]
-                at = np.arange(1, len(words) + 1)
-                same = [pa.array([x] * len(words), kind) for x, kind in ((shard, pa.int64()), (lang, pa.string()))]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(at), pa.array(words, pa.binary()).cast(pa.string()), pa.array(n)], ["shard", "lang", "at", "word", "n"])
-
-    return parts.select("shard", "lang", "words", "ids").mapInArrow(count, "shard long, lang string, at long, word string, n long")
-
+                part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
+                order = np.argsort(part, kind="stable")
+                rows = [(p, shard, lang, b" ".join([words[k] for k in order[x]]), _packed(order[x] + 1), n[order[x]].tobytes()) for p, x in _dealt(part[order])]
+                yield _as_batch(rows, _WORDS)
+        give_back()
 
-def _recoded(parts: DataFrame, alive: DataFrame) -> DataFrame:
+    return shards.select("shard", "lang", "words", "ids").mapInArrow(count, _ddl(_WORDS))
+
+
+def _frequent_words(counts: DataFrame, least: int, parts: int) -> DataFrame:
+    def add(table: pa.Table) -> pa.Table:
+        part = table["part"][0].as_py()
+        totals: dict[str, dict[bytes, int]] = {}
+        for row in range(table.num_rows):
+            of = totals.setdefault(table["lang"][row].as_py(), {})
+            for word, n in zip(table["words"][row].as_py().split(b" "), np.frombuffer(table["n"][row].as_py(), np.int64).tolist()):
+                of[word] = of.get(word, 0) + n
+        often = sorted((lang, word) for lang, of in totals.items() for word, n in of.items() if n >= least)
+        number = dict(zip(often, _ids(part, len(often), parts).tolist()))
+        rows = []
+        for row in range(table.num_rows):
+            lang = table["lang"][row].as_py()
+            ids = [number.get((lang, w)) for w in table["words"][row].as_py().split(b" ")]
+            at = _unpacked(table["at"][row].as_py(), "<i8")
+            there = [k for k, x in enumerate(ids) if x is not None]
+            if there:
+                rows.append((0, table["shard"][row].as_py(), at[there].tobytes(), np.array([ids[k] for k in there], np.int64).tobytes(), *[None] * 7))
+        rows += [(1, None, None, None, lang, word.decode(), k, 1, None, None, totals[lang][word]) for (lang, word), k in number.items()]
+        return pa.Table.from_batches([_as_batch(rows, _FOUND)])
+
+    return counts.groupBy("part").applyInArrow(add, _ddl(_FOUND))
+
+
+def _frequent_keys(counts: DataFrame, least: int, parts: int, tell: bool) -> DataFrame:
+    def add(table: pa.Table) -> pa.Table:
+        part, rows = table["part"][0].as_py(), []
+        sizes = table["size"].to_numpy()
+        for size in np.unique(sizes).tolist():
+            of = np.flatnonzero(sizes == size)
+            keys = [_unpacked(table["keys"][int(k)].as_py(), "<i8") for k in of]
+            every, n = np.concatenate(keys), np.concatenate([np.frombuffer(table["n"][int(k)].as_py(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for k in of])
+            order = np.argsort(every, kind="stable")
+            every = every[order]
+            first = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
+            total = np.add.reduceat(n[order].astype(np.int64), first)
+            often, total = every[first][total >= least], total[total >= least]
+            ids = _ids(part, len(often), parts) if tell else [None] * len(often)
+            if tell and len(often):
+                for k, mine in zip(of, keys):
+                    at = np.minimum(np.searchsorted(often, mine), len(often) - 1)
+                    there = often[at] == mine
+                    if there.any():
+                        rows.append((0, table["shard"][int(k)].as_py(), mine[there].tobytes(), ids[at[there]].tobytes(), *[None] * 7))
+            rows += [(1, *[None] * 5, None if i is None else int(i), size, key >> 32, key & 0xFFFFFFFF, f) for i, key, f in zip(ids, often.tolist(), total.tolist())]
+        return pa.Table.from_batches([_as_batch(rows, _FOUND)])
+
+    return counts.groupBy("part").applyInArrow(add, _ddl(_FOUND))
+
+
+def _told(found: DataFrame) -> DataFrame:
+    """(shard, told): what a shard was told, a piece for each part at most."""
+    return found.where("kind = 0").groupBy("shard").agg(F.collect_list(F.struct("keys", "ids")).alias("told"))
+
+
+def _joined(told: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, and their ids."""
+    keys, ids = (np.frombuffer(b"".join(x[c] for x in told), "<i8") for c in ("keys", "ids"))
+    order = np.argsort(keys)
+    return keys[order], ids[order]
+
+
+def _recoded(shards: DataFrame, found: DataFrame) -> DataFrame:
     """(shard, own, line): positions of the frequent words of a shard, numbered anew from 1, and their numbers in the corpus."""
 
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, ids, at, word in zip(*(c.to_pylist() for c in batch.columns)):
-                line = np.frombuffer(ids, "<i4")
-                at, word = np.array(at, np.int64), np.array(word, np.int64)
+            for row in range(batch.num_rows):
+                line = np.frombuffer(batch.column(1)[row].as_py(), "<i4")
+                at, word = _joined(batch.column(2)[row].as_py())
                 new = np.zeros(int(max(line.max(initial=0), at.max())) + 1, np.int32)
                 new[at] = np.arange(1, len(at) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([word], pa.list_(pa.int64())), pa.array([new[line].tobytes()], pa.binary())], ["shard", "own", "line"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([word.tobytes()], pa.binary()), pa.array([new[line].tobytes()], pa.binary())], ["shard", "own", "line"])
+        give_back()
 
-    lists = alive.groupBy("shard").agg(F.collect_list(F.struct("at", "word_id")).alias("x"))
-    met = parts.select("shard", "ids").join(lists.hint("shuffle_hash"), "shard")
-    return met.select("shard", "ids", F.col("x.at").alias("at"), F.col("x.word_id").alias("word")).mapInArrow(recode, "shard long, own array<long>, line binary")
+    return shards.select("shard", "ids").join(_told(found).hint("shuffle_hash"), "shard").mapInArrow(recode, "shard long, own binary, line binary")
 
 
 def ranges_of(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -192,76 +305,82 @@ def extended(line: np.ndarray, longest: int, pairs: np.ndarray | None = None, mo
                 yield phrases, popcounts
 
 
-def _phrase_rows(shard: int, own: np.ndarray, phrases: np.ndarray, popcounts: np.ndarray) -> pa.RecordBatch:
-    n, size = phrases.shape
-    ids = pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size, dtype=np.int32)), pa.array(own[phrases - 1].ravel()))
-    code = phrases[:, 0] << 32 | phrases[:, 1]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), ids, pa.array(code), pa.array(popcounts)], ["shard", "ids", "code", "n"])
-
-
-_ROWS = "shard long, ids array<long>, code long, n long"
+def _sent(shard: int, size: int, keys: np.ndarray, n: np.ndarray, parts: int) -> list[tuple]:
+    """Keys of a shard, of which one may come in several ranges, packed by part."""
+    part = _part_of(keys, parts)
+    order = np.lexsort((keys, part))
+    return [(p, shard, size, _packed(keys[order[x]]), n[order[x]].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) for p, x in _dealt(part[order])]
 
 
-def _pair_counts(coded: DataFrame) -> DataFrame:
-    """(shard, ids, code, n): pairs of frequent words in each shard; ``code`` is the pair in the shard's numbers."""
+def _pair_counts(coded: DataFrame, parts: int) -> DataFrame:
+    """Popcounts of pairs of frequent words; a key is the words' numbers, first << 32 | second."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, own, line in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.array(own, np.int64)
-                for phrases, n in extended(np.frombuffer(line, "<i4"), 2):
-                    yield _phrase_rows(shard, own, phrases, n)
+            for row in range(batch.num_rows):
+                shard, own, line = (c[row].as_py() for c in batch.columns)
+                own = np.frombuffer(own, "<i8")
+                found = [(own[p[:, 0] - 1] << 32 | own[p[:, 1] - 1], n) for p, n in extended(np.frombuffer(line, "<i4"), 2)]
+                if found:
+                    yield _as_batch(_sent(shard, 2, *map(np.concatenate, zip(*found)), parts), _KEYS)
         give_back()
 
-    return coded.select("shard", "own", "line").mapInArrow(count, _ROWS)
+    return coded.select("shard", "own", "line").mapInArrow(count, _ddl(_KEYS))
 
 
-def _long_counts(coded: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
-    """(shard, ids, code, n): phrases of three words to ``longest``, all of whose pairs are frequent."""
+def _long_counts(coded: DataFrame, found: DataFrame, longest: int, parts: int) -> DataFrame:
+    """Popcounts of phrases of three words and four, all of whose pairs are frequent; a key is the numbers of the first pair and the last."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, own, line, codes in zip(*(c.to_pylist() for c in batch.columns)):
-                own = np.array(own, np.int64)
-                for phrases, n in extended(np.frombuffer(line, "<i4"), longest, np.sort(np.array(codes, np.int64))):
-                    yield _phrase_rows(shard, own, phrases, n)
+            for row in range(batch.num_rows):
+                shard, own, line, told = (c[row].as_py() for c in batch.columns)
+                own = np.frombuffer(own, "<i8")
+                keys, ids = _joined(told)
+                # the pairs in the shard's own numbers
+                order = np.argsort(own)
+                local = [order[np.searchsorted(own[order], w)] + 1 for w in (keys >> 32, keys & 0xFFFFFFFF)]
+                codes = local[0] << 32 | local[1]
+                by_code = np.argsort(codes)
+                codes, ids = codes[by_code], ids[by_code]
+                sizes: dict[int, list] = {}
+                for p, n in extended(np.frombuffer(line, "<i4"), longest, codes):
+                    first, last = (ids[np.searchsorted(codes, p[:, k] << 32 | p[:, k + 1])] for k in (0, p.shape[1] - 2))
+                    sizes.setdefault(p.shape[1], []).append((first << 32 | last, n))
+                rows = [r for size, several in sizes.items() for r in _sent(shard, size, *map(np.concatenate, zip(*several)), parts)]
+                if rows:
+                    yield _as_batch(rows, _KEYS)
         give_back()
 
-    lists = pairs.groupBy("shard").agg(F.collect_list("code").alias("codes"))
-    return coded.join(lists.hint("shuffle_hash"), "shard").select("shard", "own", "line", "codes").mapInArrow(count, _ROWS)
+    return coded.join(_told(found).hint("shuffle_hash"), "shard").select("shard", "own", "line", "told").mapInArrow(count, _ddl(_KEYS))
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Phrases that come ``least`` times or oftener in their language.
+    """Phrases of up to ``longest`` (two to four) words that come ``least`` times or oftener in their language.
 
     Gives (ids, f) with phrases of one word on as arrays of word numbers, (word_id,
-    lang, word, f), and (lang, n) with the words of each language.  A word has a
+    lang, word), and (lang, n) with the words of each language.  A word has a
     number of its own in each language.
     """
-    spark = docs.sparkSession
-    parts, shards_path = staged(shards(docs, text_col, lang_col), "shards")
-    local, local_path = staged(_word_counts(parts), "words")
-    totals = local.groupBy("lang").agg(F.sum("n").alias("n"))
-    totals, _ = staged(totals, "totals")
-    often = local.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    # numbers are dense, so arrays of them pack well
-    words, _ = staged(numbered(often, ["lang", "word"], "word_id")[0], "vocabulary")
-    alive = local.join(words, ["lang", "word"]).select("shard", "at", "word_id")
-    coded, coded_path = staged(_recoded(parts, alive), "coded")
-    discard(spark, shards_path, local_path)
-
-    def summed(counts: DataFrame) -> DataFrame:
-        return counts.groupBy("ids").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-
-    local, local_path = staged(_pair_counts(coded), "pairs")
-    pairs, _ = staged(summed(local), "frequent")
-    found = words.select(F.array("word_id").alias("ids"), "f").unionByName(pairs)
+    if not 2 <= longest <= 4:
+        raise ValueError("phrases have two to four words")
+    parts = partitions(docs.sparkSession)
+    told, shards_path = staged(shards(docs, text_col, lang_col), "shards")
+    totals, _ = staged(told.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    words, _ = staged(_frequent_words(_word_counts(told, parts), least, parts), "vocabulary")
+    coded, coded_path = staged(_recoded(told, words), "coded")
+    discard(docs.sparkSession, shards_path)
+    pairs, _ = staged(_frequent_keys(_pair_counts(coded, parts), least, parts, tell=True), "pairs")
+    vocabulary = words.where("kind = 1").select(F.col("id").alias("word_id"), "lang", "word", "f")
+    two = pairs.where("kind = 1").select("id", F.array("left", "right").alias("ids"), "f")
+    found = vocabulary.select(F.array("word_id").alias("ids"), "f").unionByName(two.drop("id"))
     if longest > 2:
-        own = local.join(pairs.select("ids"), "ids").select("shard", "code")
-        more, _ = staged(summed(_long_counts(coded, own, longest)), "frequent")
-        found = found.unionByName(more)
-    discard(spark, coded_path, local_path)
-    return found, words, totals
+        more, _ = staged(_frequent_keys(_long_counts(coded, pairs, longest, parts), least, parts, tell=False), "phrases")
+        first, last = (two.select(F.col("id").alias(side), F.col("ids").alias(f"{side}_ids")) for side in ("left", "right"))
+        met = more.select("size", "left", "right", "f").join(first, "left").join(last, "right")
+        found = found.unionByName(met.select(F.concat("left_ids", F.slice("right_ids", (5 - F.col("size")).cast("int"), 2)).alias("ids"), "f"))
+    discard(docs.sparkSession, coded_path)
+    return staged(found, "found")[0], vocabulary.drop("f"), totals
 
 
 def _exact(column: str) -> Column:
