@@ -69,71 +69,109 @@ def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-#: Most combinations of bands that one hash is sent under.
-MOST_COMBINATIONS = 128
+#: Most values that one hash is sent under.
+MOST_PROBES = 4096
+#: What a value sent costs against a meeting verified.
+PROBE_COST = 4
 
 
-def band_plan(hashes: int, bits: int, distance: int) -> tuple[int, int]:
-    """(bands, shared): how many bands to cut hashes into, and how many of them meet at a time.
+def _bands(bits: int, distance: int, count: int) -> list[tuple[int, int, int]]:
+    """(start, width, radius) of each band, from the first bit on; bands that need no meeting are left out.
 
-    Of ``distance + shared`` bands, ``shared`` at least are equal in any pair that
-    counts.  More bands at a time are more rows to send and fewer wrong meetings;
-    the pair that costs least for so many hashes is taken.
+    Hashes within ``distance`` = count * r + s differ in r bits or fewer in one of
+    the first s + 1 bands, or in fewer than r in one of the others.
     """
+    r, s = divmod(distance, count)
+    edges = [bits * k // count for k in range(count + 1)]
+    found = [(edges[k], edges[k + 1] - edges[k], r if k <= s else r - 1) for k in range(count)]
+    return [b for b in found if b[2] >= 0]
 
-    def cost(shared: int) -> float:
-        bands = distance + shared
-        ways = math.comb(bands, shared)
-        return hashes * ways + hashes * hashes / 2 * ways * 2.0 ** (-bits * shared / bands)
 
-    able = [k for k in range(2, bits - distance + 1) if math.comb(distance + k, k) <= MOST_COMBINATIONS]
-    best = min(able or [1], key=cost)
-    # wider rows and more of them have to be worth it
-    shared = best if cost(best) < cost(1) / 4 else 1
-    return distance + shared, shared
+def _ball(width: int, radius: int) -> int:
+    return sum(math.comb(width, k) for k in range(min(width, radius) + 1))
+
+
+def band_plan(hashes: int, bits: int, distance: int) -> list[tuple[int, int, int]]:
+    """The bands that so many hashes are best met by: values sent weighed against chance meetings."""
+
+    def cost(bands: list[tuple[int, int, int]]) -> float:
+        sent = sum(_ball(w, r) for _, w, r in bands)
+        met = sum(_ball(w, r) / 2.0**w for _, w, r in bands)
+        return hashes * sent * PROBE_COST + hashes * hashes / 2 * met
+
+    plans = [_bands(bits, distance, n) for n in range(max(1, -(-bits // 30)), min(bits, distance + 1) + 1)]
+    return min([p for p in plans if sum(_ball(w, r) for _, w, r in p) <= MOST_PROBES] or plans[-1:], key=cost)
+
+
+def _numbers(h: Column, bits: int) -> list[Column]:
+    """The bits of a hex hash as signed numbers of 64, the last one from the end."""
+    digits = math.ceil(bits / 4)
+    whole = F.lpad(h, -(-digits // 16) * 16, "0")
+    return [F.conv(F.substring(whole, at + 1, 16), 16, -10).cast("long") for at in range(0, -(-digits // 16) * 16, 16)]
+
+
+def _band_of(numbers: list[Column], bits: int, start: int, width: int) -> Column:
+    """The bits of a band, 30 at most, as a number; a band may lie over two numbers."""
+    first = len(numbers) * 64 - bits + start
+    last = first + width - 1
+    low = F.shiftrightunsigned(numbers[last // 64], 63 - last % 64)
+    if first // 64 < last // 64:
+        low = low.bitwiseOR(F.shiftleft(numbers[first // 64], last % 64 + 1))
+    return low.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
 def near_hashes(hashes: DataFrame, bits: int, distance: int, dhash: str = "dhash") -> DataFrame:
     """(a, b, distance): pairs of distinct hex hashes, a before b, that differ in at most ``distance`` bits.
 
-    Hashes meet in an equi-join on combinations of bands of bits, chosen for
-    their number, and are then compared.  A pair is met in the first combination
-    of its equal bands only.
+    Multi-index hashing: every band of a hash is sent as it is, and with all
+    values within the band's radius; the two meet in an equi-join on band and
+    value, and are then compared.  A pair counts in the first band in which it
+    is within the radius.
     """
     if distance >= bits:
         raise ValueError("a distance of all bits leaves no band to meet in")
     distinct = hashes.select(F.col(dhash).alias("h")).where("h IS NOT NULL").distinct()
-    bands, shared = band_plan(distinct.count(), bits, distance)
-    digits = math.ceil(bits / 4)
-    edges = [digits * 4 - bits + bits * k // bands for k in range(bands + 1)]  # places from the first bit on
-
-    def band(h: Column, k: int) -> Column:
-        # of the digits that cover the band, the bits within it: 15 digits at most, more in hex
-        first, last = edges[k] // 4, (edges[k + 1] - 1) // 4
-        text = F.substring(h, first + 1, last - first + 1)
-        if last - first + 1 > 15:
-            return F.xxhash64(text)
-        number = F.shiftright(F.conv(text, 16, 10).cast("long"), 4 * (last + 1) - edges[k + 1])
-        return number.bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1).cast("long"))
-
-    ways = list(itertools.combinations(range(bands), shared))
-    with_bands = distinct.select("h", F.array(*[band(F.col("h"), k) for k in range(bands)]).alias("bands"))
-    chosen = F.array(*[F.array(*[F.lit(k) for k in way]) for way in ways])
-    keys = F.transform(chosen, lambda way, n: F.xxhash64(n, F.transform(way, lambda k: F.get("bands", k))))
-    # the hash as numbers, made once: a meeting costs an XOR and a count of bits
-    parts = range(0, digits, 15)
-    numbers = [F.conv(F.substring("h", at + 1, 15), 16, 10).cast("long").alias(f"_{at}") for at in parts]
-    sent = with_bands.select("h", *numbers, F.explode(keys).alias("value"))
-    left = sent.select("value", F.col("h").alias("a"), *[F.col(f"_{at}").alias(f"x{at}") for at in parts])
-    right = sent.select("value", F.col("h").alias("b"), *[F.col(f"_{at}").alias(f"y{at}") for at in parts])
-    apart = sum((F.bit_count(F.col(f"x{at}").bitwiseXOR(F.col(f"y{at}"))) for at in parts), F.lit(0))
-    met = left.join(right, "value").where("a < b").where(apart <= distance).select("a", "b", "value", apart.alias("distance"))
-    close = met.withColumns({"x": F.array(*[band(F.col("a"), k) for k in range(bands)]), "y": F.array(*[band(F.col("b"), k) for k in range(bands)])})
-    # met in the first of the combinations in which all bands are equal
-    equal = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.when(F.get("x", k) == F.get("y", k), k)))
-    first = F.slice(equal, 1, shared)
-    at = F.array_position(chosen, first).cast("int") - 1
-    return close.where(F.xxhash64(at, F.transform(first, lambda k: F.get("x", k))) == F.col("value")).select("a", "b", "distance")
+    distinct = distinct.select("h", F.array(*_numbers(F.col("h"), bits)).alias("n"))
+    parts = range(-(-math.ceil(bits / 4) // 16))
+    bands = band_plan(distinct.count(), bits, distance)
+    own = F.array(*[_band_of([F.col("n")[i] for i in parts], bits, start, width) for start, width, _ in bands])
+    sent = distinct.select("h", "n", F.posexplode(own).alias("band", "value"))
+    # bits of a band that a value may differ in: all masks of its ball
+    masks = [(k, sum(1 << i for i in places)) for k, (_, width, radius) in enumerate(bands) for n in range(radius + 1) for places in itertools.combinations(range(width), n)]
+    balls = hashes.sparkSession.createDataFrame(masks, "band int, mask long")
+    # as many rows as MOST_PROBES at most
+    probes = sent.join(F.broadcast(balls), "band").select("band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), F.col("h").alias("a"), F.col("n").alias("x"))
+    index = sent.select("band", "value", F.col("h").alias("b"), F.col("n").alias("y"))
+    differing = [F.col("x")[i].bitwiseXOR(F.col("y")[i]) for i in parts]
+    apart = sum((F.bit_count(d) for d in differing), F.lit(0))
+    within = [F.bit_count(_band_of(differing, bits, start, width)) <= radius for start, width, radius in bands]
+    first = F.coalesce(*[F.when(w, F.lit(k)) for k, w in enumerate(within)])
+    met = probes.join(index, ["band", "value"]).where("a < b").where(apart <= distance)
+    return met.where(F.col("band") == first).select("a", "b", apart.alias("distance"))
+
+
+def near_classes(assets: DataFrame, bits: int, distance: int, key: str = "asset_id", dhash: str = "dhash") -> tuple[DataFrame, DataFrame]:
+    """Near duplicates as classes: a class is all assets of one hash, and its smallest asset stands for it.
+
+    Gives (key, class_id, copies, n_links) for each asset that has a hash, with
+    the number of other assets within ``distance`` of it, and (left_class,
+    right_class, distance, left_copies, right_copies) for each pair of classes
+    within ``distance``.  Pairs of assets are those of two linked classes and
+    those within a class; none is written out, so a million equal images are one
+    row here, and a million rows of members.
+    """
+    sized = assets.where(F.col(dhash).isNotNull()).groupBy(F.col(dhash).alias("h")).agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    close = near_hashes(assets, bits, distance, dhash)
+    one, two = (sized.select(F.col("h").alias(h), F.col("class_id").alias(f"{side}_class"), F.col("copies").alias(f"{side}_copies")) for h, side in (("a", "x"), ("b", "y")))
+    met = close.join(one, "a").join(two, "b")
+    swapped = F.col("x_class") > F.col("y_class")
+    side = lambda name, x, y: F.when(swapped, F.col(f"{x}_{name}")).otherwise(F.col(f"{y}_{name}"))
+    links = met.select(side("class", "y", "x").alias("left_class"), side("class", "x", "y").alias("right_class"), "distance", side("copies", "y", "x").alias("left_copies"), side("copies", "x", "y").alias("right_copies"))
+    ends = met.select(F.col("a").alias("h"), F.col("y_copies").alias("others")).unionByName(met.select(F.col("b").alias("h"), F.col("x_copies").alias("others")))
+    linked = ends.groupBy("h").agg(F.sum("others").alias("others"))
+    classes = sized.join(linked, "h", "left").select("h", "class_id", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    members = assets.select(key, F.col(dhash).alias("h")).join(classes, "h").select(key, "class_id", "copies", "n_links")
+    return members, links
 
 
 def near_pairs(assets: DataFrame, bits: int, distance: int, key: str = "asset_id", dhash: str = "dhash") -> DataFrame:
@@ -141,7 +179,7 @@ def near_pairs(assets: DataFrame, bits: int, distance: int, key: str = "asset_id
 
     Hashes are compared once each, however many assets share one (flat images
     all do).  Assets of one hash are pairs, too; where they are very many, take
-    ``near_hashes`` and join assets to its hashes instead.
+    ``near_classes``, which writes none of them out.
     """
     close = near_hashes(assets, bits, distance, dhash)
     one = assets.select(F.col(key).alias("x"), F.col(dhash).alias("a"))

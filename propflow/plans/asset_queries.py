@@ -12,7 +12,7 @@ from propflow.functions.rules import archive_name_problem, is_relative_path, is_
 from propflow.functions.text import collapsed, collision_key_ascii, rational, srcset
 from propflow.functions.urls import LOCAL_SUFFIXES, host, problem, problem_sql
 from propflow.operators.analysis import coverage, path_conflicts
-from propflow.operators.assets import contact_sheet, exact_assets, near_pairs, provenance, sheet_fingerprint, upsert
+from propflow.operators.assets import contact_sheet, exact_assets, near_classes, near_pairs, provenance, sheet_fingerprint, upsert
 from propflow.operators.planning import overlay
 from propflow.plans.common import table
 from propflow.sources.archives import folder_fingerprint
@@ -39,17 +39,41 @@ def asset_upsert_two_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(first, second).select("sha256", "doc_id", F.col("exact_duplicate_count").cast("long").alias("exact_duplicate_count"), "preferred")
 
 
+def _hashes_49(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asset_id"), dhash(F.col("embedding"), 7).alias("dhash"))
+
+
+def _hashes_64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of 64 bits, one for the sign of each number; each asset again with some bits turned, for near ones to be there.
+
+    Of asset v the copies 1 and 2 have 3 and 9 bits turned from bit v on, and copy 3 none.
+    """
+    signs = F.transform(F.slice("embedding", 1, 64), lambda x: F.when(x > 0, 1).otherwise(0))
+    copies = table(spark, sf_dir, "embeddings").select("vec_id", signs.alias("bits"), F.explode(F.array(*[F.struct(F.lit(c).alias("copy"), F.lit(n).alias("turned")) for c, n in enumerate((0, 3, 9, 0))])).alias("c"))
+    bits = F.transform("bits", lambda b, i: F.when(F.pmod(i - F.col("vec_id"), F.lit(64)) < F.col("c.turned"), 1 - b).otherwise(b).cast("string"))
+    turned = copies.select((F.col("vec_id") * 4 + F.col("c.copy")).alias("asset_id"), F.array_join(bits, "").alias("bits"))
+    half = [F.lpad(F.conv(F.substring("bits", at, 32), 2, 16), 8, "0") for at in (1, 33)]
+    return turned.select("asset_id", F.lower(F.concat(*half)).alias("dhash"))
+
+
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asset_id"), dhash(F.col("embedding"), 7).alias("dhash"))
-    return near_pairs(hashed, 49, 12).select("left_asset_id", "right_asset_id", F.col("distance").cast("long").alias("distance"))
+    return near_pairs(_hashes_49(spark, sf_dir), 49, 12).select("left_asset_id", "right_asset_id", F.col("distance").cast("long").alias("distance"))
 
 
 def near_duplicate_pairs_64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hashes of 64 bits, one for the sign of each number, at the usual distance of 6."""
-    bits = F.transform(F.slice("embedding", 1, 64), lambda x: F.when(x > 0, "1").otherwise("0"))
-    half = [F.lpad(F.conv(F.array_join(F.slice(bits, at, 32), ""), 2, 16), 8, "0") for at in (1, 33)]
-    hashed = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("asset_id"), F.lower(F.concat(*half)).alias("dhash"))
-    return near_pairs(hashed, 64, 6).select("left_asset_id", "right_asset_id", F.col("distance").cast("long").alias("distance"))
+    """At the usual distance of 6."""
+    return near_pairs(_hashes_64(spark, sf_dir), 64, 6).select("left_asset_id", "right_asset_id", F.col("distance").cast("long").alias("distance"))
+
+
+def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each asset with its class and the number of assets near it."""
+    members, _ = near_classes(_hashes_64(spark, sf_dir), 64, 6)
+    return members.select("asset_id", "class_id", *[F.col(c).cast("long").alias(c) for c in ("copies", "n_links")])
+
+
+def near_duplicate_class_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, links = near_classes(_hashes_49(spark, sf_dir), 49, 12)
+    return links.select("left_class", "right_class", *[F.col(c).cast("long").alias(c) for c in ("distance", "left_copies", "right_copies")])
 
 
 def contact_sheet_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,8 +247,14 @@ def _listing_sql(key: str, source: str, **fields: str) -> str:
     return f"SELECT {key}, {columns} FROM {source}"
 
 
+#: h: id and bits, as text.
+_HASHES_49_SQL = """h AS (SELECT vec_id AS id, array_to_string(list_transform(range(49), lambda i: CASE WHEN embedding[(i // 7) * 8 + i % 7 + 1] > embedding[(i // 7) * 8 + i % 7 + 2] THEN '1' ELSE '0' END), '') AS b FROM embeddings)"""
+_HASHES_64_SQL = """h AS (SELECT vec_id * 4 + c AS id, array_to_string(list_transform(range(64), lambda i: CASE WHEN (embedding[i + 1] > 0) = ((i - vec_id % 64 + 64) % 64 >= t) THEN '1' ELSE '0' END), '') AS b
+    FROM embeddings, (VALUES (0, 0), (1, 3), (2, 9), (3, 0)) v(c, t))"""
+_APART_SQL = "hamming(x.b, y.b)"
+
 QUERIES = {f.__name__: f for f in (
-    asset_exact_dedup, asset_upsert_two_batches, near_duplicate_pairs, near_duplicate_pairs_64, contact_sheet_grid, contact_sheet_digest, directory_fingerprint, url_policy, url_policy_full, url_domain,
+    asset_exact_dedup, asset_upsert_two_batches, near_duplicate_pairs, near_duplicate_pairs_64, near_duplicate_classes, near_duplicate_class_links, contact_sheet_grid, contact_sheet_digest, directory_fingerprint, url_policy, url_policy_full, url_domain,
     snapshot_stats, listing_from_pages, listing_roundtrip_jsonld, listing_roundtrip_og, srcset_explode, id_coverage, path_consistency, overlay_merge, collision_keys, rational_parse, archive_names, text_rules,
 )}
 
@@ -237,16 +267,19 @@ SQL = {
         SELECT sha256(text) AS sha256, coalesce(min(doc_id) FILTER (WHERE source < 'src2'), min(doc_id)) AS doc_id,
                count(*) - 1 AS exact_duplicate_count, bool_or(lang = 'en') AS preferred
         FROM documents GROUP BY sha256(text)""",
-    "near_duplicate_pairs": """
-        WITH h AS (SELECT vec_id, list_transform(range(49), lambda i: CASE WHEN embedding[(i // 7) * 8 + i % 7 + 1] > embedding[(i // 7) * 8 + i % 7 + 2] THEN 1 ELSE 0 END) AS b FROM embeddings),
-        p AS (SELECT x.vec_id AS left_asset_id, y.vec_id AS right_asset_id, list_sum(list_transform(range(1, 50), lambda i: abs(x.b[i] - y.b[i])))::BIGINT AS distance
-              FROM h x JOIN h y ON x.vec_id < y.vec_id)
+    "near_duplicate_pairs": f"""
+        WITH {_HASHES_49_SQL}, p AS (SELECT x.id AS left_asset_id, y.id AS right_asset_id, {_APART_SQL} AS distance FROM h x JOIN h y ON x.id < y.id)
         SELECT * FROM p WHERE distance <= 12""",
-    "near_duplicate_pairs_64": """
-        WITH h AS (SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 1 ELSE 0 END) AS b FROM embeddings),
-        p AS (SELECT x.vec_id AS left_asset_id, y.vec_id AS right_asset_id, list_sum(list_transform(range(1, 65), lambda i: abs(x.b[i] - y.b[i])))::BIGINT AS distance
-              FROM h x JOIN h y ON x.vec_id < y.vec_id)
+    "near_duplicate_pairs_64": f"""
+        WITH {_HASHES_64_SQL}, p AS (SELECT x.id AS left_asset_id, y.id AS right_asset_id, {_APART_SQL} AS distance FROM h x JOIN h y ON x.id < y.id)
         SELECT * FROM p WHERE distance <= 6""",
+    "near_duplicate_classes": f"""
+        WITH {_HASHES_64_SQL}, p AS (SELECT x.id, count(*) AS n_links FROM h x JOIN h y ON x.id <> y.id AND {_APART_SQL} <= 6 GROUP BY x.id)
+        SELECT id AS asset_id, min(id) OVER (PARTITION BY b) AS class_id, count(*) OVER (PARTITION BY b) AS copies, coalesce(n_links, 0) AS n_links FROM h LEFT JOIN p USING (id)""",
+    "near_duplicate_class_links": f"""
+        WITH {_HASHES_49_SQL}, c AS (SELECT b, min(id) AS id, count(*) AS copies FROM h GROUP BY b),
+        p AS (SELECT x.id AS left_class, y.id AS right_class, {_APART_SQL} AS distance, x.copies AS left_copies, y.copies AS right_copies FROM c x JOIN c y ON x.id < y.id)
+        SELECT * FROM p WHERE distance <= 12""",
     "contact_sheet_grid": """
         WITH n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS index, count(*) OVER (PARTITION BY source) AS n FROM documents),
         g AS (SELECT *, ceil(sqrt(n))::BIGINT AS c FROM n)
