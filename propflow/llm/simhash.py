@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from propflow.llm.components import components
-from propflow.llm.shared import give_back, keep_rows, staged, table, text_hash_of, text_of
+from propflow.llm.shared import give_back, keep_rows, numbered, staged, table, text_hash_of, text_of
 
 #: Fixed values of XXH64.
 _P1, _P2, _P3, _P4, _P5 = (
@@ -49,7 +49,7 @@ TABLES = 12
 #: of all bits (58) on average, with a deviation of 7, so this keeps five sixths of the pairs that are just alike.
 WIDE_DISTANCE = 66
 #: Text bytes and shingles that a task works on at a time.
-BLOCK_BYTES, BLOCK_SHINGLES = 1 << 19, 1 << 15
+BLOCK_BYTES, BLOCK_SHINGLES = 1 << 18, 1 << 15
 
 
 def _rotl(x: np.ndarray, n: int) -> np.ndarray:
@@ -255,10 +255,10 @@ def _words_of(fp: Column) -> Column:
 
 
 def _near(pairs: DataFrame, prints: DataFrame, distance: int) -> DataFrame:
-    """The pairs (u, v) of nodes whose whole fingerprints are within ``distance``."""
+    """The pairs (u, v, and more) of nodes whose whole fingerprints are within ``distance``."""
     left, right = (prints.select(F.col("node").alias(n), F.col("fp").alias(f)) for n, f in (("u", "a"), ("v", "b")))
     apart = sum((F.bit_count(F.col("a")[k].bitwiseXOR(F.col("b")[k])) for k in range(TABLES // 2)), F.lit(0))
-    return pairs.join(left, "u").join(right, "v").where(apart <= distance).select("u", "v")
+    return pairs.join(left, "u").join(right, "v").where(apart <= distance).select(*pairs.columns)
 
 
 def equal_word_links(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
@@ -273,7 +273,7 @@ def equal_word_links(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFr
 
 
 def colliding_links(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """(u, v): verified links of all colliding nodes that are not in one component yet.
+    """(u, v): links of components, of all whose nodes collide and are near.
 
     ``prints`` has node, fp and comp.  A bucket holds the words within a bit of its
     variant.  Of buckets with several components, the nodes outside the bucket's
@@ -303,19 +303,19 @@ def colliding_links(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFra
         & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("tag")))
         & ((mask("x") == 0) | ((mask("tag") != 0) & (mask("x") < mask("tag"))))
     )
-    return _near(met.select(node("x").alias("u"), node("tag").alias("v")).distinct(), prints, distance)
+    pairs = met.select(node("x").alias("u"), node("tag").alias("v"), "x_comp", "comp").distinct()
+    return _near(pairs, prints.select("node", "fp"), distance).select(F.col("x_comp").alias("u"), F.col("comp").alias("v")).distinct()
 
 
 def wide_components(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
     """``prints`` (node, fp, and more) with ``comp``, a node of the component: all links of colliding nodes count."""
 
-    def marked(links: DataFrame) -> DataFrame:
+    def marked(nodes: DataFrame, comp: str, links: DataFrame) -> DataFrame:
         root = components(links).withColumnsRenamed({"u": "_u", "v": "_v"})
-        return prints.join(root, prints.node == root["_u"], "left").select(*prints.columns, F.coalesce("_v", "node").alias("comp"))
+        return nodes.join(root, nodes[comp] == root["_u"], "left").select(*prints.columns, F.coalesce("_v", comp).alias("comp"))
 
-    first, _ = staged(equal_word_links(prints, distance), "equal")
-    early, _ = staged(marked(first), "early")
-    return marked(first.unionByName(colliding_links(early, distance)))
+    early, _ = staged(marked(prints, "node", equal_word_links(prints, distance)), "early")
+    return marked(early, "comp", colliding_links(early, distance))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = WIDE_DISTANCE) -> DataFrame:
@@ -325,7 +325,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     """
     rows, _ = staged(wide_simhash(docs, id_col, text_col, words), "fingerprints")
     prints = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    prints, _ = staged(prints.withColumn("node", F.monotonically_increasing_id()), "prints")  # numbers hold once written
+    # dense numbers shuffle small
+    prints, _ = staged(numbered(prints, ["fp"], "node")[0], "prints")
     grouped, _ = staged(wide_components(prints, distance).select("fp", "least", F.col("comp").alias("root")), "grouped")
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     final, _ = staged(grouped.join(smallest, "root").select(F.col("fp").alias("of"), F.col("root").alias("component"), "component_id"), "classes")
