@@ -99,7 +99,8 @@ def band_plan(hashes: int, bits: int, distance: int) -> list[tuple[int, int, int
         met = sum(_ball(w, r) / 2.0**w for _, w, r in bands)
         return hashes * sent * PROBE_COST + hashes * hashes / 2 * met
 
-    plans = [_bands(bits, distance, n) for n in range(max(1, -(-bits // 30)), min(bits, distance + 1) + 1)]
+    fewest = -(-bits // 30)
+    plans = [_bands(bits, distance, n) for n in range(fewest, max(fewest, min(bits, distance + 1)) + 1)]
     return min([p for p in plans if sum(_ball(w, r) for _, w, r in p) <= MOST_PROBES] or plans[-1:], key=cost)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Issues that no approval may pass over.
@@ -32,51 +32,63 @@ def approval_problem(status: Column, technical: Column, issues: Column, sha256:
     )
 
 
-_STATE = (
-    "struct<status:string,clip:string,revision:int,sha256:string,compared:boolean,candidate_status:string,candidate_clip:string,candidate_revision:int,n_changes:int,n_revoked:int>"
-)
-
-
 def selections(events: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The state of each scene after its reviews, in order: a fold over its events.
-
-    ``events`` has keys, order, clip_id, revision, sha256, status and compared.
-    An approval selects its clip.  Another status revokes the selection only if
-    it is about the selected clip; about another clip, it is noted as the
-    candidate beside the selection.  The events of a scene are few (one a
-    review), so they are folded as one array, in the JVM.
+    """The state of each scene after its reviews, in order.
+
+    ``events`` has keys, order (distinct for a scene), clip_id, revision, sha256,
+    status and compared.  An approval selects its clip.  Another status revokes
+    the selection only if it is about the selected clip; about another clip, it is
+    noted as the candidate beside the selection.
+
+    A review is a small map of states, and runs of reviews compose.  An approval
+    settles what is selected whatever was before, so what a block of reviews does
+    is told by its approvals, and what it does to a selection made before it by
+    the first review of that selection's clip.  Reviews are dealt into blocks by
+    range of scene and order; each block finds the approval before each review,
+    blocks hand on their last approvals, and the runs that approvals begin are
+    aggregated.  So a scene of very many reviews is spread over many tasks, and
+    no array holds them.
     """
-    event = F.struct(F.col(order).alias("o"), "clip_id", "revision", "sha256", "status", F.coalesce("compared", F.lit(False)).alias("compared"))
-    none, no_number = F.lit(None).cast("string"), F.lit(None).cast("int")
-    start = F.struct(
-        none.alias("status"), none.alias("clip"), no_number.alias("revision"), none.alias("sha256"), F.lit(None).cast("boolean").alias("compared"),
-        none.alias("candidate_status"), none.alias("candidate_clip"), no_number.alias("candidate_revision"), F.lit(0).alias("n_changes"), F.lit(0).alias("n_revoked"),
-    ).cast(_STATE)
-
-    def step(s: Column, e: Column) -> Column:
-        approves = e["status"] == "approved"
-        held = s["status"].eqNullSafe(F.lit("approved"))
-        other = held & (s["clip"] != e["clip_id"])
-        revoked = held & ~other
-        chosen = F.struct(
-            F.lit("approved").alias("status"), e["clip_id"].alias("clip"), e["revision"].cast("int").alias("revision"), e["sha256"].alias("sha256"), e["compared"].alias("compared"),
-            none.alias("candidate_status"), none.alias("candidate_clip"), no_number.alias("candidate_revision"),
-            (s["n_changes"] + F.when(revoked, 0).otherwise(1)).alias("n_changes"), s["n_revoked"].alias("n_revoked"),
-        )
-        noted = F.struct(
-            s["status"].alias("status"), s["clip"].alias("clip"), s["revision"].alias("revision"), s["sha256"].alias("sha256"), s["compared"].alias("compared"),
-            e["status"].alias("candidate_status"), e["clip_id"].alias("candidate_clip"), e["revision"].cast("int").alias("candidate_revision"),
-            s["n_changes"].alias("n_changes"), s["n_revoked"].alias("n_revoked"),
-        )
-        left = F.struct(
-            e["status"].alias("status"), none.alias("clip"), no_number.alias("revision"), none.alias("sha256"), F.lit(None).cast("boolean").alias("compared"),
-            none.alias("candidate_status"), e["clip_id"].alias("candidate_clip"), e["revision"].cast("int").alias("candidate_revision"),
-            s["n_changes"].alias("n_changes"), (s["n_revoked"] + F.when(revoked, 1).otherwise(0)).alias("n_revoked"),
-        )
-        return F.when(approves, chosen.cast(_STATE)).when(other, noted.cast(_STATE)).otherwise(left.cast(_STATE))
-
-    folded = events.groupBy(*keys).agg(F.array_sort(F.collect_list(event)).alias("events"))
-    return folded.select(*keys, F.aggregate("events", start, step).alias("s")).select(*keys, "s.*")
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    review = F.struct(F.col(order).alias("at"), "clip_id", F.col("revision").cast("int").alias("revision"), "sha256", "status", F.coalesce("compared", F.lit(False)).alias("compared"))
+    dealt = events.select(*keys, review.alias("e")).repartitionByRange(n, *keys, "e.at").withColumn("_block", F.spark_partition_id())
+    approves = F.col("e.status").eqNullSafe(F.lit("approved"))
+    approval = F.when(approves, F.col("e"))
+    here = Window.partitionBy(*keys, "_block").orderBy("e.at")
+    inner = dealt.withColumns(
+        {
+            "_run": F.last(approval, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+            "_former": F.last(approval, ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1)),
+        }
+    )
+    # a row for each block that a scene lies in: what it hands on
+    blocks = dealt.where(approves).groupBy(*keys, "_block").agg(F.max_by("e", "e.at").alias("_last"))
+    blocks = dealt.select(*keys, "_block").distinct().join(blocks, [*keys, "_block"], "left")
+    handed = F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    carried = blocks.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_of"), handed.alias("_handed")).where("_handed IS NOT NULL")
+    same = F.col("_block") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    runs = inner.join(carried, same, "left").select(*keys, "e", F.coalesce("_run", "_handed").alias("run"), F.coalesce("_former", "_handed").alias("former"))
+    # a run: an approval and the reviews up to the next one; the reviews before any have a run of their own
+    revokes = ~approves & (F.col("e.clip_id") == F.col("run.clip_id"))
+    found = runs.groupBy(*keys, "run").agg(
+        F.max_by("e", "e.at").alias("last"),
+        F.bool_or(F.coalesce(revokes, F.lit(False))).alias("revoked"),
+        F.max_by("former", F.when(approves, F.col("e.at"))).alias("former"),
+    )
+    # a run changes the selection unless the one before held the same clip to its end
+    held = found.where(F.col("run").isNotNull() & ~F.col("revoked")).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("run.at").alias("_at"), F.col("run.clip_id").alias("_clip"))
+    same = (F.col("former.at") == F.col("_at")) & (F.col("run.clip_id") == F.col("_clip"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    judged = found.join(held, same, "left").select(*keys, "run", "last", "revoked", (F.col("run").isNotNull() & F.col("_at").isNull()).cast("int").alias("changes"))
+    final = judged.groupBy(*keys).agg(F.max_by(F.struct("run", "last", "revoked"), F.col("last.at")).alias("f"), F.sum("changes").cast("int").alias("n_changes"), F.count_if("revoked").cast("int").alias("n_revoked"))
+    selected = F.col("f.run").isNotNull() & ~F.col("f.revoked")
+    noted = ~selected | (F.col("f.last.at") != F.col("f.run.at"))
+    kept = [F.when(selected, F.col(f"f.run.{c}")).alias(a) for c, a in (("clip_id", "clip"), ("revision", "revision"), ("sha256", "sha256"), ("compared", "compared"))]
+    beside = [F.when(selected & noted, F.col("f.last.status")).alias("candidate_status"), F.when(noted, F.col("f.last.clip_id")).alias("candidate_clip"), F.when(noted, F.col("f.last.revision")).alias("candidate_revision")]
+    return final.select(*keys, F.when(selected, "approved").otherwise(F.col("f.last.status")).alias("status"), *kept, *beside, "n_changes", "n_revoked")
 
 
 def stage_complete(scenes: DataFrame, selected: DataFrame, project: str) -> DataFrame:

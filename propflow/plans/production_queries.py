@@ -168,7 +168,14 @@ def _reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qc_selection_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selections(_reviews(spark, sf_dir), ["project_id", "scene_id"], "event_id")
+    folded = selections(_reviews(spark, sf_dir), ["project_id", "scene_id"], "event_id")
+    return folded.withColumns({c: F.col(c).cast("long") for c in ("revision", "candidate_revision", "n_changes", "n_revoked")})
+
+
+def qc_selection_fold_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reviews as those of one scene."""
+    folded = selections(_reviews(spark, sf_dir).withColumn("scene_id", F.lit("hot")), ["scene_id"], "event_id")
+    return folded.withColumns({c: F.col(c).cast("long") for c in ("revision", "candidate_revision", "n_changes", "n_revoked")})
 
 
 def qc_stage_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,7 +344,7 @@ def schema_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     scene_contiguity, scene_order_topk, scene_id_reuse, scene_diff, clip_invalidation, render_invalidation, selective_dependency_hash, plan_hash, plan_sizes, scene_prompts, scene_reorder, scene_tombstones,
-    clip_revisions, clip_next_revision, clip_technical_issues, sample_timestamps, expected_files, qc_selection_fold, qc_stage_complete, issue_sets, resume_approved_chain, resume_files, resume_first_stage, job_actions,
+    clip_revisions, clip_next_revision, clip_technical_issues, sample_timestamps, expected_files, qc_selection_fold, qc_selection_fold_hot, qc_stage_complete, issue_sets, resume_approved_chain, resume_files, resume_first_stage, job_actions,
     submission_allowed, rights_pii_gate, cost_gate, generation_gate, batch_fingerprint, render_fingerprint, render_filters, render_lists, profile_freshness, shot_list_csv, shot_list_text, schema_rules,
 )}
 
@@ -369,7 +376,28 @@ def _render_sql(target: str, width: int, height: int, fps: int) -> str:
       sha256('{head}' || string_agg({item}, ',' ORDER BY sequence_index) || '{tail}') AS dependency_hash FROM scenes GROUP BY project_id"""
 
 
+_REVIEWS_SQL = """e AS (SELECT user_id AS project_id, 't' || (floor(value)::BIGINT % 3) AS scene_id, event_id, 'c' || (event_id % 4) AS clip_id, event_id % 4 AS revision, 'x' AS sha256,
+      CASE event_type WHEN 'purchase' THEN 'approved' WHEN 'error' THEN 'rejected' ELSE 'needs-manual-review' END AS status, coalesce(value > 1, false) AS compared FROM events)"""
+
+
+def _fold_sql(reviews: str, keys: str) -> str:
+    """The rules of review, one review after the other."""
+    held, approves = "f.status = 'approved'", "e.status = 'approved'"
+    state = lambda chosen, noted, left: f"CASE WHEN {approves} THEN {chosen} WHEN coalesce({held}, false) AND f.clip <> e.clip_id THEN {noted} ELSE {left} END"
+    none = "NULL::VARCHAR AS status, NULL::VARCHAR AS clip, NULL::BIGINT AS revision, NULL::VARCHAR AS sha256, NULL::BOOLEAN AS compared, NULL::VARCHAR AS candidate_status, NULL::VARCHAR AS candidate_clip, NULL::BIGINT AS candidate_revision"
+    return f"""WITH RECURSIVE {_REVIEWS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY event_id) AS k FROM {reviews}),
+      f AS (SELECT DISTINCT {keys}, 0::BIGINT AS k, {none}, 0::BIGINT AS n_changes, 0::BIGINT AS n_revoked FROM n
+        UNION ALL SELECT {', '.join('f.' + k.strip() for k in keys.split(','))}, e.k, {state("'approved'", 'f.status', 'e.status')}, {state('e.clip_id', 'f.clip', 'NULL')}, {state('e.revision', 'f.revision', 'NULL')},
+          {state('e.sha256', 'f.sha256', 'NULL')}, {state('e.compared', 'f.compared', 'NULL')}, {state('NULL', 'e.status', 'NULL')}, {state('NULL', 'e.clip_id', 'e.clip_id')}, {state('NULL', 'e.revision', 'e.revision')},
+          f.n_changes + CASE WHEN {approves} AND NOT (coalesce({held}, false) AND f.clip = e.clip_id) THEN 1 ELSE 0 END,
+          f.n_revoked + CASE WHEN NOT {approves} AND coalesce({held}, false) AND f.clip = e.clip_id THEN 1 ELSE 0 END
+        FROM f JOIN n e ON e.k = f.k + 1 AND {' AND '.join(f'e.{k.strip()} = f.{k.strip()}' for k in keys.split(','))})
+      SELECT * EXCLUDE (k) FROM f QUALIFY k = max(k) OVER (PARTITION BY {keys})"""
+
+
 SQL = {
+    "qc_selection_fold": _fold_sql("e", "project_id, scene_id"),
+    "qc_selection_fold_hot": _fold_sql("(SELECT * REPLACE ('hot' AS scene_id) FROM e)", "scene_id"),
     "scene_contiguity": """SELECT conv_id, count(*) AS n, count(DISTINCT turn) = count(*) AND min(turn) = 0 AND max(turn) = count(*) - 1 AS contiguous, count(DISTINCT turn) = count(*) AS unique_ids
         FROM conversations GROUP BY conv_id""",
     "scene_order_topk": f"""

@@ -1,6 +1,6 @@
 """All queries of the property-media operators, and their SQL."""
 
-from propflow.plans import asset_queries, production_queries
+from propflow.plans import asset_queries, file_queries, production_queries
 
-QUERIES = asset_queries.QUERIES | production_queries.QUERIES
-SQL = asset_queries.SQL | production_queries.SQL
+QUERIES = asset_queries.QUERIES | file_queries.QUERIES | production_queries.QUERIES
+SQL = asset_queries.SQL | file_queries.SQL | production_queries.SQL

@@ -7,13 +7,16 @@ the same pass.  Python reads only the archive format itself.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import itertools
+import lzma
 import os
 import stat
 import zipfile
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -65,6 +68,62 @@ def source_kind(name: Column, directory: Column) -> Column:
     return F.when(directory, "directory").when(suffix(name) == ".zip", "zip").when(suffix(name).isin(*IMAGES), "file").otherwise("unsupported")
 
 
+#: What a damaged archive or member raises.
+DAMAGE = (OSError, RuntimeError, zipfile.BadZipFile, EOFError, ValueError, NotImplementedError, zlib.error, lzma.LZMAError)
+#: Bytes of a member or file read at a time.
+PIECE_BYTES = 1 << 20
+
+
+@dataclass(frozen=True)
+class Member:
+    """A member of an archive as its directory tells it, and what reading it told."""
+
+    ix: int
+    name: str
+    directory: bool
+    mode_kind: str
+    encrypted: bool
+    file_size: int
+    packed_size: int
+    nested: bool = False
+    damaged: bool = False
+    sha256: str | None = None
+    content: bytes | None = None
+
+
+def listed(ix: int, info: zipfile.ZipInfo) -> Member:
+    kind = stat.S_IFMT(info.external_attr >> 16 & 0xFFFF)
+    mode = {stat.S_IFLNK: "symlink", stat.S_IFDIR: "directory", stat.S_IFREG: "regular", 0: "regular"}.get(kind, "special")
+    return Member(ix, info.orig_filename, info.is_dir() or mode == "directory", mode, bool(info.flag_bits & 1), info.file_size, info.compress_size)
+
+
+def within(archive: zipfile.ZipFile, limits: Limits) -> bool:
+    """Whether an archive's directory alone keeps the limits; if not, nothing of it is inflated."""
+    members = archive.infolist()
+    return len(members) <= limits.entries and sum(m.file_size for m in members) <= limits.total_bytes
+
+
+def opened(archive: zipfile.ZipFile, info: zipfile.ZipInfo, member: Member, limits: Limits, keep: bool) -> Member:
+    """The member with its digest, read in pieces, and its content if that is to be kept."""
+    small = 0 < info.file_size <= min(limits.file_bytes, limits.ratio * max(1, info.compress_size))
+    if member.directory or member.encrypted or not small:
+        return member
+    digest, size, head, pieces = hashlib.sha256(), 0, b"", []
+    try:
+        with archive.open(info) as f:
+            while size <= limits.file_bytes and (piece := f.read(PIECE_BYTES)):
+                digest.update(piece)
+                size += len(piece)
+                head = head or piece[:4]
+                if keep:
+                    pieces.append(piece)
+    except DAMAGE:
+        return replace(member, damaged=True)
+    if size != info.file_size:
+        return replace(member, damaged=True)
+    return replace(member, nested=head in (b"PK\3\4", b"PK\5\6", b"PK\7\b"), sha256=digest.hexdigest(), content=b"".join(pieces) if keep else None)
+
+
 ENTRIES = "archive string, ix int, name string, directory boolean, mode_kind string, encrypted boolean, file_size long, packed_size long, nested boolean, damaged boolean, content binary"
 
 
@@ -77,26 +136,14 @@ def zip_entries(archives: DataFrame, key: str, content: str, with_content: bool
     def one(name, data):
         try:
             archive = zipfile.ZipFile(io.BytesIO(data or b""))
-        except (OSError, zipfile.BadZipFile):
+        except DAMAGE:
             yield (name, -1, None, False, "regular", False, 0, 0, False, True, None)
             return
-        members = archive.infolist()
-        # an archive over its limits is refused by its directory alone: nothing of it is inflated
-        open_ = len(members) <= limits.entries and sum(m.file_size for m in members) <= limits.total_bytes
-        for ix, info in enumerate(members):
-            kind = stat.S_IFMT(info.external_attr >> 16 & 0xFFFF)
-            mode = {stat.S_IFLNK: "symlink", stat.S_IFDIR: "directory", stat.S_IFREG: "regular", 0: "regular"}.get(kind, "special")
-            folder = info.is_dir() or mode == "directory"
-            body, nested, damaged = None, False, False
-            small = open_ and 0 < info.file_size <= min(limits.file_bytes, limits.ratio * max(1, info.compress_size))
-            if not folder and not info.flag_bits & 1 and small:
-                try:
-                    with archive.open(info) as f:
-                        body = f.read(limits.file_bytes + 1)
-                    nested, damaged = body[:4] in (b"PK\3\4", b"PK\5\6", b"PK\7\b"), len(body) != info.file_size
-                except (OSError, RuntimeError, zipfile.BadZipFile, EOFError, ValueError, NotImplementedError):
-                    damaged = True
-            yield (name, ix, info.orig_filename, folder, mode, bool(info.flag_bits & 1), info.file_size, info.compress_size, nested, damaged, body if with_content and not damaged else None)
+        open_ = within(archive, limits)
+        for ix, info in enumerate(archive.infolist()):
+            m = listed(ix, info)
+            m = opened(archive, info, m, limits, with_content) if open_ else m
+            yield (name, ix, m.name, m.directory, m.mode_kind, m.encrypted, m.file_size, m.packed_size, m.nested, m.damaged, m.content)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]

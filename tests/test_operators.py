@@ -148,13 +148,20 @@ def fold(events):
 
 
 def test_review_fold(spark):
+    """Short histories, and one scene with most of all reviews, which lie in every block."""
     rnd = random.Random(4)
-    runs = {f"s{i}": [(rnd.choice("abc"), rnd.choice(["approved", "rejected", "needs-manual-review"])) for _ in range(rnd.randrange(1, 9))] for i in range(60)}
+    review = lambda approved: (rnd.choice("abc"), rnd.choices(["approved", "rejected", "needs-manual-review"], (approved, 1, 1))[0])
+    runs = {f"s{i}": [review(1) for _ in range(rnd.randrange(1, 9))] for i in range(60)}
+    # long stretches without an approval lie between the hot scene's
+    runs["s30x"] = [review(0.02) for _ in range(900)]
     rows = [(k, n, c, 1, "h", s, True) for k, run in runs.items() for n, (c, s) in enumerate(run)]
     frame = spark.createDataFrame(rows, "scene string, n int, clip_id string, revision int, sha256 string, status string, compared boolean").orderBy(F.rand(1))
-    for r in quality.selections(frame, ["scene"], "n").collect():
-        want = fold(runs[r.scene])
-        assert {k: r[k] for k in want} == want
+    got = {r.scene: r for r in quality.selections(frame, ["scene"], "n").collect()}
+    assert set(got) == set(runs)
+    for scene, run in runs.items():
+        want = fold(run)
+        assert {k: got[scene][k] for k in want} == want
+    assert quality.selections(frame.limit(0), ["scene"], "n").count() == 0
 
 
 def test_approvals(spark):
