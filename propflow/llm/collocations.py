@@ -46,11 +46,20 @@ _CLEAN = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" els
 #: Blanks between words are these two; other white space that bytes.split() knows closes a piece.
 _GAP = b"."
 #: Words of a shard (one more piece may follow), bytes of text cleaned at a time, and positions of a range of words.
-SHARD_WORDS, PART_BYTES, RANGE_ONES = 1 << 20, 4 << 20, 1 << 19
+SHARD_WORDS, PART_BYTES, RANGE_ONES = 1 << 18, 1 << 20, 1 << 18
 #: Parts that a language's candidates are ranked in before they meet.
 RANK_PARTS = 64
 
 
+def _narrow(numbers: np.ndarray, most: int) -> bytes:
+    """Numbers up to ``most`` in two bytes each where they fit, in four where not."""
+    return numbers.astype("<u2" if most < 1 << 16 else "<i4").tobytes()
+
+
+def _wide(data: bytes, most: int) -> np.ndarray:
+    return np.frombuffer(data, "<u2" if most < 1 << 16 else "<i4").astype(np.int32)
+
+
 class _Shard:
     """Words of one language being gathered: numbers of words in order, 0 after each piece."""
 
@@ -82,7 +91,7 @@ def _pieces(text: bytes, most: int = PART_BYTES) -> Iterator[list[bytes]]:
 
 
 def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most: int = SHARD_WORDS) -> DataFrame:
-    """(shard, lang, words, ids, n): distinct words of a shard by their numbers from 1, the numbers at its positions, and how many have one."""
+    """(shard, lang, words, ids, most, n): distinct words of a shard by their numbers from 1 to ``most``, the numbers at its positions, and how many have one."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, _Shard] = {}
@@ -90,9 +99,11 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most
         def closed(lang: str) -> pa.RecordBatch:
             done = open_.pop(lang)
             words = list(done.number)[1:]
-            ids = np.concatenate(done.parts).astype("<i4").tobytes()
-            n = int(np.count_nonzero(np.frombuffer(ids, "<i4")))
-            return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([b" ".join(words)], pa.binary()), pa.array([ids], pa.binary()), pa.array([n], pa.int64())], ["lang", "words", "ids", "n"])
+            line = np.concatenate(done.parts)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([lang]), pa.array([b" ".join(words)], pa.binary()), pa.array([_narrow(line, len(words))], pa.binary()), pa.array([len(words)]), pa.array([int(np.count_nonzero(line))])],
+                ["lang", "words", "ids", "most", "n"],
+            )
 
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
@@ -107,7 +118,7 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most
         give_back()
 
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
-    made = rows.mapInArrow(gather, "lang string, words binary, ids binary, n long")
+    made = rows.mapInArrow(gather, "lang string, words binary, ids binary, most long, n long")
     return made.withColumn("shard", F.monotonically_increasing_id())
 
 
@@ -163,7 +174,7 @@ def _word_counts(shards: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for shard, lang, joined, ids in zip(*(c.to_pylist() for c in batch.columns)):
                 words = joined.split(b" ") if joined else []
-                n = np.bincount(np.frombuffer(ids, "<i4"), minlength=len(words) + 1)[1:]
+                n = np.bincount(_wide(ids, len(words)), minlength=len(words) + 1)[1:]
                 part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
                 order = np.argsort(part, kind="stable")
                 rows = [(p, shard, lang, b" ".join([words[k] for k in order[x]]), _packed(order[x] + 1), n[order[x]].tobytes()) for p, x in _dealt(part[order])]
@@ -241,14 +252,15 @@ def _recoded(shards: DataFrame, found: DataFrame) -> DataFrame:
     def recode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                line = np.frombuffer(batch.column(1)[row].as_py(), "<i4")
-                at, word = _joined(batch.column(2)[row].as_py())
-                new = np.zeros(int(max(line.max(initial=0), at.max())) + 1, np.int32)
+                most = batch.column(2)[row].as_py()
+                at, word = _joined(batch.column(3)[row].as_py())
+                new = np.zeros(most + 1, np.int32)
                 new[at] = np.arange(1, len(at) + 1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([word.tobytes()], pa.binary()), pa.array([new[line].tobytes()], pa.binary())], ["shard", "own", "line"])
+                line = _narrow(new[_wide(batch.column(1)[row].as_py(), most)], len(at))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([word.tobytes()], pa.binary()), pa.array([line], pa.binary())], ["shard", "own", "line"])
         give_back()
 
-    return shards.select("shard", "ids").join(_told(found).hint("shuffle_hash"), "shard").mapInArrow(recode, "shard long, own binary, line binary")
+    return shards.select("shard", "ids", "most").join(_told(found).hint("shuffle_hash"), "shard").mapInArrow(recode, "shard long, own binary, line binary")
 
 
 def ranges_of(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -320,7 +332,7 @@ def _pair_counts(coded: DataFrame, parts: int) -> DataFrame:
             for row in range(batch.num_rows):
                 shard, own, line = (c[row].as_py() for c in batch.columns)
                 own = np.frombuffer(own, "<i8")
-                found = [(own[p[:, 0] - 1] << 32 | own[p[:, 1] - 1], n) for p, n in extended(np.frombuffer(line, "<i4"), 2)]
+                found = [(own[p[:, 0] - 1] << 32 | own[p[:, 1] - 1], n) for p, n in extended(_wide(line, len(own)), 2)]
                 if found:
                     yield _as_batch(_sent(shard, 2, *map(np.concatenate, zip(*found)), parts), _KEYS)
         give_back()
@@ -344,7 +356,7 @@ def _long_counts(coded: DataFrame, found: DataFrame, longest: int, parts: int) -
                 by_code = np.argsort(codes)
                 codes, ids = codes[by_code], ids[by_code]
                 sizes: dict[int, list] = {}
-                for p, n in extended(np.frombuffer(line, "<i4"), longest, codes):
+                for p, n in extended(_wide(line, len(own)), longest, codes):
                     first, last = (ids[np.searchsorted(codes, p[:, k] << 32 | p[:, k + 1])] for k in (0, p.shape[1] - 2))
                     sizes.setdefault(p.shape[1], []).append((first << 32 | last, n))
                 rows = [r for size, several in sizes.items() for r in _sent(shard, size, *map(np.concatenate, zip(*several)), parts)]
