@@ -24,6 +24,16 @@ MOVES = {
     "subtle_slide_right": "a single subtle lateral slide to the right, travelling no more than three percent of frame width",
     "static_hold": "a single locked-off hold with only imperceptible natural camera breathing and no translation",
 }
+#: The movements in Polish.
+MOVES_PL = {
+    "slow_push_in": "powolny najazd do przodu",
+    "slow_pull_back": "powolny odjazd do tyłu",
+    "gentle_pan_left": "łagodna panorama w lewo",
+    "gentle_pan_right": "łagodna panorama w prawo",
+    "subtle_slide_left": "subtelny przejazd w lewo",
+    "subtle_slide_right": "subtelny przejazd w prawo",
+    "static_hold": "statyczne ujęcie z minimalnym naturalnym oddechem kamery",
+}
 #: The prompt, with places for movement, seconds and ratio.
 PROMPT = (
     "Use the provided source image as the only visual source of truth for this shot. "
@@ -146,6 +156,12 @@ def prompt(move: Column, seconds: Column, ratio: Column) -> Column:
     return F.format_string(PROMPT, F.element_at(words, move), plain_number(seconds), ratio)
 
 
+def movement_text(move: Column, language: str = "en") -> Column:
+    """The wording of a movement, in English or Polish; null for one that is not allowed."""
+    words = {"en": MOVES, "pl": MOVES_PL}[language]
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), move)
+
+
 def scene_signature(image: Column, sha256: Column, move: Column, seconds: Column, ratio: Column, text: Column) -> Column:
     """Digest of what a scene's clip depends on: not its place, so reordering undoes nothing."""
     return F.sha2(

@@ -71,13 +71,30 @@ def output_problem(probe: Column, target: str) -> Column:
 
 
 def simple_filter(strategy: Column, anchor: Column, target: str, fps: int = FPS) -> Column:
-    """The filter of a clip for a target; null for a strategy or anchor that has none."""
+    """The filter of a clip for a target; null for a strategy or anchor that has none.
+
+    ``padded_background`` has a graph of two branches.
+    """
     width, height = TARGETS[target]
     end = f"setsar=1,fps={fps},format=yuv420p"
     place = F.create_map(*[x for k, v in ANCHORS.items() for x in (F.lit(k), F.lit(":".join(v)))])
     contain = f"scale={width}:{height}:force_original_aspect_ratio=decrease:flags=lanczos,pad={width}:{height}:(ow-iw)/2:(oh-ih)/2:color=black,{end}"
     crop = F.concat(F.lit(f"scale={width}:{height}:force_original_aspect_ratio=increase:flags=lanczos,crop={width}:{height}:"), place[anchor], F.lit(f",{end}"))
-    return F.when(strategy == "contain", F.lit(contain)).when(strategy == "anchored_crop", crop)
+    return F.when(strategy == "contain", F.lit(contain)).when(strategy == "anchored_crop", crop).when(strategy == "padded_background", padded_filter(width, height, fps))
+
+
+#: The graph of a clip before a blurred background of itself, with places for size (twice) and frames a second.
+PADDED = (
+    "[0:v]split=2[background][foreground];"
+    "[background]scale={width}:{height}:force_original_aspect_ratio=increase:flags=lanczos,crop={width}:{height},boxblur=20:10[blurred];"
+    "[foreground]scale={width}:{height}:force_original_aspect_ratio=decrease:flags=lanczos[front];"
+    "[blurred][front]overlay=(W-w)/2:(H-h)/2,setsar=1,fps={fps},format=yuv420p[out]"
+)
+
+
+def padded_filter(width: int, height: int, fps: int = FPS) -> Column:
+    """A graph with an output of its own, so it goes to ``-filter_complex``; the others go to ``-vf``."""
+    return F.lit(PADDED.format(width=width, height=height, fps=fps))
 
 
 def concat_line(name: Column) -> Column:

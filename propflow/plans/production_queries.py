@@ -14,9 +14,10 @@ from propflow.functions.text import sample_times
 from propflow.operators.assets import append_unique
 from propflow.operators.clips import expected_filename, next_revision, review_status, revisions, technical_issues, technical_status
 from propflow.operators.gates import batch_payload, cost_problem, cost_reasons, entries, submittable, verdict
+from propflow.operators.packages import manifests
 from propflow.operators.planning import (
-    PROMPT, ROOMS, MOVES, camera_move, changed_scenes, contiguous, invalidate_clips, plan_fingerprint, planned, prompt, reorder, render_undone,
-    room_rank, scene_ids, scene_order, scene_signature, size_problem, tombstone,
+    MOVES, MOVES_PL, PROMPT, ROOMS, camera_move, changed_scenes, contiguous, invalidate_clips, movement_text, plan_fingerprint, planned, prompt, render_undone, reorder, room_rank, scene_ids,
+    scene_order, scene_signature, size_problem, tombstone,
 )
 from propflow.operators.profiles import aged, freshness
 from propflow.operators.quality import critical_issues, selections, stage_complete
@@ -101,6 +102,17 @@ def plan_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_fingerprint(_scenes(spark, sf_dir).withColumnRenamed("sha256", "dependency_hash"), "project_id").select("project_id", "plan_hash", *_long("n_scenes"))
 
 
+def package_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package for each conversation, its turns as scenes; and one without scenes."""
+    scenes = _scenes(spark, sf_dir).select(
+        F.col("project_id").cast("string").alias("project_id"), "scene_id", "sequence_index", F.col("sha256").alias("source_image_id"), F.col("sha256").alias("source_sha256"),
+        F.concat(F.lit("originals/"), "role", F.when(F.col("sequence_index") % 3 == 0, "").otherwise(".JPG")).alias("source_path"), F.concat(F.lit('a "still" of '), "role").alias("prompt_en"),
+        (F.col("sequence_index") / 4 + 1).alias("duration_seconds"), F.lit("16:9").alias("aspect_ratio"), F.sha2("scene_id", 256).alias("dependency_hash"),
+    )
+    plans = scenes.groupBy("project_id").agg(F.max("sequence_index").alias("revision")).unionByName(spark.sql("SELECT 'none' AS project_id, 0L AS revision"))
+    return manifests(scenes, plans).select("project_id", *_long("n_scenes"), "plan_dependency_hash", "package_fingerprint")
+
+
 def plan_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     plans = _scenes(spark, sf_dir).groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("role") == "system", F.lit("why"))).alias("reason"))
     return plans.select("project_id", "n", size_problem(F.col("n"), F.col("reason")).alias("problem"))
@@ -111,7 +123,7 @@ def scene_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     room = F.element_at(F.array(*[F.lit(r) for r in ROOMS]), (F.col("p_partkey") % 20 + 1).cast("int"))
     asked = F.when(F.col("p_partkey") % 13 == 0, "subtle_slide_left").when(F.col("p_partkey") % 17 == 0, "zoom")
     move = camera_move(asked, risk, room)
-    return table(spark, sf_dir, "part").select("p_partkey", move.alias("move"), F.sha2(prompt(move, F.col("p_size") / 4 + 1, F.lit("9:16")), 256).alias("prompt_sha256"))
+    return table(spark, sf_dir, "part").select("p_partkey", move.alias("move"), movement_text(move, "pl").alias("movement_pl"), F.sha2(prompt(move, F.col("p_size") / 4 + 1, F.lit("9:16")), 256).alias("prompt_sha256"))
 
 
 def scene_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,7 +305,7 @@ def render_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def render_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("p_partkey") % 4
-    strategy = F.when(kind == 0, "contain").when(kind == 3, "other").otherwise("anchored_crop")
+    strategy = F.when(kind == 0, "contain").when(kind == 3, F.when(F.col("p_partkey") % 8 == 3, "padded_background").otherwise("other")).otherwise("anchored_crop")
     anchor = F.when(kind == 1, "left").otherwise("bottom")
     return table(spark, sf_dir, "part").select("p_partkey", simple_filter(strategy, anchor, "9x16").alias("filter"))
 
@@ -343,7 +355,7 @@ def schema_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    scene_contiguity, scene_order_topk, scene_id_reuse, scene_diff, clip_invalidation, render_invalidation, selective_dependency_hash, plan_hash, plan_sizes, scene_prompts, scene_reorder, scene_tombstones,
+    scene_contiguity, scene_order_topk, scene_id_reuse, scene_diff, clip_invalidation, render_invalidation, selective_dependency_hash, plan_hash, package_manifests, plan_sizes, scene_prompts, scene_reorder, scene_tombstones,
     clip_revisions, clip_next_revision, clip_technical_issues, sample_timestamps, expected_files, qc_selection_fold, qc_selection_fold_hot, qc_stage_complete, issue_sets, resume_approved_chain, resume_files, resume_first_stage, job_actions,
     submission_allowed, rights_pii_gate, cost_gate, generation_gate, batch_fingerprint, render_fingerprint, render_filters, render_lists, profile_freshness, shot_list_csv, shot_list_text, schema_rules,
 )}
@@ -362,6 +374,7 @@ _RESUME_SQL = """o AS (SELECT o_custkey AS project_id, o_orderkey AS scene_id, o
   f AS (SELECT project_id, 'a/' || scene_id AS path, CASE odd WHEN 5 THEN 'missing' ELSE 'changed' END AS problem FROM o WHERE o_orderpriority <> '1-URGENT' AND odd IN (5, 6))"""
 
 _MOVES_SQL = "CASE move " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MOVES.items()) + " END"
+_MOVES_PL_SQL = "CASE move " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in MOVES_PL.items()) + " END"
 _ROOMS_SQL = "[" + ", ".join(f"'{r}'" for r in ROOMS) + "]"
 _PROMPT_SQL = "printf('" + PROMPT.replace("'", "''") + f"', {_MOVES_SQL}, regexp_replace(regexp_replace(printf('%.6f', p_size / 4 + 1), '0+$', ''), '\\.$', ''), '9:16')"
 
@@ -425,13 +438,23 @@ SQL = {
     "plan_hash": f"""
         WITH {_SCENES_SQL} SELECT project_id, sha256('[' || string_agg('{{"dependency_hash":"' || sha256 || '","scene_id":"' || scene_id || '","sequence_index":' || sequence_index || '}}', ',' ORDER BY sequence_index) || ']') AS plan_hash,
           count(*) AS n_scenes FROM scenes GROUP BY project_id""",
+    "package_manifests": f"""
+        WITH {_SCENES_SQL}, e AS (SELECT project_id, sequence_index, scene_id, '{{"curated_image_path":"generation-package/curated-images/' || scene_id || CASE sequence_index % 3 WHEN 0 THEN '.img' ELSE '.jpg' END
+          || '","duration_seconds":' || (sequence_index / 4 + 1)::DOUBLE::VARCHAR || ',"expected_filename":"' || scene_id || '.mp4","prompt":"a \\"still\\" of ' || role || '","ratio":"16:9","scene_id":"' || scene_id || '","sequence_index":' || sequence_index
+          || ',"source_image_id":"' || sha256 || '","source_sha256":"' || sha256 || '"}}' AS entry,
+          '{{"dependency_hash":"' || sha256(scene_id) || '","scene_id":"' || scene_id || '","sequence_index":' || sequence_index || '}}' AS depends FROM scenes),
+        p AS (SELECT project_id::VARCHAR AS project_id, count(*) AS n_scenes, max(sequence_index) AS revision, string_agg(entry, ',' ORDER BY sequence_index) AS entries, string_agg(depends, ',' ORDER BY sequence_index) AS depends FROM e GROUP BY project_id
+          UNION ALL SELECT 'none', 0, 0, '', ''),
+        h AS (SELECT *, sha256('{{"plan_revision":' || revision || ',"scenes":[' || depends || ']}}') AS plan_dependency_hash FROM p)
+        SELECT project_id, n_scenes, plan_dependency_hash, sha256('{{"entries":[' || entries || '],"external_generation_authorized":false,"mode":"manual","plan_dependency_hash":"' || plan_dependency_hash
+          || '","project_id":"' || project_id || '","provider_configured":false,"schema_version":1}}') AS package_fingerprint FROM h""",
     "plan_sizes": f"""
         WITH {_SCENES_SQL} SELECT project_id, count(*) AS n, CASE WHEN count(*) > 10 THEN 'too_many' WHEN count(*) < 6 AND NOT bool_or(role = 'system') THEN 'reason_needed' END AS problem FROM scenes GROUP BY project_id""",
     "scene_prompts": f"""
         WITH m AS (SELECT *, {_ROOMS_SQL}[p_partkey % 20 + 1] AS room FROM part),
         n AS (SELECT *, CASE WHEN p_partkey % 13 = 0 THEN 'subtle_slide_left' WHEN p_partkey % 17 = 0 THEN NULL WHEN p_size > 40 THEN 'static_hold' WHEN room IN ('exterior', 'garden', 'view', 'terrace', 'balcony') THEN 'gentle_pan_right'
               ELSE 'slow_push_in' END AS move FROM m)
-        SELECT p_partkey, move, sha256({_PROMPT_SQL.replace(_MOVES_SQL, f"coalesce({_MOVES_SQL}, 'null')")}) AS prompt_sha256 FROM n""",
+        SELECT p_partkey, move, {_MOVES_PL_SQL} AS movement_pl, sha256({_PROMPT_SQL.replace(_MOVES_SQL, f"coalesce({_MOVES_SQL}, 'null')")}) AS prompt_sha256 FROM n""",
     "scene_reorder": f"""
         WITH {_SCENES_SQL}, n AS (SELECT *, count(*) OVER (PARTITION BY project_id) AS n FROM scenes)
         SELECT project_id, scene_id, CASE WHEN project_id % 4 = 0 AND n > 2 THEN sequence_index ELSE n - 1 - sequence_index END AS sequence_index, NOT (project_id % 4 = 0 AND n > 2) AS accepted FROM n""",
@@ -508,7 +531,8 @@ SQL = {
     "render_filters": """
         SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'scale=1080:1920:force_original_aspect_ratio=decrease:flags=lanczos,pad=1080:1920:(ow-iw)/2:(oh-ih)/2:color=black,setsar=1,fps=30,format=yuv420p'
           WHEN 1 THEN 'scale=1080:1920:force_original_aspect_ratio=increase:flags=lanczos,crop=1080:1920:0:(ih-oh)/2,setsar=1,fps=30,format=yuv420p'
-          WHEN 2 THEN 'scale=1080:1920:force_original_aspect_ratio=increase:flags=lanczos,crop=1080:1920:(iw-ow)/2:ih-oh,setsar=1,fps=30,format=yuv420p' END AS filter FROM part""",
+          WHEN 2 THEN 'scale=1080:1920:force_original_aspect_ratio=increase:flags=lanczos,crop=1080:1920:(iw-ow)/2:ih-oh,setsar=1,fps=30,format=yuv420p'
+          WHEN 3 THEN CASE p_partkey % 8 WHEN 3 THEN '[0:v]split=2[background][foreground];[background]scale=1080:1920:force_original_aspect_ratio=increase:flags=lanczos,crop=1080:1920,boxblur=20:10[blurred];[foreground]scale=1080:1920:force_original_aspect_ratio=decrease:flags=lanczos[front];[blurred][front]overlay=(W-w)/2:(H-h)/2,setsar=1,fps=30,format=yuv420p[out]' END END AS filter FROM part""",
     "render_lists": f"""
         WITH {_SCENES_SQL} SELECT project_id, string_agg('file ''' || role || '''\\''''s ' || scene_id || '.mp4''', chr(10) ORDER BY sequence_index) || chr(10) AS list FROM scenes GROUP BY project_id""",
     "profile_freshness": f"""

@@ -6,6 +6,8 @@ Everything is staged and renamed, so a reader sees a whole result or none.
 from __future__ import annotations
 
 import json
+import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,3 +143,71 @@ def create_project(spark: SparkSession, root: str, project_id: str, manifest: di
     if fs.exists(place(target)) or not fs.rename(place(staged), place(target)):
         fs.delete(place(staged), True)
         raise Conflict(target)
+
+
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    place, fs = _file_system(spark, root)
+    folder = place(f"{root}/versions")
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(int(n.removesuffix(".json")) for n in names if re.fullmatch(r"\d{8}\.json", n))
+
+
+def _pointer(spark: SparkSession, root: str, version: int) -> dict:
+    return json.loads(spark.read.text(f"{root}/versions/{version:08d}.json", wholetext=True).first()[0])
+
+
+def _point(spark: SparkSession, root: str, version: int, about: dict) -> bool:
+    """Make a version's pointer, whole and only if there is none; whether this writer did."""
+    place, fs = _file_system(spark, root)
+    target, mine = place(f"{root}/versions/{version:08d}.json"), place(f"{root}/.pointer-{uuid.uuid4().hex}")
+    fs.mkdirs(target.getParent())
+    out = fs.create(mine, False)
+    out.write(json.dumps(about, sort_keys=True).encode())
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            # a rename on a local file system would replace what is there; a link does not
+            os.link(mine.toUri().getPath(), target.toUri().getPath())
+            return True
+        return not fs.exists(target) and fs.rename(mine, target)
+    except FileExistsError:
+        return False
+    finally:
+        fs.delete(mine, False)
+
+
+def publish_package(frames: dict[str, DataFrame], root: str, content: str, form: str = "parquet") -> int:
+    """Publish several results as the next version of a package: all are visible at once, or none is.
+
+    Results are written where nobody looks, and one pointer file, which only one
+    writer can make, names them.  ``content`` is the package's fingerprint: a
+    retry, or another writer, of what is the last version already changes
+    nothing and gets that version's number.  Writers of other contents each get a
+    version of their own, in the order of their pointers.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    place, fs = _file_system(spark, root)
+    data = f"{root}/data/{uuid.uuid4().hex}"
+    done = False
+    try:
+        known = _versions(spark, root)
+        if known and _pointer(spark, root, known[-1])["content"] == content:
+            return known[-1]
+        for name, df in frames.items():
+            df.write.format(form).save(f"{data}/{name}")
+        while not done:
+            known = _versions(spark, root)
+            if known and _pointer(spark, root, known[-1])["content"] == content:
+                return known[-1]
+            new = known[-1] + 1 if known else 1
+            done = _point(spark, root, new, {"content": content, "form": form, "parts": {n: f"{data}/{n}" for n in frames}})
+        return new
+    finally:
+        if not done:
+            fs.delete(place(data), True)
+
+
+def package(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The results of a version of a package, the last one if none is named."""
+    about = _pointer(spark, root, _versions(spark, root)[-1] if version is None else version)
+    return {name: spark.read.format(about["form"]).load(path) for name, path in about["parts"].items()}

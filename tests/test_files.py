@@ -145,3 +145,42 @@ def test_json_that_no_cell_holds(spark):
 
 def test_zlib_damage_is_known():
     assert zlib.error in archives.DAMAGE
+
+
+def test_packages_appear_whole(spark, tmp_path):
+    """Writers at once each get a version; the same content again is none; what fails leaves nothing."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from propflow.sources import sinks
+
+    root = str(tmp_path / "package")
+    frames = lambda k: {"scenes": spark.createDataFrame([(k, "s")], "k int, s string"), "prompts": spark.createDataFrame([(k,)], "k int")}
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda k: sinks.publish_package(frames(k), root, f"content {k}"), range(4)))
+    assert sorted(versions) == [1, 2, 3, 4]
+    for k, version in enumerate(versions):
+        assert {name: [r.k for r in df.collect()] for name, df in sinks.package(spark, root, version).items()} == {"scenes": [k], "prompts": [k]}
+    last = versions.index(4)
+    assert sinks.publish_package(frames(last), root, f"content {last}") == 4
+    assert len(os.listdir(f"{root}/data")) == 4
+    bad = {"a": spark.range(1), "b": spark.range(1).select(F.raise_error(F.lit("stop")).alias("x"))}
+    with pytest.raises(Exception):
+        sinks.publish_package(bad, root, "bad")
+    assert len(os.listdir(f"{root}/data")) == 4 and set(sinks.package(spark, root)) == {"scenes", "prompts"}
+    assert not [n for n in os.listdir(root) if "pointer" in n]
+
+
+def test_package_manifest_is_canonical(spark):
+    from propflow.functions.hashing import canonical
+    from propflow.operators.packages import manifests
+
+    scenes = [("p", f"s{i}", i, "i", "h", path, 'say "hi"\n', 2.5, "16:9", "d") for i, path in ((1, "o/a.PNG"), (0, "o/.hidden"))]
+    frame = spark.createDataFrame(scenes, "project_id string, scene_id string, sequence_index int, source_image_id string, source_sha256 string, source_path string, prompt_en string, duration_seconds double, aspect_ratio string, dependency_hash string")
+    row = manifests(frame, spark.createDataFrame([("p", 3)], "project_id string, revision int")).first()
+    depends = canonical({"plan_revision": 3, "scenes": [{"scene_id": f"s{i}", "sequence_index": i, "dependency_hash": "d"} for i in (0, 1)]})
+    entries = [
+        {"scene_id": f"s{i}", "sequence_index": i, "source_image_id": "i", "source_sha256": "h", "curated_image_path": f"generation-package/curated-images/s{i}{s}", "prompt": 'say "hi"\n', "duration_seconds": 2.5, "ratio": "16:9", "expected_filename": f"s{i}.mp4"}
+        for i, s in ((0, ".img"), (1, ".png"))
+    ]
+    core = {"schema_version": 1, "project_id": "p", "mode": "manual", "plan_dependency_hash": hashlib.sha256(depends.encode()).hexdigest(), "provider_configured": False, "external_generation_authorized": False, "entries": entries}
+    assert row.manifest == canonical(core) and row.package_fingerprint == hashlib.sha256(row.manifest.encode()).hexdigest() and row.n_scenes == 2
