@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from propflow.functions.rules import SECRET_KEY
+from propflow.functions.text import quoted_name
 from propflow.operators.state import MANAGED
 
 MOST_DEPTH = 64
@@ -28,17 +29,6 @@ _ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b
 _PLACE = 10
 
 
-def _quoted(name: str) -> str:
-    """SQL of a member's name in quotes, with control characters escaped."""
-    single, double, back = "char(39)", "char(34)", "char(92)"
-    escaped = f"replace({name}, {back}, concat({back}, {back}))"
-    plain = escaped
-    for code in (*range(32), 127):
-        escaped = f"replace({escaped}, char({code}), concat({back}, '{ {9: 't', 10: 'n', 13: 'r'}.get(code, f'x{code:02x}') }'))"
-    body = f"CASE WHEN {name} RLIKE '[\\\\x00-\\\\x1f\\\\x7f]' THEN {escaped} ELSE {plain} END"
-    return f"CASE WHEN contains({name}, {single}) AND NOT contains({name}, {double}) THEN concat({double}, {body}, {double}) ELSE concat({single}, replace({body}, {single}, concat({back}, {single})), {single}) END"
-
-
 def nodes(docs: DataFrame, key: str, document: str, arrays: bool = True) -> DataFrame:
     """(key, path, shown, kind, value) of each node, the root first; without ``arrays`` an array is one node.
 
@@ -54,7 +44,7 @@ def nodes(docs: DataFrame, key: str, document: str, arrays: bool = True) -> Data
               SELECT key, cast(array() AS array<string>), '$', regexp_extract(schema_of_variant(document), '^[A-Z]+', 0), document FROM {{rows}}
               UNION ALL
               SELECT w.key, array_append(w.path, coalesce(concat('k', e.key), concat('i', lpad(e.pos, {_PLACE}, '0')))),
-                concat(w.shown, '[', coalesce({_quoted("e.key")}, cast(e.pos AS string)), ']'), regexp_extract(schema_of_variant(e.value), '^[A-Z]+', 0), e.value
+                concat(w.shown, '[', coalesce({quoted_name("e.key")}, cast(e.pos AS string)), ']'), regexp_extract(schema_of_variant(e.value), '^[A-Z]+', 0), e.value
               FROM w, LATERAL variant_explode(w.value) e WHERE {within} AND size(w.path) < {MOST_DEPTH})
             SELECT * FROM w""",
         rows=rows,

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from propflow.functions.hashing import json_equal
 from propflow.functions.rules import is_image_id, is_project_id, is_relative_path, is_scene_id, is_sha256, is_single_movement
-from propflow.functions.text import utc_time
+from propflow.functions.text import quoted_name, utc_time
 from propflow.functions.urls import host, problem_sql
 
+#: Levels of a document that a compiled schema follows.
+MOST_NESTED = 64
 KEYWORDS = (
     "type", "properties", "required", "additionalProperties", "items", "minItems", "maxItems",
     "enum", "const", "minLength", "maxLength", "pattern", "minimum", "maximum",
@@ -211,3 +214,114 @@ def scene_fault(scene_id: Column, index: Column, image_id: Column, sha256: Colum
 
 #: Rules between fields by kind of document.
 SEMANTICS = {"project": project_fault, "image-analysis": analysis_fault, "scene-plan": scene_fault}
+
+
+def _subschemas(schema: dict) -> tuple[list[dict], dict[str, int]]:
+    """All schemas within one, the whole first, and the steps between them: ``from|segment`` to where it leads.
+
+    A segment is ``k`` and a name, ``*`` for any other name, or ``i`` for an item.
+    Where names that are not known are barred, the step leads to -1.
+    """
+    rules, steps, waiting = [schema], {}, [0]
+    while waiting:
+        at = waiting.pop(0)
+        rule, more = rules[at], rules[at].get("additionalProperties", True)
+        inner = {f"k{n}": s for n, s in rule.get("properties", {}).items()} | ({"i": rule["items"]} if "items" in rule else {})
+        if more is False:
+            steps[f"{at}|*"] = -1
+        elif isinstance(more, dict):
+            inner["*"] = more
+        for segment, child in inner.items():
+            steps[f"{at}|{segment}"] = len(rules)
+            waiting.append(len(rules))
+            rules.append(child)
+    return rules, steps
+
+
+def _kinds(kind: Column, number: Column, text: Column) -> dict[str, Column]:
+    # whole numbers beyond 64 bits are decimals to the parser, as 1.0 is
+    whole = (kind == "BIGINT") | ((kind == "DECIMAL") & (F.abs(number) >= F.lit(2.0**63)) & ~F.contains(text, F.lit(".")))
+    real = whole | (kind.isin("DECIMAL", "DOUBLE", "FLOAT") & (F.abs(number) < F.lit(math.inf)))
+    return {"object": kind == "OBJECT", "array": kind == "ARRAY", "string": kind == "STRING", "number": real, "integer": whole, "boolean": kind == "BOOLEAN", "null": kind == "VOID"}
+
+
+def _node_fault(rule: dict, kind: Column, value: Column) -> Column:
+    """The keyword that a node breaks, of its own schema, in the order of checks; null if none."""
+    number, text = F.try_variant_get(value, "$", "double"), F.try_variant_get(value, "$", "string")
+    is_a = _kinds(kind, number, text)
+    real, faults = is_a["number"], []
+
+    def equals(x) -> Column:
+        if isinstance(x, bool):
+            return is_a["boolean"] & (text == str(x).lower())
+        if x is None:
+            return is_a["null"]
+        if isinstance(x, str):
+            return is_a["string"] & (text == x)
+        if isinstance(x, (int, float)):
+            return real & (number == F.lit(float(x)))
+        raise SchemaError("enum and const of arrays and objects are not compiled")
+
+    def any_of(tests: list[Column]) -> Column:
+        out = F.lit(False)
+        for t in tests:
+            out = out | F.coalesce(t, F.lit(False))
+        return out
+
+    if rule.get("type") is not None:
+        kinds = [rule["type"]] if isinstance(rule["type"], str) else rule["type"]
+        faults.append((~any_of([is_a[k] for k in kinds]), "type"))
+    if "enum" in rule:
+        faults.append((~any_of([equals(x) for x in rule["enum"]]), "enum"))
+    if "const" in rule:
+        faults.append((~any_of([equals(rule["const"])]), "const"))
+    for name in rule.get("required", []):
+        member = F.try_variant_get(value, "$[" + json.dumps(name, ensure_ascii=False) + "]", "variant")
+        faults.append((is_a["object"] & F.schema_of_variant(member).isNull(), f"required {name!r}"))
+    size, length = F.size(F.try_variant_get(value, "$", "array<variant>")), F.length(text)
+    tests = {
+        "minItems": lambda v: is_a["array"] & (size < v), "maxItems": lambda v: is_a["array"] & (size > v),
+        "minLength": lambda v: is_a["string"] & (length < v), "maxLength": lambda v: is_a["string"] & (length > v), "pattern": lambda v: is_a["string"] & ~text.rlike(v),
+        "minimum": lambda v: real & (number < F.lit(float(v))), "maximum": lambda v: real & (number > F.lit(float(v))),
+    }
+    faults += [(test(rule[k]), k) for k, test in tests.items() if k in rule]
+    return F.coalesce(*[F.when(F.coalesce(broken, F.lit(False)), k) for broken, k in faults], F.lit(None).cast("string"))
+
+
+def nested_faults(docs: DataFrame, key: str, document: str, schema: dict) -> DataFrame:
+    """(key, fault) of each document, a variant of any depth, without Python.
+
+    The schema is compiled: its parts are numbered, and the recursion that takes
+    documents apart steps from part to part as it goes from node to node.  The
+    fault is the first in the order of paths, which is that of ``first_fault``
+    for members in the order of their names; null if there is none.
+    """
+    check_schema(schema)
+    rules, steps = _subschemas(schema)
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    quoted = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    table = "map(" + ", ".join(f"{quoted(k)}, {v}" for k, v in steps.items()) + ")" if steps else "cast(map() AS map<string, int>)"
+    view = f"_documents_{uuid.uuid4().hex}"
+    rows = docs.select(F.col(key).alias("key"), F.col(document).alias("document"))
+    rows.where("document IS NOT NULL").createOrReplaceTempView(view)
+    found = spark.sql(
+        f"""WITH RECURSIVE w(key, path, shown, rule, barred, value) AS (
+              SELECT key, cast(array() AS array<string>), '$', 0, cast(null AS string), document FROM {view}
+              UNION ALL
+              SELECT key, path, shown, if(rule >= 0, rule, null), if(rule = -1, name, null), value FROM (
+                SELECT w.key, array_append(w.path, coalesce(concat('k', e.key), concat('i', lpad(e.pos, 10, '0')))) AS path, concat(w.shown, '[', coalesce({quoted_name("e.key")}, cast(e.pos AS string)), ']') AS shown,
+                  coalesce({table}[concat(w.rule, '|', coalesce(concat('k', e.key), 'i'))], if(e.key IS NULL, null, {table}[concat(w.rule, '|*')])) AS rule, {quoted_name("e.key")} AS name, e.value
+                FROM w, LATERAL variant_explode(w.value) e WHERE w.rule IS NOT NULL AND size(w.path) < {MOST_NESTED})
+              WHERE rule IS NOT NULL)
+            SELECT * FROM w"""
+    )
+    spark.catalog.dropTempView(view)
+    kind = F.regexp_extract(F.schema_of_variant("value"), "^[A-Z]+", 0)
+    own = F.coalesce(*[F.when(F.col("rule") == k, _node_fault(rule, F.col("kind"), F.col("value"))) for k, rule in enumerate(rules)])
+    # a barred member is a fault of the object that holds it
+    parent = F.substring("shown", F.lit(1), F.length("shown") - F.length("barred") - 2)
+    told = F.when(F.col("barred").isNotNull(), F.concat(parent, F.lit(": additionalProperties "), F.col("barred"))).otherwise(F.concat("shown", F.lit(": "), own))
+    faults = found.withColumn("kind", kind).select("key", "path", told.alias("fault")).where("fault IS NOT NULL")
+    first = faults.groupBy("key").agg(F.min_by("fault", "path").alias("fault"))
+    return rows.select("key", F.col("document").isNull().alias("none")).join(first, "key", "left").select(F.col("key").alias(key), F.when(F.col("none"), "$: not a document").otherwise(F.col("fault")).alias("fault"))

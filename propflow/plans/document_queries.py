@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from propflow.functions.rules import SECRET_KEY
 from propflow.operators.trees import canonical_texts, json_string, patched, secret_fields
+from propflow.operators.validation import nested_faults
 from propflow.plans.common import table
 
 
@@ -46,7 +47,31 @@ def document_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patched(projects, patches).select("project_id", "status", F.col("revision").cast("long").alias("revision"), "text")
 
 
-QUERIES = {f.__name__: f for f in (canonical_documents, secret_fields_by_depth, document_patches)}
+#: Closed objects within arrays within an object.
+PLAN_SCHEMA = {
+    "type": "object", "required": ["name", "scenes"], "additionalProperties": False,
+    "properties": {
+        "name": {"type": "string", "maxLength": 40},
+        "scenes": {"type": "array", "minItems": 1, "maxItems": 3, "items": {
+            "type": "object", "required": ["move"], "additionalProperties": False,
+            "properties": {"move": {"enum": ["pan", "hold", None]}, "seconds": {"type": "number", "minimum": 2, "maximum": 45.5}, "tags": {"type": "array", "items": {"type": "string", "pattern": "^[A-Z]"}}},
+        }},
+    },
+}
+
+
+def schema_rules_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan of one to four scenes for each part, with faults that its columns settle."""
+    scene = F.format_string(
+        '{"move": %s, "seconds": %d, "tags": ["A", %s]%s}', F.when(F.col("p_partkey") % 11 == 0, '"zoom"').when(F.col("p_partkey") % 2 == 0, "null").otherwise('"pan"'), F.col("p_size"),
+        json_string(F.col("p_type")), F.when(F.col("p_partkey") % 13 == 0, ', "more": {}').otherwise(""),
+    )
+    scenes = F.concat(F.repeat(F.lit('{"move": "hold"}, '), (F.col("p_partkey") % 4).cast("int")), scene)
+    document = F.when(F.col("p_partkey") % 17 != 0, F.parse_json(F.concat(F.lit('{"scenes": ['), scenes, F.lit('], "name": '), json_string(F.col("p_name")), F.lit("}"))))
+    return nested_faults(table(spark, sf_dir, "part").select("p_partkey", document.alias("document")), "p_partkey", "document", PLAN_SCHEMA)
+
+
+QUERIES = {f.__name__: f for f in (canonical_documents, secret_fields_by_depth, document_patches, schema_rules_nested)}
 
 _NODE_NAME = "CASE WHEN contains(t.key, '''') AND NOT contains(t.key, '\"') THEN '\"' || t.key || '\"' ELSE '''' || t.key || '''' END"
 
@@ -64,6 +89,11 @@ SQL = {
           UNION ALL SELECT t.c_custkey, t.id, w.path || '[' || CASE t.kind WHEN 'ARRAY' THEN t.key ELSE {_NODE_NAME} END || ']', CASE t.kind WHEN 'ARRAY' THEN NULL ELSE replace(t.key, '-', '_') END
           FROM w JOIN t ON t.c_custkey = w.c_custkey AND t.parent = w.id)
         SELECT c_custkey, path FROM w WHERE CASE WHEN name = 'secret_reference' THEN path <> '$[''secret_reference'']' ELSE regexp_matches(name, '(?i){SECRET_KEY}') END""",
+    "schema_rules_nested": """
+        WITH p AS (SELECT *, '$[''scenes''][' || p_partkey % 4 || ']' AS scene FROM part)
+        SELECT p_partkey, CASE WHEN p_partkey % 17 = 0 THEN '$: not a document' WHEN length(p_name) > 40 THEN '$[''name'']: maxLength' WHEN p_partkey % 4 = 3 THEN '$[''scenes'']: maxItems'
+          WHEN p_partkey % 13 = 0 THEN scene || ': additionalProperties ''more''' WHEN p_partkey % 11 = 0 THEN scene || '[''move'']: enum' WHEN p_size < 2 THEN scene || '[''seconds'']: minimum'
+          WHEN p_size > 45.5 THEN scene || '[''seconds'']: maximum' WHEN NOT regexp_matches(p_type, '^[A-Z]') THEN scene || '[''tags''][1]: pattern' END AS fault FROM p""",
     "document_patches": """
         WITH c AS (SELECT c_custkey AS project_id, c_custkey % 3 AS revision, c_custkey % 5 AS kind, c_custkey % 7 = 0 AS older, '"name":' || to_json(c_name)::VARCHAR AS name, '"nation":' || c_nationkey AS nation, to_json(c_mktsegment)::VARCHAR AS phone FROM customer),
         s AS (SELECT *, CASE WHEN older THEN 'stale' WHEN kind = 3 THEN 'managed' ELSE 'applied' END AS status FROM c)

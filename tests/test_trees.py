@@ -80,3 +80,37 @@ def test_patched(spark):
 def test_no_documents(spark):
     none = frame(spark, [{}]).limit(0)
     assert trees.canonical_texts(none, "id", "document").count() == 0 and trees.secret_fields(none, "id", "document").count() == 0
+
+
+SCHEMA = {
+    "type": "object", "required": ["id", "items"], "additionalProperties": False,
+    "properties": {
+        "id": {"type": "string", "pattern": "^[a-z]+$", "minLength": 2, "maxLength": 4}, "n": {"type": ["integer", "null"], "minimum": -1, "maximum": 5}, "kind": {"enum": ["a", 1, None, False]},
+        "items": {"type": "array", "minItems": 1, "maxItems": 3, "items": {"type": "object", "required": ["it's"], "properties": {"it's": {"type": "number", "minimum": 0.5}, "deep": {"type": "array", "items": {"const": True}}}}},
+        "map": {"type": "object", "additionalProperties": {"type": "string", "maxLength": 1}}, "free": {},
+    },
+}
+
+
+def spoilt(rnd):
+    """A document of the schema, with a fault or two or none."""
+    pick = lambda good, *bad: rnd.choice([good] * 12 + list(bad))
+    item = lambda: pick({"it's": pick(1.5, 0.25, "x", None, 1), **pick({}, {"deep": pick([True], [True, 1], {}, [])})}, {}, 5)
+    doc = {"id": pick("abc", "A", "abcde", 7, ""), "items": pick([item() for _ in range(rnd.randrange(1, 4))], [], [item()] * 4, {}), "n": pick(3, None, 1.0, 9, True, -2, 12345678901234567890123), "kind": pick("a", 1, None, False, True, "b", 1.0, [])}
+    doc["map"] = pick({"x": "y"}, {"x": "long"}, {"it\"s": 1}, {})
+    doc |= pick({}, {"more": 1}, {"free": {"any": [1]}}, {"it's\n": 0})
+    return pick({k: v for k, v in doc.items() if rnd.random() < 0.97}, [], None, "x")
+
+
+def test_nested_faults(spark):
+    from propflow.operators.validation import SchemaError, first_fault, nested_faults
+
+    rnd = random.Random(12)
+    docs = [spoilt(rnd) for _ in range(300)]
+    got = {r.id: r.fault for r in nested_faults(frame(spark, docs), "id", "document", SCHEMA).collect()}
+    want = {i: first_fault(json.loads(json.dumps(d, sort_keys=True)), SCHEMA) for i, d in enumerate(docs)}
+    assert got == want and len({f for f in want.values()}) > 12 and None in want.values()
+    none = spark.sql("SELECT 1 AS id, cast(null AS variant) AS document")
+    assert nested_faults(none, "id", "document", SCHEMA).first().fault == "$: not a document"
+    with pytest.raises(SchemaError):
+        nested_faults(none, "id", "document", {"enum": [[1]]}).collect()
