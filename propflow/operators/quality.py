@@ -14,7 +14,7 @@ CRITICAL = (
 
 def clean_issues(issues: Column) -> Column:
     """Trimmed, distinct, sorted issues without empty ones."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(issues, F.array().cast("array<string>")), F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.coalesce(issues, F.array().cast("array<string>")), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")))
 
 
 def critical_issues(issues: Column) -> Column:

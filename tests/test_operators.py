@@ -164,6 +164,11 @@ def test_review_fold(spark):
     assert quality.selections(frame.limit(0), ["scene"], "n").count() == 0
 
 
+def test_issues_are_trimmed(spark):
+    found = F.array(*[F.lit(x) for x in (" morphing\t", "morphing", "0noise", " ", "\u00a0a")])
+    assert spark.range(1).select(quality.clean_issues(found)).first()[0] == ["0noise", "a", "morphing"]
+
+
 def test_approvals(spark):
     def problem(status, technical, issues, actual="h", compared=True, evidence="seen"):
         c = quality.approval_problem(F.lit(status), F.lit(technical), F.array(*[F.lit(x) for x in issues]).cast("array<string>"), F.lit("h"), F.lit(actual).cast("string"), F.lit(compared), F.lit(evidence))
