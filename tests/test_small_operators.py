@@ -143,3 +143,23 @@ def test_folder_listing(spark, tmp_path):
     assert [(r.relative_path, r.kind, r["size"]) for r in found.collect()] == [("a/b/z.zip", "file", 5), ("a/link.jpg", "symlink", 0), ("a/y.png", "file", 5), ("x.jpg", "file", 5)]
     judged = {r.relative_path: r.problem for r in archives.folder_problems(found).collect()}
     assert judged == {"a/b/z.zip": "nested", "a/link.jpg": "symlink", "a/y.png": None, "x.jpg": None}
+
+
+def test_a_lapsed_claim_belongs_to_its_new_owner(spark, tmp_path, monkeypatch):
+    """A writer that comes back after its claim lapsed leaves the claim of the one that took it over."""
+    import os
+
+    from propflow.operators import state
+
+    store = state.Store(spark, str(tmp_path))
+    claim = store._claim("p", 1, "first")
+    path = claim.toUri().getPath()
+    with pytest.raises(state.StaleRevision):
+        store._claim("p", 1, "second")
+    os.utime(path, (0, 0))
+    store._claim("p", 1, "second")
+    assert store._owner(claim) == "second"
+    # the first one's write ends: what it finds is not its own
+    monkeypatch.setattr(store, "_claim", lambda project, revision, owner: claim)
+    assert store.write("p", {"a": 1}, 0) == 1
+    assert os.path.exists(path) and store._owner(claim) == "second"
