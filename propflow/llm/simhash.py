@@ -261,14 +261,20 @@ def _near(pairs: DataFrame, prints: DataFrame, distance: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(apart <= distance).select(*pairs.columns)
 
 
+def _leaders() -> Column:
+    """Four nodes of a group, or as many as there are: aggregated, whatever the group's size."""
+    mixed = F.xxhash64("node")
+    return F.array_distinct(F.array(F.min("node"), F.max("node"), F.min_by("node", mixed), F.max_by("node", mixed)))
+
+
 def equal_word_links(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
-    """(u, v): verified links of nodes to the first node that has an equal word.
+    """(u, v): verified links of nodes to leaders, four of the nodes that have an equal word.
 
-    They connect most of a large group at the cost of TABLES rows a node.
+    They connect most of a large group at the cost of a few rows a node.
     """
     tables = prints.select("node", F.posexplode(_words_of(F.col("fp"))).alias("t", "word"))
-    first = tables.groupBy("t", "word").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = tables.join(first, ["t", "word"]).where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    led = tables.groupBy("t", "word").agg(_leaders().alias("leaders")).where("size(leaders) > 1")
+    met = tables.join(led, ["t", "word"]).select(F.col("node").alias("u"), F.explode("leaders").alias("v")).where("u <> v").distinct()
     return _near(met, prints, distance)
 
 
@@ -276,10 +282,11 @@ def colliding_links(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFra
     """(u, v): links of components, of all whose nodes collide and are near.
 
     ``prints`` has node, fp and comp.  A bucket holds the words within a bit of its
-    variant.  Of buckets with several components, the nodes outside the bucket's
-    largest meet all its nodes of other components; whatever else a bucket holds is
-    of one component, however much it is.  A pair meets once for each word in
-    which it collides.
+    variant.  Whatever a bucket holds of one component needs no comparison, however
+    much it is, so only buckets of several components go on.  There the nodes
+    outside the bucket's largest component first meet four leaders of that whole
+    component; those that are still of another then meet all its nodes in the
+    bucket, and each other.  A pair meets once for each word in which it collides.
     """
     from pyspark.sql import Window
 
@@ -296,15 +303,30 @@ def colliding_links(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFra
     sizes = mixed.groupBy("variant", "comp").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("variant").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
     few = mixed.join(main, "variant").where("comp <> main").select("variant", "main", F.col("tag").alias("x"), F.col("comp").alias("x_comp"))
+    few, _ = staged(few, "few")
     node, mask = (lambda c: F.shiftright(c, 6)), (lambda c: F.col(c).bitwiseAND(F.lit(63)))
-    met = few.join(mixed, "variant").where(
-        (F.col("x_comp") != F.col("comp"))
-        # two outside the largest meet in one order, and any pair in one of the buckets that its word shares
-        & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("tag")))
-        & ((mask("x") == 0) | ((mask("tag") != 0) & (mask("x") < mask("tag"))))
-    )
-    pairs = met.select(node("x").alias("u"), node("tag").alias("v"), "x_comp", "comp").distinct()
-    return _near(pairs, prints.select("node", "fp"), distance).select(F.col("x_comp").alias("u"), F.col("comp").alias("v")).distinct()
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Links of the components of pairs (u, v, x_comp, comp) whose nodes are near."""
+        return _near(pairs.distinct(), prints.select("node", "fp"), distance).select(F.col("x_comp").alias("u"), F.col("comp").alias("v")).distinct()
+
+    leaders = prints.groupBy("comp").agg(_leaders().alias("leaders"))
+    tries = few.select(node("x").alias("u"), "x_comp", F.col("main").alias("comp")).distinct().join(leaders, "comp")
+    first, _ = staged(linked(tries.select("u", F.explode("leaders").alias("v"), "x_comp", "comp")), "led")
+    root, _ = staged(components(first).withColumnsRenamed({"u": "_u", "v": "_v"}), "roots")
+
+    def rooted(rows: DataFrame, comp: str, name: str) -> DataFrame:
+        return rows.join(root, rows[comp] == root["_u"], "left").withColumn(name, F.coalesce("_v", comp)).drop("_u", "_v")
+
+    few, _ = staged(rooted(rooted(few, "x_comp", "x_root"), "main", "main_root"), "few")
+    # a pair meets in several buckets of a word, and counts in one, whichever of the two is outside the bucket's largest
+    once = lambda x, y: (mask(x) == 0) | ((mask(y) != 0) & (mask(x) < mask(y)))
+    either = F.when(F.col("x") < F.col("tag"), once("x", "tag")).otherwise(once("tag", "x"))
+    apart = few.where("x_root <> main_root").select("variant", F.col("main").alias("comp"), "x", "x_comp")
+    with_main = apart.join(mixed, ["variant", "comp"]).where(either).select(node("x").alias("u"), node("tag").alias("v"), "x_comp", "comp")
+    others = few.select("variant", F.col("x").alias("y"), F.col("x_comp").alias("comp"), F.col("x_root").alias("y_root"))
+    among = few.join(others, "variant").where((F.col("x") < F.col("y")) & (F.col("x_root") != F.col("y_root")) & once("x", "y")).select(node("x").alias("u"), node("y").alias("v"), "x_comp", "comp")
+    return first.unionByName(linked(with_main.unionByName(among)))
 
 
 def wide_components(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
