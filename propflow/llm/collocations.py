@@ -389,7 +389,8 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text_co
     if longest > 2:
         more, _ = staged(_frequent_keys(_long_counts(coded, pairs, longest, parts), least, parts, tell=False), "phrases")
         first, last = (two.select(F.col("id").alias(side), F.col("ids").alias(f"{side}_ids")) for side in ("left", "right"))
-        met = more.select("size", "left", "right", "f").join(first, "left").join(last, "right")
+        # the planner thinks this table smaller than it is, for the columns it leaves out are empty
+        met = more.select("size", "left", "right", "f").join(first.hint("merge"), "left").join(last.hint("merge"), "right")
         found = found.unionByName(met.select(F.concat("left_ids", F.slice("right_ids", (5 - F.col("size")).cast("int"), 2)).alias("ids"), "f"))
     discard(docs.sparkSession, coded_path)
     return staged(found, "found")[0], vocabulary.drop("f"), totals
@@ -423,7 +424,7 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, covered: in
     )
     kept = weakest.join(inner, weakest.ids == inner.inner, "left").where(F.col("most").isNull() | (_exact("most") * 100 < _exact("a") * covered)).drop("inner", "most")
     kept, _ = staged(kept.withColumn("of", F.monotonically_increasing_id()), "kept")
-    spelt = kept.select("of", F.posexplode("ids").alias("k", "word_id")).join(words.select("word_id", "lang", "word"), "word_id")
+    spelt = kept.select("of", F.posexplode("ids").alias("k", "word_id")).join(words.select("word_id", "lang", "word").hint("merge"), "word_id")
     # as many words as a phrase has
     phrases = spelt.groupBy("of").agg(F.min("lang").alias("lang"), F.array_join(F.array_sort(F.collect_list(F.struct("k", "word")))["word"], " ").alias("phrase"))
     rows = kept.drop("ids").join(phrases, "of")

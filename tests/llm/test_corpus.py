@@ -143,8 +143,33 @@ def test_pipeline_steps(spark, sf_dir):
             assert seen.count() == before.select("text").distinct().count()
 
 
-def test_pipeline_of_odd_rows(spark, odd, none, tmp_path):
+def test_pipeline_of_odd_rows(spark, odd, none, odd_rows, tmp_path):
+    """Each stage on nulls, blanks, ties, repeated rows, very long texts and clashing columns; and on nothing."""
+    labels = spark.createDataFrame([(4, 1), (9, 1), (1, 0)], "doc_id long, quality int")
     for name, rows in (("odd", odd), ("none", none)):
         rows.write.parquet(str(tmp_path / name / "documents.parquet"))
-        spark.createDataFrame([(4, 1), (9, 1), (1, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / name / "labels.parquet"))
-        assert corpus_pipeline.run(spark, str(tmp_path / name)).count() >= 0
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    seen, texts = odd, {t or "" for _, t, _ in odd_rows}
+    for name, stage in corpus_pipeline.STAGES:
+        before, seen = seen, stage(spark, seen, str(tmp_path / "odd")).cache()
+        rows = [(r.doc_id, r.text or "") for r in before.collect()]
+        if name == "bpe":
+            assert seen.columns == ["doc_id", "n_tokens", "ids_sha256", "ids"] and seen.count() == len(rows)
+            continue
+        got = [(r.doc_id, r.text or "") for r in seen.collect()]
+        assert seen.columns == odd.columns and set(got) <= set(rows)
+        if name == "exact_dedup":
+            # of each text one row stays, that of the smallest identifier; null comes after all others
+            assert sorted(t for _, t in got) == sorted({t for _, t in rows})
+            assert all(i == min((j for j, u in rows if u == t and j is not None), default=None) for i, t in got)
+        if name == "near_dedup":
+            assert len({t for _, t in got}) == len(got) > 0 and not any(t.endswith(" end") for _, t in got)
+        if name == "mixing":
+            # what has no words is never taken
+            assert all(t.split() for _, t in got)
+        texts &= {t for _, t in got}
+    nothing = none
+    for name, stage in corpus_pipeline.STAGES:
+        nothing = stage(spark, nothing, str(tmp_path / "none"))
+        assert nothing.count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
