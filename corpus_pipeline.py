@@ -3,6 +3,11 @@
 Each stage takes what its predecessor kept, whole, and gives back the columns of
 ``documents``; the last gives ids.  Stages are written as Parquet in the shared
 folder and read again, so a lost executor costs no more than a reread.
+
+In every stage a null text counts as empty, very long texts are judged whole, other
+columns pass through whatever their names, and an empty table gives an empty result.
+Null identifiers are rows like any other and come after all others where the smallest
+stays.  What repeated rows and ties come to is told with each stage.
 """
 
 from __future__ import annotations
@@ -14,27 +19,27 @@ from propflow.llm.shared import staged, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labels, accepts."""
+    """Documents that the quality classifier, fitted on the labels, accepts; equal texts are judged alike, and empty ones are scored like any other."""
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: that of the smallest doc_id."""
+    """One document of each group of equal texts: that of the smallest doc_id; of rows alike in both, one."""
     return exact_dedup.keep_one(docs)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints: that of the smallest doc_id."""
+    """One document of each group of linked fingerprints: that of the smallest doc_id; texts without words are one group."""
     return simhash.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; those without words are never taken, and a null source is one of its own."""
     return mixing.mixed(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and ids, one row for each row of the mix."""
+    """doc_id, n_tokens, ids_sha256 and ids, one row for each row of the mix, copies included; an empty text has no ids."""
     import public_tokenizers
 
     return trie_bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))
