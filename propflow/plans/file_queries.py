@@ -14,13 +14,13 @@ from propflow.plans.common import scratch, table
 from propflow.sources.files import file_digests
 from propflow.sources.zip_source import archives
 
-#: Documents of a source whose numbers share a thousand go into one bundle.
-_BUNDLE = F.format_string("%s-%06d", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000))
 _BUNDLE_SQL = "coalesce(source, 'none') || '-' || printf('%06d', doc_id // 1000)"
 
 
 def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(_BUNDLE.alias("bundle"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """Documents of a source whose numbers share a thousand go into one bundle."""
+    bundle = F.format_string("%s-%06d", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000))
+    return table(spark, sf_dir, "documents").select(bundle.alias("bundle"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _zipped(spark: SparkSession, sf_dir: str) -> str:
