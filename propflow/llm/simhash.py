@@ -254,11 +254,15 @@ def _words_of(fp: Column) -> Column:
     return F.array(*[F.shiftrightunsigned(fp[t // 2], 32 * (t % 2)).bitwiseAND(F.lit(0xFFFFFFFF)) for t in range(TABLES)])
 
 
+def _apart(a: Column, b: Column) -> Column:
+    """Bits in which two wide fingerprints differ."""
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(TABLES // 2)), F.lit(0))
+
+
 def _near(pairs: DataFrame, prints: DataFrame, distance: int) -> DataFrame:
     """The pairs (u, v, and more) of nodes whose whole fingerprints are within ``distance``."""
     left, right = (prints.select(F.col("node").alias(n), F.col("fp").alias(f)) for n, f in (("u", "a"), ("v", "b")))
-    apart = sum((F.bit_count(F.col("a")[k].bitwiseXOR(F.col("b")[k])) for k in range(TABLES // 2)), F.lit(0))
-    return pairs.join(left, "u").join(right, "v").where(apart <= distance).select(*pairs.columns)
+    return pairs.join(left, "u").join(right, "v").where(_apart(F.col("a"), F.col("b")) <= distance).select(*pairs.columns)
 
 
 def _leaders() -> Column:
@@ -310,9 +314,12 @@ def colliding_links(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFra
         """Links of the components of pairs (u, v, x_comp, comp) whose nodes are near."""
         return _near(pairs.distinct(), prints.select("node", "fp"), distance).select(F.col("x_comp").alias("u"), F.col("comp").alias("v")).distinct()
 
-    leaders = prints.groupBy("comp").agg(_leaders().alias("leaders"))
-    tries = few.select(node("x").alias("u"), "x_comp", F.col("main").alias("comp")).distinct().join(leaders, "comp")
-    first, _ = staged(linked(tries.select("u", F.explode("leaders").alias("v"), "x_comp", "comp")), "led")
+    # four leaders of a component come with their fingerprints, so a node meets them all in one row
+    wanted = few.select(F.col("main").alias("comp")).distinct()
+    leaders = prints.select("node", "comp").join(wanted, "comp").groupBy("comp").agg(_leaders().alias("leaders"))
+    led = leaders.select("comp", F.explode("leaders").alias("node")).join(prints.select("node", "fp"), "node").groupBy("comp").agg(F.collect_list("fp").alias("led"))
+    tries = few.select(node("x").alias("node"), "x_comp", F.col("main").alias("comp")).distinct().join(led, "comp").join(prints.select("node", "fp"), "node")
+    first, _ = staged(tries.where(F.exists("led", lambda fp: _apart(fp, F.col("fp")) <= distance)).select(F.col("x_comp").alias("u"), F.col("comp").alias("v")).distinct(), "led")
     root, _ = staged(components(first).withColumnsRenamed({"u": "_u", "v": "_v"}), "roots")
 
     def rooted(rows: DataFrame, comp: str, name: str) -> DataFrame:
