@@ -78,6 +78,7 @@ def simple_filter(strategy: Column, anchor: Column, target: str, fps: int = FPS)
     width, height = TARGETS[target]
     end = f"setsar=1,fps={fps},format=yuv420p"
     place = F.create_map(*[x for k, v in ANCHORS.items() for x in (F.lit(k), F.lit(":".join(v)))])
+    # fixed values: the two filters of one branch
     contain = f"scale={width}:{height}:force_original_aspect_ratio=decrease:flags=lanczos,pad={width}:{height}:(ow-iw)/2:(oh-ih)/2:color=black,{end}"
     crop = F.concat(F.lit(f"scale={width}:{height}:force_original_aspect_ratio=increase:flags=lanczos,crop={width}:{height}:"), place[anchor], F.lit(f",{end}"))
     return F.when(strategy == "contain", F.lit(contain)).when(strategy == "anchored_crop", crop).when(strategy == "padded_background", padded_filter(width, height, fps))
