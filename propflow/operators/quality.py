@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +35,25 @@ def approval_problem(status: Column, technical: Column, issues: Column, sha256:
     )
 
 
+#: Reviews of a scene in a block, on average.
+BLOCK_REVIEWS = 20_000
+
+
+def _dealt(events: DataFrame, keys: list[str], order: str, size: int) -> DataFrame:
+    """``events`` with ``_block``: ranges of a scene's events in order, of about ``size`` each.
+
+    Ranges begin at events that a hash of their order picks, so the block of an
+    event is a function of the table: it is the same in whatever part of a plan,
+    and however often, it is computed.
+    """
+    first = events.where(F.pmod(F.xxhash64(order), F.lit(size)) == 0).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.array_sort(F.collect_set(order)).alias("_firsts"))
+    met = events.join(first, functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]), "left")
+    # how many of the sorted firsts are at or below the event's order, by halving
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(24))])
+    at = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.coalesce(F.try_element_at("_firsts", n + step) <= F.col(order), F.lit(False)), n + step).otherwise(n))
+    return met.withColumn("_block", F.when(F.col("_firsts").isNull(), 0).otherwise(at)).drop("_firsts", *[f"_{k}" for k in keys])
+
+
 def selections(events: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The state of each scene after its reviews, in order.
 
@@ -44,14 +66,13 @@ def selections(events: DataFrame, keys: list[str], order: str) -> DataFrame:
     settles what is selected whatever was before, so what a block of reviews does
     is told by its approvals, and what it does to a selection made before it by
     the first review of that selection's clip.  Reviews are dealt into blocks by
-    range of scene and order; each block finds the approval before each review,
-    blocks hand on their last approvals, and the runs that approvals begin are
-    aggregated.  So a scene of very many reviews is spread over many tasks, and
-    no array holds them.
+    range of order within a scene; each block finds the approval before each review, blocks hand
+    on their last approvals, and the runs that approvals begin are aggregated.  So
+    a scene of very many reviews is spread over many tasks, and no array holds
+    them.
     """
-    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     review = F.struct(F.col(order).alias("at"), "clip_id", F.col("revision").cast("int").alias("revision"), "sha256", "status", F.coalesce("compared", F.lit(False)).alias("compared"))
-    dealt = events.select(*keys, review.alias("e")).repartitionByRange(n, *keys, "e.at").withColumn("_block", F.spark_partition_id())
+    dealt = _dealt(events, keys, order, BLOCK_REVIEWS).select(*keys, review.alias("e"), "_block")
     approves = F.col("e.status").eqNullSafe(F.lit("approved"))
     approval = F.when(approves, F.col("e"))
     here = Window.partitionBy(*keys, "_block").orderBy("e.at")
@@ -62,8 +83,7 @@ def selections(events: DataFrame, keys: list[str], order: str) -> DataFrame:
         }
     )
     # a row for each block that a scene lies in: what it hands on
-    blocks = dealt.where(approves).groupBy(*keys, "_block").agg(F.max_by("e", "e.at").alias("_last"))
-    blocks = dealt.select(*keys, "_block").distinct().join(blocks, [*keys, "_block"], "left")
+    blocks = dealt.groupBy(*keys, "_block").agg(F.max_by("e", F.when(approves, F.col("e.at"))).alias("_last"))
     handed = F.last("_last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     carried = blocks.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_block").alias("_of"), handed.alias("_handed")).where("_handed IS NOT NULL")
     same = F.col("_block") == F.col("_of")

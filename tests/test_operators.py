@@ -164,6 +164,21 @@ def test_review_fold(spark):
     assert quality.selections(frame.limit(0), ["scene"], "n").count() == 0
 
 
+@pytest.mark.parametrize("size", [20_000, 50])
+def test_review_fold_of_sampled_ranges(spark, monkeypatch, size):
+    """More reviews than are looked at to deal ranges evenly; scenes lie in one block, or in many."""
+    monkeypatch.setattr(quality, "BLOCK_REVIEWS", size, raising=False)
+    rnd = random.Random(5)
+    runs = {f"s{i}" if i else None: [(rnd.choice("abc"), rnd.choices(["approved", "rejected", "needs-manual-review"], (0.3, 1, 1))[0]) for _ in range(400)] for i in range(60)}
+    rows = [(k, n, c, 1, "h", s, True) for k, run in runs.items() for n, (c, s) in enumerate(run)]
+    frame = spark.createDataFrame(rows, "scene string, n int, clip_id string, revision int, sha256 string, status string, compared boolean").repartition(4)
+    got = {r.scene: r for r in quality.selections(frame, ["scene"], "n").collect()}
+    assert set(got) == set(runs)
+    for scene, run in runs.items():
+        want = fold(run)
+        assert {k: got[scene][k] for k in want} == want
+
+
 def test_issues_are_trimmed(spark):
     found = F.array(*[F.lit(x) for x in (" morphing\t", "morphing", "0noise", " ", "\u00a0a")])
     assert spark.range(1).select(quality.clean_issues(found)).first()[0] == ["0noise", "a", "morphing"]
