@@ -22,6 +22,24 @@ def test_near_pairs_lose_nothing(spark, values, distance, rnd):
     assert len(got) == len({(r.left_asset_id, r.right_asset_id) for r in got})
 
 
+@pytest.mark.parametrize(("cost", "bits", "distance"), [(1e9, 64, 6), (0.0, 64, 6), (0.0, 100, 30), (1e9, 49, 12)])
+def test_near_hashes_by_bands_and_in_blocks(spark, monkeypatch, cost, bits, distance):
+    """Both ways give all pairs, and neither leaves the work to one task, however few bytes the hashes are."""
+    monkeypatch.setattr(assets, "PAIR_COST", cost, raising=False)
+    rnd = random.Random(7)
+    values = [rnd.getrandbits(bits) for _ in range(150)]
+    values += [v ^ sum(1 << k for k in rnd.sample(range(bits), rnd.randrange(distance + 3))) for v in values] + values[:20]
+    texts = [f"{v:0{-(-bits // 4)}x}" for v in values]
+    frame = spark.createDataFrame([(t,) for t in [*texts, None]], "dhash string")
+    got = assets.near_hashes(frame, bits, distance)
+    want = {(a, b): bin(int(a, 16) ^ int(b, 16)).count("1") for a, b in itertools.combinations(sorted(set(texts)), 2)}
+    rows = got.collect()
+    assert {(r.a, r.b): r.distance for r in rows} == {k: d for k, d in want.items() if d <= distance}
+    assert len(rows) == len({(r.a, r.b) for r in rows})
+    # neither planner nor table size may put the tasks together
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_upsert_again_changes_nothing(spark):
     rows = [("h1", 1, ("photo", "a.jpg"), False, "00"), ("h1", 2, ("photo", "b.jpg"), True, "00"), ("h2", 3, ("photo", "c.jpg"), False, "01"), ("h2", 4, ("photo", "c.jpg"), False, "02")]
     found = spark.createDataFrame(rows, "sha256 string, position int, source struct<kind:string,path:string>, preferred boolean, dhash string")
