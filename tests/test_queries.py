@@ -24,3 +24,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["listing_roundtrip_jsonld", "listing_roundtrip_og"])
+def test_small_files_are_parsed_by_all_tasks(name, spark, sf_dir):
+    """A file of few bytes and very many pages is read by one task, and must not be parsed by it alone."""
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    parsed = plan[plan.index("MapInArrow"):]
+    assert "REPARTITION_BY_NUM" in parsed
