@@ -52,6 +52,12 @@ def nodes(docs: DataFrame, key: str, document: str, arrays: bool = True) -> Data
     return found.withColumnRenamed("key", key)
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """Rows that are used several times, computed once: in the shared folder, where there is one."""
+    spark = rows.sparkSession
+    return rows.checkpoint() if spark.sparkContext.getCheckpointDir() else rows.localCheckpoint()
+
+
 def secret_fields(docs: DataFrame, key: str, document: str, allowed: tuple[str, ...] = ()) -> DataFrame:
     """(key, path) of each field, at any depth, whose name would hold a secret; a reference to one is fine where it is allowed."""
     last = F.element_at("path", -1)
@@ -151,7 +157,7 @@ def canonical_texts(docs: DataFrame, key: str, document: str) -> DataFrame:
 
 def _array_leaves(docs: DataFrame, key: str, document: str) -> DataFrame:
     """Leaves of objects, with whole arrays as leaves: what a patch replaces."""
-    found = leaves(docs, key, document)
+    found = _kept(leaves(docs, key, document))
     at = F.array_position(F.transform("path", lambda s: F.startswith(s, F.lit("i"))), F.lit(True)).cast("int")
     inner = found.withColumn("_at", at)
     flat = inner.where("_at = 0").select(key, "path", "text", "bare")
@@ -166,7 +172,8 @@ def merged(documents: DataFrame, patches: DataFrame, key: str, document: str, pa
 
     One patch a document at most; documents without one come out as they are.
     """
-    base, new = _array_leaves(documents, key, document), _array_leaves(patches, key, patch)
+    # each would be taken apart several times, by all who read it
+    base, new = _kept(_array_leaves(documents, key, document)), _kept(_array_leaves(patches, key, patch))
     up_to = lambda last: F.explode(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("path", F.lit(1), k)))
     # leaves above a patch's give way to what the patch puts there
     above = new.where("size(path) > 0").select(key, up_to(F.size("path") - 1).alias("path")).distinct()

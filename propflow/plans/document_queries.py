@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from propflow.functions.rules import SECRET_KEY
 from propflow.operators.trees import canonical_texts, json_string, patched, secret_fields
 from propflow.operators.validation import nested_faults
-from propflow.plans.common import table
+from propflow.plans.common import spread, table
 
 
 def _variant(template: str, *values: Column) -> Column:
@@ -17,7 +17,7 @@ def _variant(template: str, *values: Column) -> Column:
 
 def canonical_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for each turn of a conversation: names out of order, escapes, numbers, empty and nested containers."""
-    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    turns = spread(table(spark, sf_dir, "conversations").where("text IS NOT NULL"), "conv_id", "turn")
     document = _variant(
         '{"role": %s, "text":%s, "n": {"third": %s, "big": 12345678901234567890, "e": [], "d": {}},\n "items": [null, {"k2": true, "k10": [%d, 1.50, -0.25]}]}',
         json_string(F.col("role")), json_string(F.col("text")), (F.col("turn") / 4).cast("string"), F.col("turn"),
@@ -31,13 +31,13 @@ def secret_fields_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = F.element_at(F.array(*[F.lit(x) for x in ("api_key", "access-token", "secret_reference", "tokens", "my_Cookie_jar")]), (F.col("c_custkey") % 5 + 1).cast("int"))
     reference = F.when(named == "secret_reference", "").otherwise(', "secret_reference": "env:A"')  # no name twice
     document = _variant('{"%s": {"a": [1, {"%s": [{"private_key": 1}, {"secretary": 2}]}]}%s, "nation": {"it\'s": {"password": %d}}}', named, named, reference, F.col("c_nationkey"))
-    docs = table(spark, sf_dir, "customer").select("c_custkey", document.alias("document"))
+    docs = spread(table(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", document.alias("document"))
     return secret_fields(docs, "c_custkey", "document", ("$['secret_reference']",))
 
 
 def document_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A project for each customer and a patch for each, of five kinds; every seventh was written from an older revision."""
-    customers = table(spark, sf_dir, "customer")
+    customers = spread(table(spark, sf_dir, "customer"), "c_custkey")
     document = _variant('{"tags": ["a", {"x": 1}], "customer": {"name": %s, "address": {"phone": %s, "nation": %d}}, "note": null}', json_string(F.col("c_name")), json_string(F.col("c_mktsegment")), F.col("c_nationkey"))
     kinds = ('{"customer": {"address": {"phone": "new"}}}', '{"tags": [1, {"b": 2, "a": []}], "new": {"k": {}}}', '{"customer": 7.50}', '{"project_id": "x"}', '{"note": {"by": null}, "customer": {"address": {}}}')
     patch = F.parse_json(F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("c_custkey") % 5 + 1).cast("int")))
@@ -68,7 +68,7 @@ def schema_rules_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     scenes = F.concat(F.repeat(F.lit('{"move": "hold"}, '), (F.col("p_partkey") % 4).cast("int")), scene)
     document = F.when(F.col("p_partkey") % 17 != 0, F.parse_json(F.concat(F.lit('{"scenes": ['), scenes, F.lit('], "name": '), json_string(F.col("p_name")), F.lit("}"))))
-    return nested_faults(table(spark, sf_dir, "part").select("p_partkey", document.alias("document")), "p_partkey", "document", PLAN_SCHEMA)
+    return nested_faults(spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", document.alias("document")), "p_partkey", "document", PLAN_SCHEMA)
 
 
 QUERIES = {f.__name__: f for f in (canonical_documents, secret_fields_by_depth, document_patches, schema_rules_nested)}

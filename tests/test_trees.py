@@ -114,3 +114,10 @@ def test_nested_faults(spark):
     assert nested_faults(none, "id", "document", SCHEMA).first().fault == "$: not a document"
     with pytest.raises(SchemaError):
         nested_faults(none, "id", "document", {"enum": [[1]]}).collect()
+
+
+def test_patches_take_documents_apart_once(spark, sf_dir):
+    """What several joins read is computed before them, not again by each."""
+    from propflow.plans.document_queries import document_patches
+
+    assert "UnionLoop" not in document_patches(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
