@@ -40,6 +40,8 @@ _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 #: Columns that are known before a member is inflated.
 CHEAP = frozenset(_NAMES[:8])
 BLOCK_BYTES = 64 << 20
+#: Most tasks that members are dealt to; beyond, each takes several blocks in a row.
+MOST_TASKS = 512
 
 
 @dataclass
@@ -51,6 +53,29 @@ class Members(D.InputPartition):
     last: int | None = None
 
 
+@dataclass
+class Several(D.InputPartition):
+    """Blocks in a row, where there are very many."""
+
+    parts: list[Members]
+
+
+def put_together(parts: list[Members]) -> list[D.InputPartition]:
+    """The same blocks for at most ``MOST_TASKS`` tasks; neighbours within an archive become one range."""
+    if len(parts) <= MOST_TASKS:
+        return parts
+    out = []
+    for k in range(MOST_TASKS):
+        some: list[Members] = []
+        for part in parts[len(parts) * k // MOST_TASKS : len(parts) * (k + 1) // MOST_TASKS]:
+            if some and part.last is not None and some[-1].last == part.first and some[-1].paths == part.paths:
+                some[-1] = Members(part.paths, some[-1].first, part.last)
+            else:
+                some.append(part)
+        out.append(Several(some))
+    return out
+
+
 _COMPARISONS = {
     "=": operator.eq, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "in": lambda a, b: a in b, "prefix": str.startswith, "suffix": str.endswith, "contains": operator.contains,
 }
@@ -98,7 +123,7 @@ class ZipReader(D.DataSourceReader):
         m = m or Member(-1, None, False, "regular", False, 0, 0)
         return {"archive": os.path.basename(path), "ix": m.ix, "name": m.name, "directory": m.directory, "mode_kind": m.mode_kind, "encrypted": m.encrypted, "file_size": m.file_size, "packed_size": m.packed_size}
 
-    def partitions(self) -> list[Members]:
+    def partitions(self) -> list[D.InputPartition]:
         out: list[Members] = []
         some: list[str] = []
         held = 0
@@ -115,7 +140,7 @@ class ZipReader(D.DataSourceReader):
             if held >= self.block:
                 out.append(Members(some))
                 some, held = [], 0
-        return out + ([Members(some)] if some else []) or [Members([])]
+        return put_together(out + ([Members(some)] if some else []) or [Members([])])
 
     def _ranges(self, path: str) -> list[Members]:
         try:
@@ -151,9 +176,9 @@ class ZipReader(D.DataSourceReader):
                     m = opened(archive, members[ix], m, self.limits, self.content) if open_ else m
                     yield (name, ix, m.name, m.directory, m.mode_kind, m.encrypted, m.file_size, m.packed_size, m.nested, m.damaged, m.sha256, m.content)
 
-    def read(self, partition: Members) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: D.InputPartition) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
-        for row in self._rows(partition):
+        for row in (row for part in getattr(partition, "parts", [partition]) for row in self._rows(part)):
             rows.append(row)
             held += len(row[-1] or b"") + 200
             if held > BATCH_BYTES:

@@ -184,3 +184,19 @@ def test_package_manifest_is_canonical(spark):
     ]
     core = {"schema_version": 1, "project_id": "p", "mode": "manual", "plan_dependency_hash": hashlib.sha256(depends.encode()).hexdigest(), "provider_configured": False, "external_generation_authorized": False, "entries": entries}
     assert row.manifest == canonical(core) and row.package_fingerprint == hashlib.sha256(row.manifest.encode()).hexdigest() and row.n_scenes == 2
+
+
+def test_very_many_blocks_are_put_together(tmp_path):
+    """Tasks do not grow in number with blocks, and no member is read twice or left out."""
+    from propflow.sources import zip_source
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as archive:
+        for k in range(1500):
+            archive.writestr(f"{k:04d}.txt", "x" * 50)
+    with zipfile.ZipFile(tmp_path / "b.zip", "w") as archive:
+        archive.writestr("only.txt", "y")
+    reader = zip_source.ZipReader({"path": str(tmp_path), "blockbytes": "40", "entries": "2000", "ratio": "1000"})
+    parts = reader.partitions()
+    assert len(parts) <= 512
+    names = [n for part in parts for batch in reader.read(part) for n in batch.column("name").to_pylist()]
+    assert names == [f"{k:04d}.txt" for k in range(1500)] + ["only.txt"]
