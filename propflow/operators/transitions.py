@@ -105,10 +105,13 @@ def record_reviews(reviews: DataFrame, existing: DataFrame, files: DataFrame) ->
     evidence, n (order).  They are about the very revision they name.
     """
     keys = ["project_id", "scene_id"]
-    met = clips.find_revision(existing.select(*keys, "revision", "clip_id", "path", "sha256", "technical_status"), reviews, keys)
-    met = met.join(files.select("project_id", "path", F.col("sha256").alias("_actual")), ["project_id", "path"], "left").withColumn("issues", quality.clean_issues(F.col("issues")))
-    problem = quality.approval_problem(*[F.col(c) for c in ("status", "technical_status", "issues", "sha256", "_actual", "compared", "evidence")])
-    judged = met.withColumn("problem", problem).drop("_actual")
+    # what the joins need not know is judged before them, so that they hold narrow rows
+    cleaned = reviews.withColumn("issues", quality.clean_issues(F.col("issues")))
+    cleaned = cleaned.withColumns({"_critical": F.size(quality.critical_issues(F.col("issues"))) > 0, "_lacking": quality.lacks_evidence(F.col("compared"), F.col("evidence"))})
+    met = clips.find_revision(existing.select(*keys, "revision", "clip_id", "path", "sha256", "technical_status"), cleaned, keys)
+    met = met.join(files.select("project_id", "path", F.col("sha256").alias("_actual")), ["project_id", "path"], "left")
+    problem = quality.refusal(*[F.col(c) for c in ("status", "technical_status", "_critical", "sha256", "_actual", "_lacking")])
+    judged = met.withColumn("problem", problem).drop("_actual", "_critical", "_lacking")
     return {"reviews": judged, "selections": quality.selections(judged.where("problem IS NULL"), keys, "n")}
 
 

@@ -32,3 +32,8 @@ def test_small_files_are_parsed_by_all_tasks(name, spark, sf_dir):
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     parsed = plan[plan.index("MapInArrow"):]
     assert "REPARTITION_BY_NUM" in parsed
+
+
+def test_reviews_meet_clips_as_narrow_rows(spark, sf_dir):
+    """Lists of issues are judged before the joins, and not held by them."""
+    assert " AS issues#" not in registry.QUERIES["review_refusals"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
