@@ -50,6 +50,8 @@ TABLES = 12
 WIDE_DISTANCE = 66
 #: Text bytes and shingles that a task works on at a time.
 BLOCK_BYTES, BLOCK_SHINGLES = 1 << 18, 1 << 15
+#: Rows of a bucket that a task compares with as many, and pairs of which it counts the bits at a time.
+BUCKET_ROWS, BLOCK_PAIRS = 4096, 1 << 18
 
 
 def _rotl(x: np.ndarray, n: int) -> np.ndarray:
@@ -282,15 +284,64 @@ def equal_word_links(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFr
     return _near(met, prints, distance)
 
 
-def colliding_links(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:
+def _near_in_buckets(distance: int):
+    """A function of rows (variant, i, j, side, comp, fp) in order of the first three: links (u, v) of components.
+
+    In each run of (variant, i, j) the rows of side 0 or 2 meet those of side 1 or 2.
+    """
+    lanes = TABLES // 2
+
+    def near(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, comp = (table.column(c).to_numpy() for c in ("side", "comp"))
+        fp = table.column("fp").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, lanes)
+        starts = np.flatnonzero(_begins(table))
+        run = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(side)]))
+        x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        first, last = np.searchsorted(run[y], run[x]), np.searchsorted(run[y], run[x], "right")
+        upto = np.cumsum(last - first)
+        at = 0
+        while at < len(x):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK_PAIRS, "right")))
+            met = (last - first)[at:to]
+            left = np.repeat(x[at:to], met)
+            right = y[np.arange(len(left)) - np.repeat(np.cumsum(met) - met, met) + np.repeat(first[at:to], met)]
+            other = comp[left] != comp[right]
+            left, right = left[other], right[other]
+            apart = sum((np.bitwise_count(fp[left, k] ^ fp[right, k]).astype(np.int16) for k in range(lanes)), np.zeros(len(left), np.int16))
+            links = np.unique(np.stack([comp[left], comp[right]], 1)[apart <= distance], axis=0)
+            if len(links):
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["u", "v"])
+            at = to
+
+    def _begins(table: pa.Table) -> np.ndarray:
+        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("variant", "i", "j")], 1)
+        return np.r_[True, (keys[1:] != keys[:-1]).any(1)] if len(keys) else np.zeros(0, bool)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # rows from the last run on, which may go on in the next batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            starts = np.flatnonzero(_begins(held))
+            if len(starts) > 1:
+                yield from near(held.slice(0, starts[-1]))
+                held = held.slice(starts[-1]).combine_chunks()
+        if held is not None and held.num_rows:
+            yield from near(held)
+
+    return scan
+
+
+def colliding_links(prints: DataFrame, distance: int = WIDE_DISTANCE, block: int = BUCKET_ROWS) -> DataFrame:
     """(u, v): links of components, of all whose nodes collide and are near.
 
     ``prints`` has node, fp and comp.  A bucket holds the words within a bit of its
     variant.  Whatever a bucket holds of one component needs no comparison, however
     much it is, so only buckets of several components go on.  There the nodes
-    outside the bucket's largest component first meet four leaders of that whole
-    component; those that are still of another then meet all its nodes in the
-    bucket, and each other.  A pair meets once for each word in which it collides.
+    outside the bucket's largest component are compared with all its nodes, inside
+    the tasks: fingerprints are dealt to buckets, a row for each node and bucket, and
+    no pair is ever a row.  A bucket of more than ``block`` rows is dealt in blocks,
+    and each pair of its blocks is compared by itself.
     """
     from pyspark.sql import Window
 
@@ -304,36 +355,34 @@ def colliding_links(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFra
     bucket = Window.partitionBy("variant")
     mixed = variants.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).where("low < high").drop("low", "high")
     mixed, _ = staged(mixed, "mixed")
-    sizes = mixed.groupBy("variant", "comp").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("variant").agg(F.max(F.struct("n", "comp"))["comp"].alias("main"))
-    few = mixed.join(main, "variant").where("comp <> main").select("variant", "main", F.col("tag").alias("x"), F.col("comp").alias("x_comp"))
-    few, _ = staged(few, "few")
-    node, mask = (lambda c: F.shiftright(c, 6)), (lambda c: F.col(c).bitwiseAND(F.lit(63)))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Links of the components of pairs (u, v, x_comp, comp) whose nodes are near."""
-        return _near(pairs.distinct(), prints.select("node", "fp"), distance).select(F.col("x_comp").alias("u"), F.col("comp").alias("v")).distinct()
-
-    # four leaders of a component come with their fingerprints, so a node meets them all in one row
-    wanted = few.select(F.col("main").alias("comp")).distinct()
-    leaders = prints.select("node", "comp").join(wanted, "comp").groupBy("comp").agg(_leaders().alias("leaders"))
-    led = leaders.select("comp", F.explode("leaders").alias("node")).join(prints.select("node", "fp"), "node").groupBy("comp").agg(F.collect_list("fp").alias("led"))
-    tries = few.select(node("x").alias("node"), "x_comp", F.col("main").alias("comp")).distinct().join(led, "comp").join(prints.select("node", "fp"), "node")
-    first, _ = staged(tries.where(F.exists("led", lambda fp: _apart(fp, F.col("fp")) <= distance)).select(F.col("x_comp").alias("u"), F.col("comp").alias("v")).distinct(), "led")
-    root, _ = staged(components(first).withColumnsRenamed({"u": "_u", "v": "_v"}), "roots")
-
-    def rooted(rows: DataFrame, comp: str, name: str) -> DataFrame:
-        return rows.join(root, rows[comp] == root["_u"], "left").withColumn(name, F.coalesce("_v", comp)).drop("_u", "_v")
-
-    few, _ = staged(rooted(rooted(few, "x_comp", "x_root"), "main", "main_root"), "few")
-    # a pair meets in several buckets of a word, and counts in one, whichever of the two is outside the bucket's largest
-    once = lambda x, y: (mask(x) == 0) | ((mask(y) != 0) & (mask(x) < mask(y)))
-    either = F.when(F.col("x") < F.col("tag"), once("x", "tag")).otherwise(once("tag", "x"))
-    apart = few.where("x_root <> main_root").select("variant", F.col("main").alias("comp"), "x", "x_comp")
-    with_main = apart.join(mixed, ["variant", "comp"]).where(either).select(node("x").alias("u"), node("tag").alias("v"), "x_comp", "comp")
-    others = few.select("variant", F.col("x").alias("y"), F.col("x_comp").alias("comp"), F.col("x_root").alias("y_root"))
-    among = few.join(others, "variant").where((F.col("x") < F.col("y")) & (F.col("x_root") != F.col("y_root")) & once("x", "y")).select(node("x").alias("u"), node("y").alias("v"), "x_comp", "comp")
-    return first.unionByName(linked(with_main.unionByName(among)))
+    # Equal words share 33 buckets and others two.  One is enough: that of the words themselves, or
+    # else that in which the higher of the bits that differ is cleared.  Rows without such a partner go.
+    rows = mixed.withColumn("k", F.col("tag").bitwiseAND(F.lit(63)).cast("int"))
+    rows = rows.withColumn("cleared", (F.col("k") > 0) & (F.expr("shiftright(variant, greatest(k - 1, 0)) & 1") == 0))
+    rows = rows.withColumns({"top": F.max(F.when(F.col("cleared"), F.col("k"))).over(bucket), "least": F.min("k").over(bucket), "same": F.count_if(F.col("k") == 0).over(bucket)})
+    rows = rows.where("k < top OR (cleared AND k > least) OR (k = 0 AND same > 1)").select("variant", "tag", "comp")
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("variant", "comp")))
+    rows = rows.withColumns({"main": F.max(F.struct("n", "comp")).over(bucket)["comp"], "blocks": F.ceil(F.count(F.lit(1)).over(bucket) / block).cast("int")})
+    few = F.col("comp") != F.col("main")
+    rows = rows.withColumns({"few": few, "mixed": F.bool_or(few).over(bucket)}).where("mixed")
+    # a node's fingerprint joins all that it has in one row of each table
+    held = rows.groupBy(F.shiftright("tag", 6).alias("node"), F.shiftright("variant", 32).alias("t")).agg(F.collect_list(F.struct("variant", "few", "blocks")).alias("held"))
+    print_of = held.join(prints.select("node", "comp", "fp"), "node")
+
+    def dealt(e: Column) -> Column:
+        """Pairs of blocks (i, j) that a row goes to: to meet all others, to be met, or both."""
+        mine = F.pmod(F.xxhash64("node"), e["blocks"]).cast("int")
+        every = F.sequence(F.lit(0), e["blocks"] - 1)
+        place = lambda i, j, side: F.struct(e["variant"].alias("variant"), i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+        meets = F.when(e["few"], F.transform(every, lambda k: place(mine, k, 0))).otherwise(F.array().cast("array<struct<variant:bigint,i:int,j:int,side:int>>"))
+        is_met = F.transform(every, lambda k: place(k, mine, 1))
+        return F.when(e["blocks"] == 1, F.array(F.struct(e["variant"].alias("variant"), mine.alias("i"), mine.alias("j"), F.when(e["few"], 2).otherwise(1).alias("side")))).otherwise(F.concat(meets, is_met))
+
+    # rows of hot buckets are many to a node, so they are dealt anew before they become rows
+    print_of = print_of.repartition(F.xxhash64("node", "t"))
+    met = print_of.select("comp", "fp", F.explode(F.flatten(F.transform("held", dealt))).alias("p")).select("p.*", "comp", "fp")
+    met = met.repartition("variant", "i", "j").sortWithinPartitions("variant", "i", "j")
+    return met.mapInArrow(_near_in_buckets(distance), "u long, v long").distinct()
 
 
 def wide_components(prints: DataFrame, distance: int = WIDE_DISTANCE) -> DataFrame:

@@ -241,6 +241,62 @@ def test_every_colliding_pair_counts(spark):
     assert len({find(i) for i in got}) == len(set(got.values())) == len({(find(i), c) for i, c in got.items()})
 
 
+def rows_of_joins(spark, since):
+    """Rows that joins made in all executions after the first ``since``."""
+    store, found = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList(since, 1000)
+    for r in range(runs.size()):
+        values, nodes = store.executionMetrics(runs.apply(r).executionId()), store.planGraph(runs.apply(r).executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if "Join" in node.name() and m.name() == "number of output rows" and (got := values.get(m.accumulatorId())).isDefined():
+                    found += int(re.sub(r"\D", "", got.get().split("\n")[-1].split(" ")[0]) or 0)
+    return found
+
+
+def test_pairs_of_a_common_word_are_no_rows(spark):
+    """Texts that share one word and are far apart are all compared, and joins make a few rows for each of them, not for each pair."""
+    n, lanes = 400, simhash.TABLES // 2
+    prints = np.random.default_rng(5).integers(-(2**63), 2**63, (n, lanes))
+    prints[:, 0] = (prints[:, 0] & ~0xFFFFFFFF) | 12345
+    prints[1] = prints[0]
+    prints[1, 1:] ^= 1 << 40
+    frame = spark.createDataFrame([(i, p.tolist(), i) for i, p in enumerate(prints)], "node long, fp array<long>, comp long")
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    assert {frozenset(r) for r in simhash.colliding_links(frame).collect()} == {frozenset((0, 1))}
+    assert 0 < rows_of_joins(spark, since) < 20 * n
+
+
+@pytest.mark.parametrize("block", [1, 8, 64])
+def test_buckets_in_blocks(spark, block):
+    """Links between single texts, of buckets that are dealt in blocks and read in small batches, are those of all pairs."""
+    rng, lanes = np.random.default_rng(block), simhash.TABLES // 2
+    base = rng.integers(0, 2**63, lanes, dtype=np.uint64)
+    prints = []
+    for n in rng.integers(1, 70, 60):
+        bits = np.unpackbits(base.view(np.uint8))
+        bits[rng.choice(len(bits), int(n), replace=False)] ^= 1
+        prints.append(np.packbits(bits).view(np.uint64))
+    prints = np.unique(np.stack(prints), axis=0)
+    words = prints.view(np.uint32).reshape(len(prints), -1)
+    comp = [int(i) % 50 for i in range(len(prints))]  # some are of one component from the start
+    want = set()
+    for a in range(len(prints)):
+        for b in range(a):
+            apart = np.bitwise_count(words[a] ^ words[b])
+            if comp[a] != comp[b] and apart.min() <= 2 and apart.sum() <= simhash.WIDE_DISTANCE:
+                want.add(frozenset((comp[a], comp[b])))
+    frame = spark.createDataFrame([(i, p.view(np.int64).tolist(), comp[i]) for i, p in enumerate(prints)], "node long, fp array<long>, comp long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {frozenset(r) for r in simhash.colliding_links(frame, block=block).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    # a bucket's largest component meets all others there, so every link of two components is found
+    assert len(want) > 100 and got == want
+
+
 @pytest.mark.parametrize("distance", [1, 2, 3])
 def test_links_connect_all_within_distance(spark, distance):
     rng = np.random.default_rng(distance)
