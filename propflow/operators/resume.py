@@ -9,10 +9,25 @@ from pyspark.sql import functions as F
 STAGES = ("curation", "scene_planning", "prompts", "generation_package", "clip_import", "quality_control", "rendering")
 
 
+def _packed(digest: Column) -> Column:
+    """A digest as bytes, half as many where it is 64 lower-case hex digits; equal for equal strings only."""
+    raw = F.unhex(digest)
+    return F.when((F.length(digest) == 64) & (F.lower(F.hex(raw)) == digest), F.concat(F.lit(b"\x01"), raw)).otherwise(F.concat(F.lit(b"\x00"), digest.cast("binary")))
+
+
+def _unpacked(packed: Column) -> Column:
+    rest = packed.substr(F.lit(2), F.octet_length(packed))
+    return F.when(packed.substr(1, 1) == F.lit(b"\x01"), F.lower(F.hex(rest))).otherwise(rest.cast("string"))
+
+
+def _digests(files: DataFrame, keys: list[str]) -> DataFrame:
+    return files.select(*keys, _packed(F.col("sha256")).alias("_actual"))
+
+
 def file_problems(tracked: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
     """Tracked files that are missing or changed."""
-    met = tracked.join(files.select(*keys, F.col("sha256").alias("_actual")), keys, "left")
-    problem = F.when(F.col("_actual").isNull(), "missing").when(F.col("_actual") != F.col("sha256"), "changed")
+    met = tracked.select(*keys, _packed(F.col("sha256")).alias("_tracked")).join(_digests(files, keys), keys, "left")
+    problem = F.when(F.col("_actual").isNull(), "missing").when(F.col("_actual") != F.col("_tracked"), "changed")
     return met.withColumn("problem", problem).where("problem IS NOT NULL").select(*keys, "problem")
 
 
@@ -24,21 +39,29 @@ def approvals(scenes: DataFrame, selections: DataFrame, clips: DataFrame, files:
     clip_id, path, approved_copy_path, sha256, input_dependency_hash,
     input_dependency_valid.  files: project, path, sha256.
     """
-    s = selections.select(project, "scene_id", "status", "compared", F.col("selected_clip_id").alias("clip_id"), "selected_sha256")
-    c = clips.select(project, "clip_id", F.coalesce("approved_copy_path", "path").alias("path"), F.col("sha256").alias("clip_sha256"), "input_dependency_hash", "input_dependency_valid")
-    f = files.select(project, "path", F.col("sha256").alias("actual"))
-    met = scenes.join(s, [project, "scene_id"], "left").join(c, [project, "clip_id"], "left").join(f, [project, "path"], "left")
+    # Rows are narrowed before each shuffle: digests are packed, and go on only while they can matter.
+    n = scenes.select(project, "scene_id", _packed(F.col("dependency_hash")).alias("_dependency"))
+    early = F.when(~F.col("status").eqNullSafe(F.lit("approved")), "not_approved").when(~F.coalesce("compared", F.lit(False)), "not_compared")
+    s = selections.select(project, "scene_id", F.col("selected_clip_id").alias("clip_id"), F.coalesce(early, F.lit("")).alias("_early"), F.when(early.isNull(), _packed(F.col("selected_sha256"))).alias("_selected"))
+    c = clips.select(
+        project, "clip_id", F.coalesce("approved_copy_path", "path").alias("path"), _packed(F.col("sha256")).alias("_clip"), _packed(F.col("input_dependency_hash")).alias("_input"),
+        F.col("input_dependency_valid").eqNullSafe(F.lit(False)).alias("_invalid"),
+    )
+    chosen = n.join(s, [project, "scene_id"], "left").withColumn("_early", F.coalesce("_early", F.lit("not_approved")))
+    chosen = chosen.withColumn("_dependency", F.when(F.col("_early") == "", F.col("_dependency")))
+    found = chosen.join(c, [project, "clip_id"], "left").withColumn("_early", F.when((F.col("_early") == "") & F.col("_clip").isNull(), "no_clip").otherwise(F.col("_early")))
+    sound = (F.col("_early") == "") & F.col("_clip").eqNullSafe(F.col("_selected"))
+    late = F.when(F.col("_invalid"), "invalidated").when(~F.col("_input").eqNullSafe(F.col("_dependency")), "scene_changed")
+    found = found.select(project, "path", "scene_id", "_early", late.alias("_late"), F.when(sound, F.col("_clip")).alias("_wanted"))
+    met = found.join(_digests(files, [project, "path"]), [project, "path"], "left")
     reason = (
-        F.when(~F.col("status").eqNullSafe(F.lit("approved")), "not_approved")
-        .when(~F.coalesce("compared", F.lit(False)), "not_compared")
-        .when(F.col("clip_sha256").isNull(), "no_clip")
-        .when(F.col("actual").isNull(), "no_file")
-        .when(~F.col("actual").eqNullSafe(F.col("clip_sha256")) | ~F.col("actual").eqNullSafe(F.col("selected_sha256")), "file_changed")
-        .when(F.col("input_dependency_valid").eqNullSafe(F.lit(False)), "invalidated")
-        .when(~F.col("input_dependency_hash").eqNullSafe(F.col("dependency_hash")), "scene_changed")
+        F.when(F.col("_early") != "", F.col("_early"))
+        .when(F.col("_actual").isNull(), "no_file")
+        .when(~F.col("_actual").eqNullSafe(F.col("_wanted")), "file_changed")
+        .otherwise(F.col("_late"))
     )
     error = reason.isin("not_compared", "no_clip", "no_file", "file_changed")
-    return met.withColumns({"reason": reason, "is_error": F.coalesce(error, F.lit(False))}).select(project, "scene_id", "reason", "is_error", F.when(reason.isNull(), F.col("actual")).alias("preserved_sha256"))
+    return met.withColumns({"reason": reason, "is_error": F.coalesce(error, F.lit(False))}).select(project, "scene_id", "reason", "is_error", F.when(reason.isNull(), _unpacked(F.col("_actual"))).alias("preserved_sha256"))
 
 
 def renders(projects: DataFrame, rendered: DataFrame, files: DataFrame, current: DataFrame, project: str) -> DataFrame:

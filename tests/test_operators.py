@@ -256,6 +256,35 @@ def test_profiles(spark):
     assert {r.profile_id: (r.status, r.problem) for r in profiles.configured(asked, known).collect()} == {"p": ("pending_validation", None), "q": (None, "another_provider"), "r": (None, "name_is_secret")}
 
 
+def test_approvals_compare_any_digest(spark):
+    """Digests are packed on their way: unlike strings never meet, and the kept one comes out as it was; rows carry two of them at most."""
+    hexes = "41" * 32
+    odd = ["", "a", hexes, hexes[:-1], hexes.upper().replace("41", "4A"), "A" * 32, "\u0001" + "A" * 32, "A" * 31, "\u00e9" * 16, None]
+    pairs = [(i * len(odd) + j, a, b) for i, a in enumerate(odd) for j, b in enumerate(odd)]
+    rows = spark.createDataFrame(pairs, "id long, a string, b string").withColumn("p", F.lit(1))
+    scenes = rows.select("p", F.col("id").alias("scene_id"), F.lit("d").alias("dependency_hash"))
+    chosen = rows.select("p", F.col("id").alias("scene_id"), F.lit("approved").alias("status"), F.lit(True).alias("compared"), F.col("id").alias("selected_clip_id"), F.col("a").alias("selected_sha256"))
+    path = F.col("id").cast("string").alias("path")
+    clips = rows.select("p", F.col("id").alias("clip_id"), path, F.lit(None).cast("string").alias("approved_copy_path"), F.col("a").alias("sha256"), F.lit("d").alias("input_dependency_hash"), F.lit(True).alias("input_dependency_valid"))
+    files = rows.select("p", path, F.col("b").alias("sha256"))
+    frame = resume.approvals(scenes, chosen, clips, files, "p")
+    got = {r.scene_id: (r.reason, r.preserved_sha256) for r in frame.collect()}
+    assert got == {i: ("no_clip", None) if a is None else ("no_file", None) if b is None else (None, b) if a == b else ("file_changed", None) for i, a, b in pairs}
+    bad = {int(r.path): r.problem for r in resume.file_problems(clips.select("p", "path", "sha256"), files, ["p", "path"]).collect()}
+    assert bad == {i: "missing" if b is None else "changed" for i, a, b in pairs if b is None or (a is not None and a != b)}
+
+    def inputs(plan):
+        kids = [plan.children().apply(k) for k in range(plan.children().size())]
+        for kid in kids:
+            if "Join" in plan.nodeName():
+                yield [(o.name(), o.dataType().simpleString()) for o in (kid.output().apply(k) for k in range(kid.output().size()))]
+            yield from inputs(kid)
+
+    seen = list(inputs(frame._jdf.queryExecution().optimizedPlan()))
+    assert seen and not any(t == "string" and n not in ("path", "_early", "_late") for row in seen for n, t in row)
+    assert max(sum(t == "binary" for _, t in row) for row in seen) <= 2
+
+
 def test_resume_columns(spark):
     def stage(*v):
         first = resume.first_stage(*[F.lit(x) for x in v])
