@@ -328,6 +328,7 @@ def _near_in_buckets(distance: int):
                 held = held.slice(starts[-1]).combine_chunks()
         if held is not None and held.num_rows:
             yield from near(held)
+        give_back()
 
     return scan
 
